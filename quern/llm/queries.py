@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.llm import lookalikes, splitting
 from quern.llm import percentiles as pct
 from quern.session import cut, table
 
@@ -17,6 +18,8 @@ NATURAL_KEY = ("run_id", "entity_id", "year", "passage_no")
 #: Transitions by (state, next state), in the order of their codes.
 TRANSITIONS = ("continued_peace", "onset", "cessation", "continued_conflict")
 RUNS_PER_BLOCK = 7
+#: Published values that are left to the exact count and sent to all executors; more of them are joined by shuffle.
+MAX_OPEN = 50_000
 
 _GROUPS = (
     pct.Grouping("annual_score_trends", ("run_id", "year"), ("trust_score", "threat_score")),
@@ -77,15 +80,20 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     judged = cut(bounds.where(maybe).select(*keys, "summary_id", "field_name", "published", "p", sure.alias("sure")))
     names = [F.col("kind").alias("summary_table"), "summary_id", "field_name"]
     doubtful = judged.where("not sure")
+    open_values = doubtful.count()
+    if not open_values:
+        return judged.select(*names)
+    if open_values <= MAX_OPEN:
+        doubtful = F.broadcast(doubtful)
 
-    # exact counts for what is left open; with nothing open, the join with an empty side is dropped at run time
+    # exact counts for what is left open
     rows = _passages(spark, folder)
     groups = F.array(
         F.struct(F.lit("annual_score_trends").alias("kind"), F.col("year").cast("long").alias("key1")),
         F.struct(F.lit("transition_feature_summaries").alias("kind"), F.col("transition_code").alias("key1")),
     )
     runs = doubtful.select(F.col("key0").alias("run_id")).distinct()
-    once = rows.join(runs, "run_id", "left_semi").dropDuplicates(list(NATURAL_KEY))
+    once = rows.join(F.broadcast(runs) if open_values <= MAX_OPEN else runs, "run_id", "left_semi").dropDuplicates(list(NATURAL_KEY))
     pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("value")) for f in FEATURES])
     long = once.withColumn("g", F.explode(groups)).withColumn("x", F.explode(pairs))
     long = long.select(F.col("g.kind").alias("kind"), F.col("run_id").alias("key0"), F.col("g.key1").alias("key1"), F.col("x.feature").alias("feature"), F.col("x.value").alias("value")).where("value is not null")
@@ -139,5 +147,47 @@ GROUP BY summary_table, summary_id, field_name, x, p
 HAVING count(*) FILTER (v < x) / CAST(count(*) AS DOUBLE) > CAST(p AS DOUBLE) + 0.07 OR count(*) FILTER (v <= x) / CAST(count(*) AS DOUBLE) < CAST(p AS DOUBLE) - 0.07
 """
 
-QUERIES = {"p3_found": p3_found, "p3_percentiles": p3_percentiles, "p3_combined": p3_combined}
+
+# --- splitting ---------------------------------------------------------------------------------------------
+
+#: Table, id, text, limit in code points, and kind of boundaries.
+OVERSIZED = (("speeches", "speech_id", "speech_clean", 4000, "sentences"), ("scores", "score_id", "payload", 2000, "chunks"))
+OVERLAP = 200
+
+
+def _pieces(spark: SparkSession, folder: str, texts: bool) -> DataFrame:
+    out = None
+    for name, key, text, limit, kind in OVERSIZED:
+        made = splitting.split_oversized(table(spark, folder, name), key, text, limit=limit, overlap=OVERLAP, kind=kind, texts=texts)
+        made = made.withColumnRenamed(key, "item_id").select(F.lit(name).alias("item_table"), "*")
+        out = made if out is None else out.unionByName(made)
+    return out
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Items over the limit and whether they could be cut at natural boundaries alone."""
+    return _pieces(spark, folder, texts=False).where("piece_no = 1").select("item_table", "item_id", "cut_kind")
+
+
+def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """The pieces of all items over the limit, with their texts."""
+    return _pieces(spark, folder, texts=True)
+
+
+# --- text that looks the same ------------------------------------------------------------------------------
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of speeches that look the same but are stored in different characters."""
+    forms = cut(lookalikes.consistent_form(table(spark, folder, "speeches"), "speech_id", "speech_clean", texts=False))
+    return lookalikes.equal_looking_pairs(forms, "speech_id", ("speech_id_a", "speech_id_b"))
+
+
+def p5_forms(spark: SparkSession, folder: str) -> DataFrame:
+    """Every speech in its consistent form; equal values of ``form`` mark speeches that look the same."""
+    out = lookalikes.consistent_form(table(spark, folder, "speeches"), "speech_id", "speech_clean")
+    return out.select("speech_id", "consistent_text", F.hex("form").alias("form"), (F.col("form") != F.col("stored")).alias("changed"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p3_percentiles": p3_percentiles, "p3_combined": p3_combined, "p5_found": p5_found, "p5_forms": p5_forms}
 ORACLE = {"p3_found": _P3}
