@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import lookalikes, splitting
+from quern.llm import lookalikes, matching, splitting
 from quern.llm import percentiles as pct
 from quern.session import cut, table
 
@@ -189,5 +189,41 @@ def p5_forms(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("speech_id", "consistent_text", F.hex("form").alias("form"), (F.col("form") != F.col("stored")).alias("changed"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p3_percentiles": p3_percentiles, "p3_combined": p3_combined, "p5_found": p5_found, "p5_forms": p5_forms}
+# --- typed values ------------------------------------------------------------------------------------------
+
+#: Crosswalk, field, reference column that holds the exact values, and whether values are codes first.
+TYPED = (
+    ("ucdp_country_crosswalk", "source_name", "country_name", False),
+    ("sipri_country_crosswalk", "source_name", "country_name", False),
+    ("sipri_country_crosswalk", "entity_id", "entity_id", True),
+)
+
+
+def _matched(spark: SparkSession, folder: str) -> DataFrame:
+    entries = table(spark, folder, "region_income_snapshot").select("entity_id", "iso2", "country_name", "official_name", "former_name").where("entity_id is not null").limit(matching.MAX_NAMES + 1).collect()
+    names = [(r[k], r[0]) for r in entries for k in (2, 3, 4) if r[k]]
+    codes = [(r[k], r[0]) for r in entries for k in (0, 1) if r[k]]
+    exact = {"country_name": [r[2] for r in entries if r[2]], "entity_id": [r[0] for r in entries]}
+    out = None
+    for name, field, column, as_code in TYPED:
+        rows = table(spark, folder, name).select("entry_id", F.col(field).alias("value"))
+        rows = rows.where(F.col("value").rlike("[^\\s\u00a0]") & ~F.col("value").isin(exact[column]))
+        # values are matched once each, and the answer is joined to the rows that hold it
+        found = matching.match_values(rows.select("value").distinct(), "value", names, codes, codes_first=as_code)
+        made = rows.join(found, "value").select(F.lit(name).alias("crosswalk"), F.lit(field).alias("field_name"), "entry_id", "value", F.col("matched").alias("entity_id"), "score", "margin")
+        out = made if out is None else out.unionByName(made)
+    return out
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Every typed value that is not an exact entry, with the entity it means or as unmatched."""
+    return _matched(spark, folder).select("crosswalk", "field_name", "entry_id", "entity_id")
+
+
+def p6_unmatched(spark: SparkSession, folder: str) -> DataFrame:
+    """Values that mean no entry, with the number of rows that hold them."""
+    return _matched(spark, folder).where(F.col("entity_id") == matching.UNMATCHED).groupBy("crosswalk", "field_name", "value").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p3_percentiles": p3_percentiles, "p3_combined": p3_combined, "p5_found": p5_found, "p5_forms": p5_forms, "p6_found": p6_found, "p6_unmatched": p6_unmatched}
 ORACLE = {"p3_found": _P3}
