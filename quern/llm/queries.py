@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import lookalikes, matching, splitting
+from quern.llm import lookalikes, matching, sentences, splitting
 from quern.llm import percentiles as pct
 from quern.session import cut, table
 
@@ -225,5 +225,24 @@ def p6_unmatched(spark: SparkSession, folder: str) -> DataFrame:
     return _matched(spark, folder).where(F.col("entity_id") == matching.UNMATCHED).groupBy("crosswalk", "field_name", "value").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p3_percentiles": p3_percentiles, "p3_combined": p3_combined, "p5_found": p5_found, "p5_forms": p5_forms, "p6_found": p6_found, "p6_unmatched": p6_unmatched}
+# --- sentences ---------------------------------------------------------------------------------------------
+
+
+def _sentences(spark: SparkSession, folder: str, texts: bool) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    corpus = sentences.corpus_abbreviations(documents, "text")
+    return sentences.split_sentences(documents, "doc_id", "text", corpus, texts=texts)
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The end of every sentence of every document."""
+    return _sentences(spark, folder, texts=False).select("doc_id", "sent_end")
+
+
+def p9_sentences(spark: SparkSession, folder: str) -> DataFrame:
+    """The sentences of every document in order, with their positions."""
+    return _sentences(spark, folder, texts=True)
+
+
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p3_percentiles": p3_percentiles, "p3_combined": p3_combined, "p5_found": p5_found, "p5_forms": p5_forms, "p6_found": p6_found, "p6_unmatched": p6_unmatched, "p9_found": p9_found, "p9_sentences": p9_sentences}
 ORACLE = {"p3_found": _P3}
