@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import lookalikes, matching, sentences, splitting
+from quern.llm import lookalikes, matching, mixing, packing, sentences, splitting, tokens
 from quern.llm import percentiles as pct
 from quern.session import cut, table
 
@@ -225,6 +225,67 @@ def p6_unmatched(spark: SparkSession, folder: str) -> DataFrame:
     return _matched(spark, folder).where(F.col("entity_id") == matching.UNMATCHED).groupBy("crosswalk", "field_name", "value").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+# --- containers and mixes ----------------------------------------------------------------------------------
+
+
+def _sizes(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """Documents with their number of tokens; kept in the shared folder, as the tokenizer is the dear part."""
+    return cut(tokens.with_token_counts(table(spark, folder, "documents").select("doc_id", *columns, "text"), "text"))
+
+
+def _packed(spark: SparkSession, folder: str) -> tuple[DataFrame, list[tuple]]:
+    sizes = _sizes(spark, folder)
+    out, plans = None, []
+    for spec, name, capacity in table(spark, folder, "pack_specs").select("spec_id", "spec_name", "capacity_tokens").dropna().orderBy("spec_id").limit(100).collect():
+        items, made = packing.pack(sizes, "doc_id", "n_tokens", capacity)
+        rows = items.select(F.lit(spec).alias("spec_id"), F.lit(capacity).alias("capacity_tokens"), "container", "doc_id", "part_no", "start_token", "n_tokens")
+        out = rows if out is None else out.unionByName(rows)
+        plans.append((spec, name, capacity, made.containers, made.bound))
+    return out, plans
+
+
+def p7_contents(spark: SparkSession, folder: str) -> DataFrame:
+    """The container of every document, or of every part of one that exceeds the capacity."""
+    return _packed(spark, folder)[0]
+
+
+def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """Every container with its number of items and its fill."""
+    rows = p7_contents(spark, folder).groupBy("spec_id", "capacity_tokens", "container").agg(F.count(F.lit(1)).alias("n_items"), F.sum("n_tokens").alias("used_tokens"))
+    return rows.withColumn("fill", F.col("used_tokens") / F.col("capacity_tokens"))
+
+
+def p7_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """Containers, their lower bound, and the fill reached for each capacity."""
+    rows, plans = _packed(spark, folder)
+    planned = spark.createDataFrame(plans, "spec_id int, spec_name string, capacity_tokens int, containers long, lower_bound long")
+    used = rows.groupBy("spec_id").agg(F.count(F.lit(1)).alias("n_items"), F.sum("n_tokens").alias("used_tokens"))
+    return planned.join(used, "spec_id").withColumn("fill", F.col("used_tokens") / F.col("capacity_tokens") / F.col("containers"))
+
+
+def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, list[mixing.Target], dict[str, int]]:
+    listed = table(spark, folder, "mix_targets").where("mix_id is not null and source is not null").limit(mixing.MAX_TARGETS + 1).collect()
+    targets = [mixing.Target(r["mix_id"], r["source"], r["target_share"] or 0.0, 1 if r["max_repeats"] is None else r["max_repeats"]) for r in listed]
+    selected, available = mixing.mix_sources(_sizes(spark, folder, "source"), targets, id_column="doc_id", source_column="source", size_column="n_tokens")
+    return selected, targets, available
+
+
+def p8_selection(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents of every mix and how often each is used."""
+    return _mixed(spark, folder)[0]
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Target and reached share of every source of every mix."""
+    selected, targets, available = _mixed(spark, folder)
+    rows = [(t.mix, t.source, t.share, t.repeats, available.get(t.source, 0)) for t in targets]
+    wanted = spark.createDataFrame(rows, "mix_id string, source string, target_share double, max_repeats int, available_tokens long")
+    got = selected.groupBy("mix_id", "source").agg(F.count(F.lit(1)).alias("documents"), F.sum("copies").alias("copies"), F.max("copies").alias("most_copies"), F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"))
+    out = wanted.join(got, ["mix_id", "source"], "left").fillna(0, ["documents", "copies", "most_copies", "tokens"])
+    whole = got.groupBy("mix_id").agg(F.sum("tokens").alias("mix_tokens"))
+    return out.join(whole, "mix_id", "left").withColumn("reached_share", F.coalesce(F.col("tokens") / F.col("mix_tokens"), F.lit(0.0)))
+
+
 # --- sentences ---------------------------------------------------------------------------------------------
 
 
@@ -244,5 +305,5 @@ def p9_sentences(spark: SparkSession, folder: str) -> DataFrame:
     return _sentences(spark, folder, texts=True)
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p3_percentiles": p3_percentiles, "p3_combined": p3_combined, "p5_found": p5_found, "p5_forms": p5_forms, "p6_found": p6_found, "p6_unmatched": p6_unmatched, "p9_found": p9_found, "p9_sentences": p9_sentences}
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p3_percentiles": p3_percentiles, "p3_combined": p3_combined, "p5_found": p5_found, "p5_forms": p5_forms, "p6_found": p6_found, "p6_unmatched": p6_unmatched, "p7_contents": p7_contents, "p7_containers": p7_containers, "p7_summary": p7_summary, "p8_selection": p8_selection, "p8_shares": p8_shares, "p9_found": p9_found, "p9_sentences": p9_sentences}
 ORACLE = {"p3_found": _P3}
