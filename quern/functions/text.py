@@ -9,6 +9,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Term dictionaries for topic salience.
 DICTIONARIES: dict[str, tuple[str, ...]] = {
@@ -53,13 +54,13 @@ WORD = r"[\p{L}\p{Nl}\p{No}]+(?:[-’'][\p{L}\p{Nl}\p{No}]+)*"
 SPACE = r"[\s\p{Z}\u001c-\u001f\u0085]+"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """Compatibility composition; null stays null."""
     return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _ascii(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode("ascii"))
 
