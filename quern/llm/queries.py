@@ -174,6 +174,13 @@ def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return _pieces(spark, folder, texts=True)
 
 
+_P1 = r"""
+SELECT item_table, item_id, CASE WHEN list_max(list_transform(string_split(marked, chr(1)), lambda x: length(x))) > size_limit THEN 'forced' ELSE 'natural' END AS cut_kind FROM (
+  SELECT 'speeches' AS item_table, speech_id AS item_id, 4000 AS size_limit, regexp_replace(speech_clean, '([.!?]["''”’»]?)(\s)', '\1' || chr(1) || '\2', 'g') AS marked FROM speeches WHERE length(speech_clean) > 4000
+  UNION ALL SELECT 'scores', score_id, 2000, regexp_replace(payload, '(\{\s*"start_token")', chr(1) || '\1', 'g') FROM scores WHERE length(payload) > 2000)
+"""
+
+
 # --- text that looks the same ------------------------------------------------------------------------------
 
 
@@ -306,4 +313,4 @@ def p9_sentences(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p3_percentiles": p3_percentiles, "p3_combined": p3_combined, "p5_found": p5_found, "p5_forms": p5_forms, "p6_found": p6_found, "p6_unmatched": p6_unmatched, "p7_contents": p7_contents, "p7_containers": p7_containers, "p7_summary": p7_summary, "p8_selection": p8_selection, "p8_shares": p8_shares, "p9_found": p9_found, "p9_sentences": p9_sentences}
-ORACLE = {"p3_found": _P3}
+ORACLE = {"p1_found": _P1, "p3_found": _P3}
