@@ -39,13 +39,13 @@ def _key(column: str, dtype: str) -> Column:
 
 
 def parent_states(parents: DataFrame, keys: Sequence[str], received: str, deleted: str | None) -> DataFrame:
-    """One row per key: k0.., ``born`` (earliest arrival) and ``gone`` (earliest withdrawal)."""
+    """One row per key: __k0.., ``__born`` (earliest arrival) and ``__gone`` (earliest withdrawal)."""
     kinds = dict(parents.dtypes)
-    cols = [_key(k, kinds[k]).alias(f"k{i}") for i, k in enumerate(keys)]
+    cols = [_key(k, kinds[k]).alias(f"__k{i}") for i, k in enumerate(keys)]
     gone = F.col(f"`{deleted}`") if deleted else F.lit(None).cast("timestamp_ntz")
-    rows = parents.select(*cols, F.col(f"`{received}`").alias("born"), gone.alias("gone"))
-    names = [f"k{i}" for i in range(len(keys))]
-    return rows.dropna(subset=names).groupBy(*names).agg(F.min("born").alias("born"), F.min("gone").alias("gone"))
+    rows = parents.select(*cols, F.col(f"`{received}`").alias("__born"), gone.alias("__gone"))
+    names = [f"__k{i}" for i in range(len(keys))]
+    return rows.dropna(subset=names).groupBy(*names).agg(F.min("__born").alias("__born"), F.min("__gone").alias("__gone"))
 
 
 def find_orphans(
@@ -73,7 +73,7 @@ def find_orphans(
     """
     spark = refs.sparkSession
     kinds = dict(refs.dtypes)
-    names = [f"k{i}" for i in range(len(ref_keys))]
+    names = [f"__k{i}" for i in range(len(ref_keys))]
     states = parent_states(parents, parent_keys, parent_received, parent_deleted)
     narrow = refs.select(
         F.col(f"`{row_id}`"), *[F.col(f"`{c}`") for c in carry], *[_key(k, kinds[k]).alias(n) for k, n in zip(ref_keys, names)], F.col(f"`{ref_received}`").alias("__at")
@@ -82,7 +82,7 @@ def find_orphans(
     typed = [F.col(n).cast(dict(states.dtypes)[n]) for n in names]
     narrow = narrow.select(row_id, *carry, *[t.alias(n) for t, n in zip(typed, names)], "__at")
     n_keys = states.count()
-    reason = F.when(F.col("born").isNull() & F.col("__known").isNull(), "missing").when(F.col("gone") <= F.col("__at"), "deleted").when(F.col("born") > F.col("__at"), "late")
+    reason = F.when(F.col("__born").isNull() & F.col("__known").isNull(), "missing").when(F.col("__gone") <= F.col("__at"), "deleted").when(F.col("__born") > F.col("__at"), "late")
     joined = lambda left: (
         left.join(states.withColumn("__known", F.lit(True)), names, "left").withColumn("reason", reason).where(F.col("reason").isNotNull()).select(row_id, *carry, "reason")
     )
