@@ -184,14 +184,15 @@ class Index:
         allowed = next(k for length, k in EDITS if len(joined) <= length)
         return self._best(np.where(self.is_code, 0.0, self.scores(word_grams(ws))), joined, allowed, False)
 
-    def as_code(self, text: str) -> Match | None:
+    def as_code(self, text: str, near: bool = True) -> Match | None:
+        """The entry with this code, or (``near``) the one whose code is a slip away."""
         code = code_of(text)
         if not code:
             return None
         hit = self.exact.get((code, True), set())
         if len(hit) == 1:
             return Match(next(iter(hit)), 1.0, 1.0)
-        if len(code) < 3 or len(code) > 5:
+        if not near or len(code) < 3 or len(code) > 5:
             return None
         return self._best(np.where(self.is_code, self.scores(code_grams(code)), 0.0), code, 1, True)
 
@@ -202,10 +203,12 @@ class Index:
             return Match(UNMATCHED, 0.0, 0.0)
         former = _FORMER.search(text)
         plain = _FORMER.sub(" ", text) if former else text
-        ways = (self.as_code, self.as_name) if codes_first else (self.as_name, self.as_code)
-        for way in ways:
-            if (m := way(plain)) is not None:
-                return m
+        if codes_first:
+            m = self.as_code(plain) or self.as_name(plain)
+        else:
+            m = self.as_name(plain) or self.as_code(plain, near=False)
+        if m is not None:
+            return m
         if former and (m := self.as_name(former.group(1))) is not None:
             return m
         return Match(UNMATCHED, 0.0, 0.0)
