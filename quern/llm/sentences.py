@@ -60,6 +60,8 @@ _BLANK = re.compile(r"\r?\n[^\S\n]*\r?\n\s*")
 _MARK = re.compile("[" + re.escape("".join(PAIRS) + "".join(PAIRS.values()) + '"') + "]")
 _THAI = "฀-๏๚-๿຀-໏က-႟ក-៟"
 _CAND = re.compile(r"[" + re.escape(TERMINATORS) + r"]+|፡፡")
+#: Where capitals count, a period before a lower-case letter or inside a number ends nothing; the scan leaves it out.
+_CAND_CASED = re.compile(r"(?:[" + re.escape(TERMINATORS.replace(".", "")) + r"]|\.(?![a-z0-9]|\s[a-z]))[" + re.escape(TERMINATORS) + r"]*|፡፡")
 _CAND_SPACED = re.compile(r"[" + re.escape(TERMINATORS) + r"]+|፡፡|(?<=[" + _THAI + r"])\s+(?=[^\W\d_]|[" + re.escape(OPENERS) + r"])")
 _HAS_SPACED = re.compile("[" + _THAI + "]")
 _LINE_NUMBER = re.compile(r"(?:\A|\n)[^\S\n]*\(?(\d{1,4})[.)][^\S\n]+(?=\S)")
@@ -89,16 +91,25 @@ class Splitter:
 
     def _learn(self, text: str) -> None:
         self.text = text
-        self.here: set[str] | None = None
+        self.here: dict[str, bool] = {}
         self.vocabulary: set[str] | None = None
         self.cased_document = self.cased = text != text.lower() and text != text.upper()
         self.danda = "।" in text
         self.verjaket = "։" in text
 
-    def _abbreviations(self) -> set[str]:
-        if self.here is None:
-            self.here = {m.group(1).lower() for m in _WORD_DOT.finditer(self.text) if m.group(2) is None or m.group(2).islower()} if self.cased_document else set()
-        return self.here
+    def _abbreviates(self, token: str) -> bool:
+        """The word stands before a period and a lower-case word elsewhere in the document."""
+        if (known := self.here.get(token)) is not None:
+            return known
+        text, mark, at, found = self.text, token + ".", 0, False
+        while self.cased_document and not found and (at := text.find(mark, at)) >= 0:
+            end = at + len(mark)
+            if not at or not text[at - 1].isalnum():
+                after = text[end : end + 1]
+                found = after != "" and after in ",;:" or after.isspace() and text[end + 1 : end + 2].islower()
+            at = end
+        self.here[token] = found
+        return found
 
     def _common(self, word: str) -> bool:
         """The word occurs in lower case in the document, so its capital is that of a sentence."""
@@ -167,7 +178,7 @@ class Splitter:
         cuts = self._line_numbers(low, high)
         pairs = self._pairs(low, high)
         closes = {b: a for a, b in pairs}
-        candidates = _CAND_SPACED if _HAS_SPACED.search(text, low, high) else _CAND
+        candidates = _CAND_SPACED if _HAS_SPACED.search(text, low, high) else _CAND_CASED if self.cased else _CAND
         current, active, next_pair, next_cut = low, [], 0, 0
         for m in candidates.finditer(text, low, high):
             a, b = m.span()
@@ -176,10 +187,11 @@ class Splitter:
                 next_cut += 1
             if a < current:
                 continue
-            while next_pair < len(pairs) and pairs[next_pair][0] < a:
-                active.append(pairs[next_pair])
-                next_pair += 1
-            active = [p for p in active if p[1] >= a]
+            if pairs:
+                while next_pair < len(pairs) and pairs[next_pair][0] < a:
+                    active.append(pairs[next_pair])
+                    next_pair += 1
+                active = [p for p in active if p[1] >= a]
             if text[a].isspace():
                 if not active and self._spaced_boundary(a):
                     current = self._emit(current, a, out)
@@ -197,7 +209,7 @@ class Splitter:
                     k += 1
                 else:
                     break
-            if any(p[1] >= k for p in active):
+            if active and max(p[1] for p in active) >= k:
                 continue
             if self._ends(current, a, b, k, high, opened, next_cut < len(cuts) and cuts[next_cut] or None):
                 current = self._emit(current, k, out)
@@ -382,7 +394,7 @@ class Splitter:
             if token.islower() or _uncased(token):
                 return word in EITHER or _uncased(token)
             return self._known_common(f) and not self._initial_before(start)
-        if self.cased and lead.isalnum() and len(token) <= 6 and (word in self._abbreviations() or word in self.corpus):
+        if self.cased and lead.isalnum() and len(token) <= 6 and (word in self.corpus or self._abbreviates(token)):
             return not lead.isdigit() and self._known_common(f)
         return True
 
@@ -420,20 +432,26 @@ def abbreviation_counts(df: DataFrame, text_column: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             uses, inside, bare = Counter(), Counter(), Counter()
-            for text in batch.column(0).to_pylist():
-                if not text or text.isspace():
-                    continue
-                found = [(m.group(1).lower(), m.group(2)) for m in _WORD_DOT.finditer(text)]
-                uses.update(w for w, _ in found)
-                inside.update(w for w, n in found if n is None or n.islower() or n.isdigit())
-                bare.update(Counter(w for w in _WORD.findall(text) if len(w) <= 6))
+            texts = [t for t in batch.column(0).to_pylist() if t]
+            while texts:
+                # a few texts at a time, parted by blank lines
+                part, size = [], 0
+                while texts and size < 1 << 20:
+                    part.append(texts.pop())
+                    size += len(part[-1])
+                text = "\n\n".join(part)
+                for m in _WORD_DOT.finditer(text):
+                    word, following = m.group(1).lower(), m.group(2)
+                    uses[word] += 1
+                    if following is None or following.islower() or following.isdigit():
+                        inside[word] += 1
+                for word, n in Counter(_WORD.findall(text)).items():
+                    if len(word) <= 6:
+                        bare[word.lower()] += n
             words = list(uses)
-            lowered = Counter()
-            for w, n in bare.items():
-                lowered[w.lower()] += n
             yield pa.RecordBatch.from_pydict(
                 {"word": pa.array(words, pa.string()), "uses": pa.array([uses[w] for w in words], pa.int64()), "inside": pa.array([inside[w] for w in words], pa.int64()),
-                 "bare": pa.array([max(0, lowered[w] - uses[w]) for w in words], pa.int64())}
+                 "bare": pa.array([max(0, bare[w] - uses[w]) for w in words], pa.int64())}
             )
 
     parts = df.select(text_column).mapInArrow(run, schema)
