@@ -59,11 +59,13 @@ def expected_hashes(speeches: DataFrame, keys: Sequence[str], text: str) -> Data
     return speeches.select(*keys, F.sha2(F.col(text), 256).alias("expected_hash"))
 
 
-def corpus_fingerprint(df: DataFrame, order: Sequence[str], text: str) -> str:
-    """SHA-256 over the rows' hashes in key order; the rows stream to the driver in order, one hash at a time."""
-    import hashlib
-
-    total = hashlib.sha256()
-    for row in df.select(*order, F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("__h")).orderBy(*order, "__h").toLocalIterator(prefetchPartitions=True):
-        total.update(row["__h"].encode())
-    return total.hexdigest()
+def corpus_fingerprint(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
+    """One row with the SHA-256 of the corpus: of the eight sums, over all rows, of 32-bit parts of the rows' hashes.
+
+    The sums are those of a multiset, so they are formed in parallel and in any order, and only they leave the
+    executors. A row's hash covers its keys and the hash of its text; null and empty texts count as the same.
+    """
+    row = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys], F.sha2(F.coalesce(F.col(text), F.lit("")), 256)), 256)
+    hashed = df.select(row.alias("__h"))
+    parts = [F.coalesce(F.sum(F.conv(F.substring("__h", 8 * i + 1, 8), 16, 10).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).cast("string") for i in range(8)]
+    return hashed.agg(F.sha2(F.concat_ws(",", *parts), 256).alias("fingerprint"))

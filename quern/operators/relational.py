@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,9 +58,14 @@ def at_lag(rows: DataFrame, source: DataFrame, key: str, year: str, lag: int, co
     return rows.join(s, [key, year], "left")
 
 
-def completed(df: DataFrame, dims: Sequence[DataFrame], fill: dict[str, object]) -> DataFrame:
-    """All combinations of small dimension tables, with ``fill`` where ``df`` has no row."""
-    grid = reduce(lambda a, b: a.crossJoin(F.broadcast(b)), dims)
+def completed(df: DataFrame, entities: DataFrame, levels: dict[str, Sequence[object]], fill: dict[str, object]) -> DataFrame:
+    """Every row of ``entities`` with every combination of the listed levels, with ``fill`` where ``df`` has no row.
+
+    The levels are given, so the grid is made by exploding literals, not by a join.
+    """
+    grid = entities
+    for name, values in levels.items():
+        grid = grid.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
     return grid.join(df, grid.columns, "left").fillna(fill)
 
 

@@ -101,6 +101,8 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
 # -- bootstrap ---------------------------------------------------------------------------------------------------
 
 REPLICATES = 2000
+#: Clusters that may be drawn; the table of draws has replicates times clusters rows.
+MAX_CLUSTERS = 100_000
 SEED = 20260925
 #: Support below which an interval is not reported, or reported with a warning.
 LEAST_GROUP, SPARSE_ROWS, SPARSE_ENTITIES, IMBALANCE, LEAST_VALID = 2, 20, 10, 0.10, 0.80
@@ -112,7 +114,10 @@ def hashed_weights(entities: DataFrame, entity: str, replicates: int, seed: str
     Draw k of replicate r takes the entity at a place given by a hash, so any engine gets the same draws. The
     table is small: replicates times entities.
     """
-    listed = sorted(r[0] for r in entities.select(entity).where(F.col(entity).isNotNull()).distinct().collect())
+    found = entities.select(entity).where(F.col(entity).isNotNull()).distinct().limit(MAX_CLUSTERS + 1).collect()
+    if len(found) > MAX_CLUSTERS:
+        raise ValueError(f"over {MAX_CLUSTERS} clusters; draw coarser ones")
+    listed = sorted(r[0] for r in found)
     spark, n = entities.sparkSession, len(listed)
     place = spark.createDataFrame(list(enumerate(listed)), f"__place int, {entity} string")
     draws = spark.range(replicates).withColumnRenamed("id", "replicate").withColumn("__k", F.explode(F.sequence(F.lit(0), F.lit(max(0, n - 1)))))

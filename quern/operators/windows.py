@@ -57,25 +57,27 @@ def hash_sample(df: DataFrame, strata: Sequence[str], key: Column, n: int, seed:
 def balanced_sample(candidates: DataFrame, cells: Sequence[str], unit: str, region: str, seed: str) -> list[tuple]:
     """One row per cell in order: no unit twice, and from the region used least so far.
 
-    Sequential by definition; the state is the list of cells done, and every step is one small top-1 query over the
-    hashed candidates of its cell.
+    Sequential by definition, with one step per cell. A step can only be barred from the units of the steps before,
+    so as many candidates per cell and region as there are cells, by seeded hash, decide as all of them would; they
+    are found in one pass, and no more reach the driver. Null regions and units are no candidates.
     """
+    n_cells = candidates.select(*cells).distinct().count()
+    hashed = candidates.select(*cells, unit, region).dropna(subset=[unit, region]).distinct().withColumn("__h", F.md5(F.concat(F.lit(seed), F.col(unit).cast("string"))))
+    first = Window.partitionBy(*cells, region).orderBy("__h", unit)
+    few = hashed.withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= n_cells)
+    offers: dict[tuple, list] = {}
+    for r in few.collect():
+        offers.setdefault(tuple(r[c] for c in cells), []).append((r["__h"], r[unit], r[region]))
     out: list[tuple] = []
-    used_units: list[str] = []
+    used_units: set = set()
     used: dict[str, int] = {}
-    hashed = candidates.withColumn("__h", F.md5(F.concat(F.lit(seed), F.col(unit).cast("string"))))
-    for cell in [tuple(r) for r in candidates.select(*cells).distinct().orderBy(*cells).collect()]:
-        here = hashed
-        for name, v in zip(cells, cell):
-            here = here.where(F.col(name).eqNullSafe(F.lit(v)))
-        if used_units:
-            here = here.where(~F.col(unit).isin(used_units))
-        best = here.groupBy(region).agg(F.min(F.struct("__h", unit)).alias("x")).collect()
-        if not best:
+    for cell in sorted(offers, key=lambda c: tuple((v is not None, v) for v in c)):
+        open_ = [o for o in offers[cell] if o[1] not in used_units]
+        if not open_:
             continue
-        least = min(used.get(r[0], 0) for r in best)
-        pick = min((r for r in best if used.get(r[0], 0) == least), key=lambda r: r["x"]["__h"])
-        out.append((*cell, pick["x"][unit], pick[0]))
-        used_units.append(pick["x"][unit])
-        used[pick[0]] = used.get(pick[0], 0) + 1
+        least = min(used.get(o[2], 0) for o in open_)
+        _, pick, where = min(o for o in open_ if used.get(o[2], 0) == least)
+        out.append((*cell, pick, where))
+        used_units.add(pick)
+        used[where] = used.get(where, 0) + 1
     return out

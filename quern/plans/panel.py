@@ -139,8 +139,7 @@ def dense_completion(spark: SparkSession, folder: str) -> DataFrame:
     """Transitions by region, with zeros where a pair has no row."""
     regions = table(spark, folder, "region_income_snapshot").select("entity_id", F.trim("region").alias("region"))
     counts = base.panel(spark, folder).join(regions, "entity_id").groupBy("region", "transition").agg(F.count(F.lit(1)).alias("n_rows"))
-    transitions = spark.createDataFrame([(t,) for t in base.TRANSITIONS], "transition string")
-    return relational.completed(counts, [regions.select("region").distinct(), transitions], {"n_rows": 0})
+    return relational.completed(counts, regions.select("region").distinct(), {"transition": base.TRANSITIONS}, {"n_rows": 0})
 
 
 @query("""SELECT iso_code, year, count(*) AS metadata_rows, nullif(array_to_string(list_sort(list_distinct(list(nullif(trim(post), '')) FILTER (nullif(trim(post), '') IS NOT NULL))), ' | '), '') AS posts,

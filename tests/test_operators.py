@@ -31,7 +31,7 @@ def test_missing_is_zero_only_where_eligible(spark):
 def test_text_set_and_completion(spark):
     df = spark.createDataFrame([(1, " b"), (1, "a "), (1, "b"), (1, None), (2, " "), (2, None)], "k int, x string")
     assert rows(df.groupBy("k").agg(relational.text_set("x"))) == [(1, "a | b"), (2, None)]
-    grid = relational.completed(spark.createDataFrame([("x", 1, 5)], "a string, b int, n int"), [spark.createDataFrame([("x",), ("y",)], "a string"), spark.createDataFrame([(1,), (2,)], "b int")], {"n": 0})
+    grid = relational.completed(spark.createDataFrame([("x", 1, 5)], "a string, b int, n int"), spark.createDataFrame([("x",), ("y",)], "a string"), {"b": [1, 2]}, {"n": 0})
     assert rows(grid) == [("x", 1, 5), ("x", 2, 0), ("y", 1, 0), ("y", 2, 0)]
 
 
@@ -63,6 +63,16 @@ def test_hash_sample_is_stable(spark):
     assert one.count() == 15 and rows(one) == rows(windows.hash_sample(df.repartition(7), ["s"], F.col("id").cast("string"), 5, "x"))
 
 
+def test_balanced_sample(spark):
+    rows = [(c, u, f"r{u % 3}") for c in ("a", "b", "c", "d") for u in range(6)] + [("e", 0, "r0"), (None, 1, "r1")]
+    df = spark.createDataFrame(rows, "cell string, unit int, region string")
+    picks = windows.balanced_sample(df, ["cell"], "unit", "region", "s")
+    assert picks == windows.balanced_sample(df.repartition(5), ["cell"], "unit", "region", "s")
+    units = [p[1] for p in picks]
+    assert len(units) == len(set(units)) and [p[0] for p in picks[:5]] in (["a", "b", "c", "d", "e"], [None, "a", "b", "c", "d"])
+    assert len({p[2] for p in picks if p[0] in ("a", "b", "c")}) == 3 or picks[0][0] is None
+
+
 def test_reshape(spark):
     df = spark.createDataFrame([(1, 1.0, None)], "k int, a double, b double")
     assert rows(reshape.long_form(df, ["k"], ["a", "b"], "n", "v")) == [(1, "a", 1.0), (1, "b", None)]
@@ -156,6 +166,15 @@ def test_logit_against_newton(spark):
     assert "score" in model.predict(fitted, df).columns
 
 
+def test_fingerprint_depends_on_rows_alone(spark):
+    df = spark.createDataFrame([("A", 1, "x"), ("B", 2, None), ("B", 2, "y")], "e string, y int, t string")
+    one = quality.corpus_fingerprint(df, ["e", "y"], "t").head()[0]
+    assert one == quality.corpus_fingerprint(df.repartition(3).orderBy(F.desc("t")), ["e", "y"], "t").head()[0]
+    for other in (df.limit(2), df.unionByName(df.limit(1)), df.withColumn("y", F.col("y") + 1)):
+        assert one != quality.corpus_fingerprint(other, ["e", "y"], "t").head()[0]
+    assert len(quality.corpus_fingerprint(df.limit(0), ["e", "y"], "t").head()[0]) == 64
+
+
 def test_rules_are_enforced_in_order(spark):
     df = spark.createDataFrame([(1,), (-1,), (None,)], "x int")
     with pytest.raises(ContractError, match="null: 1"):
