@@ -62,7 +62,7 @@ _THAI = "฀-๏๚-๿຀-໏က-႟ក-៟"
 _CAND = re.compile(r"[" + re.escape(TERMINATORS) + r"]+|፡፡")
 #: Where capitals count, a period before a lower-case letter or inside a number ends nothing; the scan leaves it out.
 _CAND_CASED = re.compile(r"(?:[" + re.escape(TERMINATORS.replace(".", "")) + r"]|\.(?![a-z0-9]|\s[a-z]))[" + re.escape(TERMINATORS) + r"]*|፡፡")
-_CAND_SPACED = re.compile(r"[" + re.escape(TERMINATORS) + r"]+|፡፡|(?<=[" + _THAI + r"])\s+(?=[^\W\d_]|[" + re.escape(OPENERS) + r"])")
+_CAND_SPACED = re.compile(r"[" + re.escape(TERMINATORS) + r"]+|፡፡|(?<=[" + _THAI + r"])\s+(?=[^\W\d_]|[" + re.escape(OPENERS) + r"]|\d+[^\S\n]?(?![" + _THAI + r"])[^\W\d_])")
 _HAS_SPACED = re.compile("[" + _THAI + "]")
 _LINE_NUMBER = re.compile(r"(?:\A|\n)[^\S\n]*\(?(\d{1,4})[.)][^\S\n]+(?=\S)")
 _VISIBLE = re.compile(r"\S")
@@ -205,8 +205,8 @@ class Splitter:
                     k += 1
                 elif c in "\"”’」』)）]】" and k not in closes and not (c == '"' and k + 1 < high and not text[k + 1].isspace()):
                     k += 1
-                elif c in "   " and k + 1 in closes and closes[k + 1] < a and text[k + 1] == "»":
-                    k += 1
+                elif c.isspace() and (q := self._after_space(k, high)) in closes and closes[q] < a and text[q] == "»":
+                    k = q
                 else:
                     break
             if active and max(p[1] for p in active) >= k:
@@ -329,14 +329,16 @@ class Splitter:
             return False
         following = _WORD.match(text, j)
         token = self._token(a)
-        if len(following.group()) < 2 and text[j + 1 : j + 2] == "." and (token.islower() and token.isalpha() and len(token) > 2 or token.isdigit()):
+        if len(following.group()) < 2 and text[j + 1 : j + 2] == "." and (token.islower() and token.isalpha() and len(token) > 2 or token.isdigit() or before in CLOSERS):
             return True  # a sentence that starts with an initial
         if len(following.group()) < 2 and not (j + 1 < len(text) and text[j + 1].isspace()) and text[j + 1 : j + 2] not in ("'", "’", "-"):
             return False
         if following.group().isupper() and len(following.group()) > 1:
             return False
         if "." in token and token.replace(".", "").isalpha():
-            return len(token.split(".")[-1]) == 1 and token.islower() and token.lower() not in NEVER
+            if token.islower():
+                return len(token.split(".")[-1]) == 1 and token not in NEVER
+            return self._common(following.group())
         word = token.lower()
         if word in TITLES or word in REFERENCES and word not in EITHER:
             return False

@@ -324,6 +324,8 @@ def test_sentences_without_spaces(wanted):
         ("Agenda item 8\n\nThe vote was late. It was\nlost and cut of", ["Agenda item 8", "The vote was late.", "It was\nlost and cut of"]),
         ("1. The first was adopted by the W.B.C.\n2. Second one.\n3. ไทย ไทย", ["1. The first was adopted by the W.B.C.", "2. Second one.", "3. ไทย", "ไทย"]),
         ("It came before.The report grew.Again?No one knew; see records.example.", ["It came before.", "The report grew.", "Again?", "No one knew; see records.example."]),
+        ("Il a répondu : « On va.\n» Selon M. Dreel, oui. «Да».J. K. Dreel met the W.B.C.The end. The the.", ["Il a répondu : « On va.\n»", "Selon M. Dreel, oui.", "«Да».", "J. K. Dreel met the W.B.C.", "The end.", "The the."]),
+        ("ใครจะจ่าย 2006년 지출은 늘었습니다.", ["ใครจะจ่าย", "2006년 지출은 늘었습니다."]),
         ("the first met. the second did not! what now? no.", ["the first met.", "the second did not!", "what now?", "no."]),
         ("THE FIRST MET. THEY WAITED... AND LEFT. E.G. HERE.", ["THE FIRST MET.", "THEY WAITED... AND LEFT.", "E.G. HERE."]),
         ("", []), (" \n\n ", []), ("...", ["..."]), ('"', ['"']), ("(((", ["((("]),
