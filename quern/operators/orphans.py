@@ -81,7 +81,7 @@ def find_orphans(
 
     typed = [F.col(n).cast(dict(states.dtypes)[n]) for n in names]
     narrow = narrow.select(row_id, *carry, *[t.alias(n) for t, n in zip(typed, names)], "__at")
-    n_keys = states.count()
+    n_keys = parents.count()  # at least the number of keys; read from the files' footers
     reason = F.when(F.col("__born").isNull() & F.col("__known").isNull(), "missing").when(F.col("__gone") <= F.col("__at"), "deleted").when(F.col("__born") > F.col("__at"), "late")
     joined = lambda left: (
         left.join(states.withColumn("__known", F.lit(True)), names, "left").withColumn("reason", reason).where(F.col("reason").isNotNull()).select(row_id, *carry, "reason")
@@ -90,7 +90,9 @@ def find_orphans(
         return narrow.select(row_id, *carry, F.lit("missing").alias("reason"))
     if n_keys > SATURATED:
         return joined(narrow)
-    bits = _bloom(states.select(F.xxhash64(*names).alias("h")), n_keys)
+    parent_kinds = dict(parents.dtypes)
+    hashed = parents.select(*[_key(k, parent_kinds[k]).alias(n) for k, n in zip(parent_keys, names)]).dropna().select(F.xxhash64(*names).alias("h"))
+    bits = _bloom(hashed, n_keys)
     hit = _might_contain(spark, bits, F.xxhash64(*[F.col(n) for n in names]))
     probed = narrow.withColumn("__hit", hit)
     absent = probed.where(~F.col("__hit")).select(row_id, *carry, F.lit("missing").alias("reason"))
