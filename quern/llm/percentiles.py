@@ -18,10 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.session import cut
+
 #: Rank error (share of the group's values) that a merged summary may have.
 EPSILON = 0.01
 #: Rows of one group that are summarised by one task; larger groups are salted.
 ROWS_PER_TASK = 4_000_000
+#: Large groups that are sent to all tasks; more of them are joined by shuffle.
+MAX_LARGE = 200_000
 #: Values held before they are condensed.
 BUFFERED = 1_000_000
 #: Summaries merged by one task at each level of the hierarchy.
@@ -273,15 +277,18 @@ def distinct_rows(df: DataFrame, natural_key: Sequence[str], group: Sequence[str
     """
     rest = [k for k in natural_key if k not in group]
     large = df.groupBy(*group).agg(F.count(F.lit(1)).alias("__rows")).where(F.col("__rows") > rows_per_task)
-    large = large.select(*[F.col(k).alias(f"__{k}") for k in group], F.ceil(F.col("__rows") / rows_per_task).alias("__parts"))
-    on = [df[k].eqNullSafe(large[f"__{k}"]) for k in group]
-    condition = on[0]
-    for c in on[1:]:
-        condition = condition & c
-    salted = df.join(large, condition, "left").drop(*[f"__{k}" for k in group])
-    salted = salted.withColumn("__salt", F.pmod(F.xxhash64(*rest), F.coalesce("__parts", F.lit(1)))).drop("__parts")
-    spread = salted.repartition(*group, "__salt")
-    return spread.dropDuplicates([*natural_key, "__salt"]).sortWithinPartitions(*group)
+    large = cut(large.select(*[F.col(k).alias(f"__{k}") for k in group], F.ceil(F.col("__rows") / rows_per_task).alias("__parts")))
+    n_large = large.count()
+    if n_large:
+        # at most one of them for every rows_per_task rows; sent to all tasks while they are few
+        on = [df[k].eqNullSafe(large[f"__{k}"]) for k in group]
+        condition = on[0]
+        for c in on[1:]:
+            condition = condition & c
+        salted = df.join(F.broadcast(large) if n_large <= MAX_LARGE else large, condition, "left").drop(*[f"__{k}" for k in group])
+        salted = salted.withColumn("__salt", F.pmod(F.xxhash64(*rest), F.coalesce("__parts", F.lit(1)))).drop("__parts")
+        return salted.repartition(*group, "__salt").dropDuplicates([*natural_key, "__salt"]).sortWithinPartitions(*group)
+    return df.repartition(*group).dropDuplicates(list(natural_key)).sortWithinPartitions(*group)
 
 
 def grouped_summaries(df: DataFrame, groupings: Sequence[Grouping], natural_key: Sequence[str], eps: float = EPSILON) -> DataFrame:
