@@ -83,3 +83,47 @@ def in_samples(df: DataFrame, samples: dict[str, Column]) -> DataFrame:
 def filled(column: str, eligible: Column, value: object = 0) -> Column:
     """Missing becomes ``value`` on eligible rows alone; elsewhere it stays missing."""
     return F.when(eligible, F.coalesce(F.col(column), F.lit(value))).otherwise(F.col(column))
+
+
+def typed(df: DataFrame, columns: dict[str, tuple[str, str]]) -> DataFrame:
+    """Selected columns under new names and types; a value that doesn't fit raises."""
+    return df.select(*[F.col(f"`{old}`").cast(kind).alias(new) for old, (new, kind) in columns.items()])
+
+
+def corrected(df: DataFrame, corrections: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
+    """``column`` replaced by the correction for the row's keys as they came, so corrections never act on one another.
+
+    Raises unless each correction meets exactly one row. ``corrections`` has the keys and ``corrected``.
+    """
+    hits = corrections.join(df.select(*keys, F.lit(1).alias("__hit")), list(keys), "left").groupBy(*keys).agg(F.count("__hit").alias("n"))
+    wrong = hits.where("n <> 1").limit(1).collect()
+    if wrong:
+        raise ContractError(f"the correction {wrong[0].asDict()} meets {wrong[0]['n']} rows")
+    assert_unique(corrections, keys, "corrections")
+    out = df.join(corrections.select(*keys, F.col("corrected").alias("__new")), list(keys), "left")
+    return out.withColumn(column, F.coalesce("__new", column)).drop("__new").select(*df.columns)
+
+
+def same_rows(before: DataFrame, after: DataFrame) -> DataFrame:
+    """``after``, if a join has neither lost nor added rows."""
+    a, b = before.count(), after.count()
+    if a != b:
+        raise ContractError(f"{b} rows after the join, {a} before")
+    return after
+
+
+def same_domain(df: DataFrame, listed: DataFrame, column: str) -> DataFrame:
+    """``df``, if both sides have the same values; else raises with what is new and what is missing."""
+    found = domain_difference(df, listed, column).limit(40).collect()
+    if found:
+        new, missing = (sorted(r["value"] for r in found if r["side"] == s) for s in ("new", "missing"))
+        raise ContractError(f"{column}: new {new}, missing {missing}")
+    return df
+
+
+def exactly_one(df: DataFrame, matches: DataFrame, row_id: str) -> DataFrame:
+    """The entity of rows that a time-valid lookup matched once; raises for any other number of matches."""
+    wrong = matches.where("n_matches <> 1").limit(5).collect()
+    if wrong:
+        raise ContractError(f"rows matched {[r['n_matches'] for r in wrong]} times: {[r[row_id] for r in wrong]}")
+    return df.join(matches.select(row_id, F.col("least_entity").alias("entity_id")), row_id)

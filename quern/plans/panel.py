@@ -361,3 +361,56 @@ def display_names(spark: SparkSession, folder: str) -> DataFrame:
 
     codes = table(spark, folder, "speakers_by_session").select(F.trim("iso_code").alias("entity_id")).where("entity_id <> ''").distinct()
     return display_name(codes, "entity_id", table(spark, folder, "region_income_snapshot")).select("entity_id", "display_name")
+
+
+@query("""SELECT speaker_row_id, CASE WHEN year = 1995 AND iso_code = 'EHR' THEN 'HRE' WHEN year = 1995 AND iso_code = 'HRE' THEN 'EHR' ELSE iso_code END AS iso_code FROM speakers_by_session WHERE year = 1995 AND session = 50""")
+def conditional_update(spark: SparkSession, folder: str) -> DataFrame:
+    """Two codes swapped: both conditions look at the code as it came."""
+    rows = table(spark, folder, "speakers_by_session").where("year = 1995 and session = 50")
+    swap = spark.createDataFrame([("EHR", 1995, "HRE"), ("HRE", 1995, "EHR")], "iso_code string, year int, corrected string")
+    out = rows.join(F.broadcast(swap), ["iso_code", "year"], "left")
+    return out.select("speaker_row_id", F.coalesce("corrected", "iso_code").alias("iso_code"))
+
+
+@query(f"WITH {base.CONFLICTS}, {base.CELLS} SELECT entity_id, year FROM cells c WHERE EXISTS (SELECT 1 FROM conf w WHERE w.entity_id = c.entity_id AND w.year = c.year)")
+def semi_membership(spark: SparkSession, folder: str) -> DataFrame:
+    """Cells with conflict."""
+    return base.cells(spark, folder).select("entity_id", "year").join(base.conflicts(spark, folder).select("entity_id", "year"), ["entity_id", "year"], "left_semi")
+
+
+@query("SELECT k.speaker_row_id, s.n_speeches FROM speakers_by_session k LEFT JOIN (SELECT entity_id, year, count(*) AS n_speeches FROM speeches GROUP BY 1, 2) s ON s.entity_id = k.iso_code AND s.year = k.year")
+def update_all_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """Every metadata row of a key gets what its speeches give."""
+    speeches = table(spark, folder, "speeches").groupBy(F.col("entity_id").alias("iso_code"), "year").agg(F.count(F.lit(1)).alias("n_speeches"))
+    rows = table(spark, folder, "speakers_by_session").select("speaker_row_id", "iso_code", "year")
+    return relational.join_checked(rows, speeches, ["iso_code", "year"], "left", "many_to_one").select("speaker_row_id", "n_speeches")
+
+
+@query("SELECT speaker_post_group, count(*) AS n_rows, count(DISTINCT entity_id) AS n_countries, round(avg(speech_token_count), 6) AS mean_tokens, max(speech_token_count) AS most_tokens FROM modelling_rows GROUP BY 1")
+def value_counts(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "modelling_rows").groupBy("speaker_post_group")
+    return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("entity_id").alias("n_countries"), F.round(F.avg("speech_token_count"), 6).alias("mean_tokens"), F.max("speech_token_count").alias("most_tokens"))
+
+
+@query("SELECT DISTINCT entity_id, year FROM modelling_rows WHERE entity_id IS NOT NULL")
+def distinct_keys(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "modelling_rows").select("entity_id", "year").where("entity_id is not null").distinct()
+
+
+@query("""SELECT entity_id, year, speech_no FROM (SELECT DISTINCT entity_id, year, speech_no FROM speeches s WHERE s.deleted_at IS NULL AND s.speech_clean IS NOT NULL AND NOT EXISTS
+(SELECT 1 FROM scores c WHERE trim(c.entity_id) = s.entity_id AND c.year = s.year AND c.speech_no = s.speech_no)) ORDER BY year, entity_id, speech_no LIMIT 8""")
+def pending_queue(spark: SparkSession, folder: str) -> DataFrame:
+    """The next batch to score: the first eight pending keys in order."""
+    return resume_pending(spark, folder).orderBy("year", "entity_id", "speech_no").limit(8)
+
+
+@query("""SELECT count(*) AS n_rows, count(*) FILTER (milex_status_t <> 'observed' AND milex_share_gdp_t IS NOT NULL) AS spending_unobserved, count(*) FILTER (milex_status_t = 'observed' AND milex_share_gdp_t IS NULL) AS observed_missing,
+count(*) FILTER (trust_score IS NULL) AS trust_missing, count(*) FILTER (isnan(trust_score)) AS trust_nan FROM modelling_rows""")
+def missingness_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """Missing is not zero: what is missing, and whether status and value agree."""
+    rows = table(spark, folder, "modelling_rows")
+    observed = F.col("milex_status_t") == "observed"
+    return rows.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(~observed & F.col("milex_share_gdp_t").isNotNull()).alias("spending_unobserved"), F.count_if(observed & F.col("milex_share_gdp_t").isNull()).alias("observed_missing"),
+        F.count_if(F.col("trust_score").isNull()).alias("trust_missing"), F.count_if(F.isnan("trust_score")).alias("trust_nan"),
+    )

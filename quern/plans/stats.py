@@ -240,3 +240,37 @@ def corpus_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
     from quern.operators.quality import corpus_fingerprint as fingerprint
 
     return fingerprint(table(spark, folder, "speeches"), ["entity_id", "year"], "speech_clean")
+
+
+@query(_EY + ", b AS (SELECT avg(target) AS p FROM scored WHERE year <= 2010) SELECT s.period, round(avg((b.p - s.target) * (b.p - s.target)), 6) AS brier FROM scored s, b WHERE s.year > 2010 GROUP BY 1")
+def prevalence_baseline(spark: SparkSession, folder: str) -> DataFrame:
+    """The share of the training years as everybody's score."""
+    rows = _scored(spark, folder)
+    share = rows.where("year <= 2010").agg(F.avg("target")).head()[0] or 0.0
+    later = rows.where("year > 2010").withColumn("score", F.lit(float(share)))
+    return _rounded(model.metrics(later, ["period"]).select("period", "brier"))
+
+
+@query(f"WITH {base.PASSAGES} SELECT row_id, round(ln(speech_token_count), 9) AS log_words, round(ln(1 + 100 * milex), 9) AS log_spending FROM pass WHERE speech_token_count > 0")
+def log_features(spark: SparkSession, folder: str) -> DataFrame:
+    rows = base.passages(spark, folder).where("speech_token_count > 0")
+    return rows.select("row_id", F.round(F.log("speech_token_count"), 9).alias("log_words"), F.round(F.log1p(100 * F.col("milex")), 9).alias("log_spending"))
+
+
+_POSTS = ("foreign_minister", "head_of_government", "head_of_state", "other", "representative")
+
+
+@query("SELECT row_id, " + ", ".join(f"CASE WHEN speaker_post_group = '{p}' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS speaker_post_group_{i}" for i, p in enumerate(_POSTS)) + " FROM modelling_rows")
+def one_hot(spark: SparkSession, folder: str) -> DataFrame:
+    """Levels as columns; an unlisted level is zero in all of them."""
+    rows, names = model.one_hot(table(spark, folder, "modelling_rows"), "speaker_post_group", _POSTS)
+    return rows.select("row_id", *names)
+
+
+@query(_EY + _AP.rstrip() + ", a AS (SELECT period, sum(p * cp / CAST(cn AS DOUBLE)) / max(tp) AS ap FROM r GROUP BY 1) SELECT 'score' AS model, round(max(ap) FILTER (period = 'early'), 6) AS early, round(max(ap) FILTER (period = 'late'), 6) AS late, round(avg(ap), 6) AS mean FROM a")
+def metric_by_period(spark: SparkSession, folder: str) -> DataFrame:
+    """A metric with periods as columns and the mean of those at hand."""
+    scores = model.metrics(_scored(spark, folder), ["period"]).withColumn("model", F.lit("score"))
+    wide = scores.groupBy("model").pivot("period", ["early", "late"]).agg(F.first("average_precision"))
+    at_hand = F.array_compact(F.array("early", "late"))
+    return _rounded(wide.withColumn("mean", F.aggregate(at_hand, F.lit(0.0), lambda a, x: a + x) / F.size(at_hand)))

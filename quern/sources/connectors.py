@@ -67,8 +67,12 @@ def _column(reference: str) -> int:
     return n - 1
 
 
-def sheet_rows(path: str, sheet: str | None) -> Iterator[list[str | None]]:
-    """Rows of a sheet as text, in order; empty cells are null. The sheet is streamed."""
+def sheet_rows(path: str, sheet: str | None, typed: bool = False) -> Iterator[list[str | None]]:
+    """Rows of a sheet as text, in order; empty cells are null. The sheet is streamed.
+
+    ``typed`` puts n: before numbers and s: before text, so that a number typed as text is told from a number.
+    """
+    figures, words = ("n:", "s:") if typed else ("", "")
     with zipfile.ZipFile(path) as z:
         shared: list[str] = []
         if "xl/sharedStrings.xml" in z.namelist():
@@ -92,11 +96,11 @@ def sheet_rows(path: str, sheet: str | None) -> Iterator[list[str | None]]:
                 cells += [None] * (at + 1 - len(cells))
                 v = c.find(f"{_MAIN}v")
                 if c.get("t") == "s" and v is not None:
-                    cells[at] = shared[int(v.text)]
+                    cells[at] = words + shared[int(v.text)]
                 elif c.get("t") == "inlineStr":
-                    cells[at] = "".join(t.text or "" for t in c.iter(f"{_MAIN}t"))
+                    cells[at] = words + "".join(t.text or "" for t in c.iter(f"{_MAIN}t"))
                 elif v is not None:
-                    cells[at] = v.text
+                    cells[at] = (words if c.get("t") in ("str", "e", "b") else figures) + v.text
             yield cells
             row.clear()
 
@@ -107,13 +111,13 @@ class XlsxReader(DataSourceReader):
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         skip = int(self.options.get("header", 0)) + 1
-        for i, row in enumerate(sheet_rows(self.options["path"], self.options.get("sheet"))):
+        for i, row in enumerate(sheet_rows(self.options["path"], self.options.get("sheet"), self.options.get("typed") == "true")):
             if i >= skip and any(c is not None for c in row):
                 yield tuple((row + [None] * self.width)[: self.width])
 
 
 class XlsxSource(DataSource):
-    """format("xlsx"), options path, sheet, header (rows before the header row); all cells as text, blank rows left out."""
+    """format("xlsx"), options path, sheet, header (rows before the header row), typed; all cells as text, blank rows left out."""
 
     @classmethod
     def name(cls) -> str:
@@ -137,3 +141,8 @@ class XlsxSource(DataSource):
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(SqliteSource)
     spark.dataSource.register(XlsxSource)
+
+
+def read_csv(spark: SparkSession, path: str, schema: str):
+    """A CSV file with a header and the given schema; a cell that doesn't fit raises."""
+    return spark.read.csv(path, header=True, schema=schema, mode="FAILFAST", enforceSchema=False)

@@ -6,6 +6,7 @@ import bisect
 import hashlib
 import re
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -117,6 +118,19 @@ def score_stream(spark, source: str, schema: str, cache: str, checkpoint: str, *
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+@contextmanager
+def single_writer(path: str):
+    """Holds a lock file, so that one process at a time appends to a cache; raises if another holds it."""
+    import fcntl
+
+    with open(path, "w") as f:
+        try:
+            fcntl.flock(f, fcntl.LOCK_EX | fcntl.LOCK_NB)
+        except OSError as e:
+            raise ContractError(f"another process holds {path}") from e
+        yield
+
+
 def label_pairs(premise: Column, hypotheses: Sequence[str]) -> Column:
     """Premise and hypothesis in the form of a pair for inference."""
     return F.array(*[F.concat(F.lit("[CLS] "), premise, F.lit(" [SEP] "), F.lit(h), F.lit(" [SEP]")) for h in hypotheses])
