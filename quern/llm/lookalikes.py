@@ -66,7 +66,7 @@ def compiled() -> dict[str, str]:
         elif parts := unicodedata.decomposition(ch):
             tag = parts.split(" ", 1)[0]
             plain = unicodedata.normalize("NFKD", ch)
-            letters = tag == "<compat>" and kind[0] == "L" and all(unicodedata.category(x)[0] in "LM" for x in plain) and "ʼ" not in plain
+            letters = tag == "<compat>" and kind[0] == "L" and len(plain) > 1 and all(unicodedata.category(x)[0] in "LM" for x in plain) and "ʼ" not in plain
             if tag in SAME_LETTERS or letters:
                 if " " not in plain or tag in ("<wide>", "<narrow>"):
                     add(ch, "".join(rules.get(x, x) for x in plain))

@@ -119,8 +119,9 @@ def test_one_form():
     t = lookalikes.Transducer()
     same = ["café fi-x A1", "café ﬁ‐x Ａ１", "саf​é fi‑x А1", "ca­fe‍́ fi-x　A1", "﻿café fi-x A1"]
     assert {t(x) for x in same} == {"café fi-x A1"}
-    for a, b in (("a", "A"), ("e", "é"), ("1", "l"), ("O", "0"), ("-", "–"), ("x²", "x2"), (".", "…"), ("a b", "a  b"), ('"', "“"), ("½", "1/2"), ("κ", "k")):
+    for a, b in (("a", "A"), ("e", "é"), ("1", "l"), ("O", "0"), ("-", "–"), ("x²", "x2"), (".", "…"), ("a b", "a  b"), ('"', "“"), ("½", "1/2"), ("κ", "k"), ("ſ", "s"), ("ϐ", "β"), ("Ⅳ", "IV")):
         assert t(a) != t(b)
+    assert t("ﬂ ﬆ ǆ ﻟ") == "fl st dž ل"
     assert t("") == "" and t("é" * 500_000) == "é" * 500_000
 
 
