@@ -146,3 +146,18 @@ def content_words(c: Column, stopwords: Sequence[str], longer_than: int = 2) ->
     """Words of a cleaned text without stopwords and short words."""
     stop = F.array(*[F.lit(w) for w in stopwords])
     return F.filter(F.split(basic_clean(c), " "), lambda w: (F.length(w) > longer_than) & ~F.array_contains(stop, w))
+
+
+def context_review(df: DataFrame, text: str, key: str, strata: Sequence[str], *, categories: Sequence[str] = tuple(DICTIONARIES), per_cell: int = 4, seed: str = "c1", length: int = 600) -> DataFrame:
+    """Sentences with a term of each category, ``per_cell`` for each category and stratum, by seeded hash.
+
+    Result: category, the strata, the key, sentence_no, term (the first found), context and pick.
+    """
+    from quern.operators.windows import hash_sample
+
+    rows = df.where(F.col(text).isNotNull()).select(key, *strata, F.posexplode(simple_sentences(F.col(text))).alias("sentence_no", "sentence"))
+    terms = [F.struct(F.lit(c).alias("category"), F.lower(F.regexp_substr("sentence", F.lit(dictionary_pattern(DICTIONARIES[c])))).alias("term")) for c in categories]
+    found = rows.withColumn("__t", F.explode(F.filter(F.array(*terms), lambda t: t["term"].isNotNull()))).select(
+        "__t.category", *strata, key, "sentence_no", "__t.term", F.left("sentence", F.lit(length)).alias("context")
+    )
+    return hash_sample(found, ["category", *strata], F.concat_ws(":", F.col(key).cast("string"), F.col("sentence_no").cast("string")), per_cell, seed)

@@ -42,15 +42,16 @@ def _moments(df: DataFrame, group: str, value: str) -> DataFrame:
 def t_test(df: DataFrame, group: str, value: str) -> DataFrame:
     """Student's t for group 1 against 0 with equal variances: n0, n1, m0, m1, t, degrees of freedom and two-sided p."""
     n0, n1 = F.col("n0"), F.col("n1")
-    pooled = ((n0 - 1) * F.col("v0") + (n1 - 1) * F.col("v1")) / (n0 + n1 - 2)
-    out = _moments(df, group, value).withColumn("t", (F.col("m1") - F.col("m0")) / F.sqrt(pooled * (1 / n0 + 1 / n1))).withColumn("df", n0 + n1 - 2)
+    pooled = ((n0 - 1) * F.col("v0") + (n1 - 1) * F.col("v1")) / F.nullif(n0 + n1 - 2, F.lit(0))
+    error = F.sqrt(pooled * (1 / F.nullif(n0, F.lit(0)) + 1 / F.nullif(n1, F.lit(0))))
+    out = _moments(df, group, value).withColumn("t", (F.col("m1") - F.col("m0")) / F.nullif(error, F.lit(0.0))).withColumn("df", n0 + n1 - 2)
     p = F.pandas_udf(lambda t, d: t.combine(d, two_sided_p), "double")
     return out.select("n0", "n1", "m0", "m1", "t", "df", p("t", "df").alias("p_value"))
 
 
 def two_sided_p(t: float, df: float) -> float:
     """Tail probability of Student's distribution by the continued fraction of the incomplete beta function."""
-    if t is None or df is None or math.isnan(t) or df <= 0:
+    if t is None or df is None or math.isnan(t) or math.isnan(df) or df <= 0:
         return float("nan")
     x = df / (df + t * t)
     a, b = df / 2, 0.5
@@ -79,15 +80,21 @@ def two_sided_p(t: float, df: float) -> float:
 def cohens_d(df: DataFrame, group: str, value: str) -> DataFrame:
     """Difference of means of group 1 and 0 over the pooled standard deviation."""
     n0, n1 = F.col("n0"), F.col("n1")
-    pooled = F.sqrt(((n0 - 1) * F.col("v0") + (n1 - 1) * F.col("v1")) / (n0 + n1 - 2))
+    pooled = F.nullif(F.sqrt(((n0 - 1) * F.col("v0") + (n1 - 1) * F.col("v1")) / F.nullif(n0 + n1 - 2, F.lit(0))), F.lit(0.0))
     return _moments(df, group, value).select("n0", "n1", ((F.col("m1") - F.col("m0")) / pooled).alias("cohens_d"))
 
 
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson's correlation over rows with both values; null where one of them is constant."""
+    both = a.isNotNull() & b.isNotNull()
+    x, y = F.when(both, a), F.when(both, b)
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+
+
 def pearson(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Correlation of every pair of columns over the rows that have both, in one pass."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    both = lambda a, b: F.col(a).isNotNull() & F.col(b).isNotNull()
-    one = df.agg(*[F.corr(F.when(both(a, b), F.col(a)), F.when(both(a, b), F.col(b))).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
+    one = df.agg(*[correlation(F.col(a), F.col(b)).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
     return one.select(F.expr(f"stack({len(pairs)}, {', '.join(f'{chr(39)}{a}{chr(39)}, {chr(39)}{b}{chr(39)}, c{i}' for i, (a, b) in enumerate(pairs))}) as (a, b, correlation)"))
 
 
@@ -95,7 +102,7 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """Correlation of average ranks over the rows that have both values."""
     both = df.select(F.col(a).alias("a"), F.col(b).alias("b")).dropna()
     ranked = both.join(average_ranks(both, [], "a", "ra"), "a").join(average_ranks(both, [], "b", "rb"), "b")
-    return ranked.agg(F.corr("ra", "rb").alias("correlation")).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "correlation")
+    return ranked.agg(correlation(F.col("ra"), F.col("rb")).alias("correlation")).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "correlation")
 
 
 # -- bootstrap ---------------------------------------------------------------------------------------------------

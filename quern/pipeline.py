@@ -186,6 +186,13 @@ def explore(scored: DataFrame, *, replicates: int = stats.REPLICATES, seed: int
     }
 
 
+def context_review(panel: DataFrame, per_cell: int = 4, seed: str = "c1") -> DataFrame:
+    """Sentences in which the dictionaries' terms occur, for review, by category and period."""
+    period = reshape.right_closed(F.col("year"), [1989, 2001, 2013, 2025], ["1990-2001", "2002-2013", "2014-2025"])
+    rows = panel.withColumn("period", period).where("period is not null").withColumn("key", F.concat_ws("|", "entity_id", "year"))
+    return text.context_review(rows, "speech_clean", "key", ["period"], per_cell=per_cell, seed=seed)
+
+
 HISTORY = ["conflict_active_t", "any_war_t", "n_conflicts_t", "past5"]
 CONTROLS = ["year", "log_words"]
 RHETORIC = ["trust_score", "threat_score"]
@@ -226,4 +233,6 @@ def predict(scored: DataFrame, conflicts: DataFrame) -> dict[str, DataFrame]:
     table = scores.where("kind = 'validation'").groupBy("sample", "model").pivot("period", [f.name for f in VALIDATION]).agg(F.first("average_precision"))
     table = table.withColumn("mean", F.expr(" + ".join(f"`{f.name}`" for f in VALIDATION)) / len(VALIDATION))
     listed = data.sparkSession.createDataFrame(coefficients, "sample string, model string, feature string, coefficient double").withColumn("odds_ratio", F.exp("coefficient"))
-    return {"predictions": made, "scores": scores, "average_precision_by_round": table, "coefficients": listed}
+    models = [f"{s}:{n}" for s, (_, ladder) in samples_and_ladders(data).items() for n, f in ladder.items() if f]
+    matrix = listed.withColumn("fitted", F.concat_ws(":", "sample", "model")).groupBy("feature").pivot("fitted", models).agg(F.first("coefficient"))
+    return {"predictions": made, "scores": scores, "average_precision_by_round": table, "coefficients": listed, "coefficient_matrix": matrix}

@@ -39,7 +39,7 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     parts = [
         ("speakers_by_session", "iso_code", "speaker_row_id", find_orphans(speakers, entities, row_id="speaker_row_id", ref_keys=["iso_code"], parent_keys=["entity_id"], carry=["year"], **times)),
         ("speakers_by_session", "session", "speaker_row_id", find_orphans(speakers, sessions, row_id="speaker_row_id", ref_keys=["session"], parent_keys=["session"], carry=["year"], **times)),
-        ("scores", "entity_id", "score_id", _score_orphans(scores, speeches, times)),
+        ("scores", "entity_id", "score_id", find_orphans(scores, speeches, row_id="score_id", ref_keys=["entity_id", "year", "speech_no"], parent_keys=["entity_id", "year", "speech_no"], carry=["year"], **times)),
     ]
     out = None
     for name, field, row_id, found in parts:
@@ -48,12 +48,6 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return out
 
 
-def _score_orphans(scores: DataFrame, speeches: DataFrame, times: dict) -> DataFrame:
-    carried = scores.withColumn("__y", F.col("year"))
-    found = find_orphans(carried, speeches, row_id="score_id", ref_keys=["entity_id", "year", "speech_no"], parent_keys=["entity_id", "year", "speech_no"], carry=["__y"], **times)
-    return found.withColumnRenamed("__y", "year")
-
-
 def p4_report(spark: SparkSession, folder: str) -> DataFrame:
     """Orphans counted per table, field, year and reason."""
     return orphan_report(p4_found(spark, folder), "ref_year")

@@ -414,3 +414,15 @@ def missingness_audit(spark: SparkSession, folder: str) -> DataFrame:
         F.count(F.lit(1)).alias("n_rows"), F.count_if(~observed & F.col("milex_share_gdp_t").isNotNull()).alias("spending_unobserved"), F.count_if(observed & F.col("milex_share_gdp_t").isNull()).alias("observed_missing"),
         F.count_if(F.col("trust_score").isNull()).alias("trust_missing"), F.count_if(F.isnan("trust_score")).alias("trust_nan"),
     )
+
+
+@query("""SELECT name, CAST(sum(u) AS BIGINT) AS in_conflicts, CAST(sum(m) AS BIGINT) AS in_spending, CAST(max(l) AS INTEGER) AS listed FROM (SELECT source_name AS name, 1 AS u, 0 AS m, 0 AS l FROM ucdp_country_crosswalk
+UNION ALL SELECT source_name, 0, 1, 0 FROM sipri_country_crosswalk UNION ALL SELECT country_name, 0, 0, 1 FROM region_income_snapshot) WHERE name IS NOT NULL GROUP BY 1""")
+def name_accounting(spark: SparkSession, folder: str) -> DataFrame:
+    """How often each name occurs in the two sources, and whether the list has it."""
+    parts = [
+        table(spark, folder, t).select(F.col(c).alias("name"), *[F.lit(int(i == k)).alias(n) for k, n in enumerate(("u", "m", "l"))])
+        for i, (t, c) in enumerate((("ucdp_country_crosswalk", "source_name"), ("sipri_country_crosswalk", "source_name"), ("region_income_snapshot", "country_name")))
+    ]
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).where("name is not null").groupBy("name")
+    return rows.agg(F.sum("u").alias("in_conflicts"), F.sum("m").alias("in_spending"), F.max("l").alias("listed"))

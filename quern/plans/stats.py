@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quern.operators import model, ordered, relational, stats, windows
 from quern.plans import base
 from quern.plans.panel import _OBSERVED, _WITH_SAMPLES, _observed, _samples
-from quern.session import table
+from quern.session import cut, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -105,10 +105,19 @@ def pearson_matrix(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(stats.pearson(base.passages(spark, folder), base.FEATURES))
 
 
-@query(f"""WITH {base.PASSAGES}, b AS (SELECT trust AS a, milex AS b FROM pass WHERE trust IS NOT NULL AND milex IS NOT NULL),
-r AS (SELECT rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0 AS ra, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0 AS rb FROM b) SELECT 'trust' AS a, 'milex' AS b, round(corr(ra, rb), 6) AS correlation FROM r""")
+_PAIRS = (("trust", "threat"), ("trust", "milex"), ("threat", "milex"))
+_SPEARMAN = " UNION ALL ".join(
+    f"""SELECT '{a}' AS a, '{b}' AS b, round(corr(ra, rb), 6) AS correlation FROM (SELECT rank() OVER (ORDER BY {a}) + (count(*) OVER (PARTITION BY {a}) - 1) / 2.0 AS ra,
+rank() OVER (ORDER BY {b}) + (count(*) OVER (PARTITION BY {b}) - 1) / 2.0 AS rb FROM pass WHERE {a} IS NOT NULL AND {b} IS NOT NULL)"""
+    for a, b in _PAIRS
+)
+
+
+@query(f"WITH {base.PASSAGES} {_SPEARMAN}")
 def spearman_matrix(spark: SparkSession, folder: str) -> DataFrame:
-    return _rounded(stats.spearman(base.passages(spark, folder), "trust", "milex"))
+    rows = base.passages(spark, folder)
+    parts = [stats.spearman(rows, a, b) for a, b in _PAIRS]
+    return _rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]))
 
 
 _BOOT = f"""WITH {base.PASSAGES}, {_OBSERVED}, sub AS (SELECT entity_id, transition, feature, value FROM (SELECT entity_id, transition, unnest(['trust', 'threat', 'milex']) AS feature, unnest([trust, threat, milex]) AS value FROM obs WHERE transition IN ('continued_peace', 'onset')) WHERE value IS NOT NULL),
@@ -198,7 +207,7 @@ def _modelling(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def logit_ladder(spark: SparkSession, folder: str) -> DataFrame:
     """Metrics of every model of the ladder on every fold."""
-    rows = _modelling(spark, folder).cache()
+    rows = cut(_modelling(spark, folder))
     predictions, _ = model.expanding_predictions(rows, FOLDS, LADDER, year="year", target="target", category="post")
     return _rounded(model.metrics(predictions, ["period", "model"]))
 

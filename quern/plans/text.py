@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import text
-from quern.operators.windows import hash_sample
 from quern.session import table
 
 QUERIES: dict = {}
@@ -113,12 +112,8 @@ def text_context_review(spark: SparkSession, folder: str) -> DataFrame:
     """Sentences with a term of a dictionary, four for each period, by seeded hash."""
     from quern.operators.reshape import right_closed
 
-    rows = _speeches(spark, folder).where("speech_clean is not null").withColumn("period", right_closed(F.col("year"), [1989, 2001, 2013, 2025], ["1990-2001", "2002-2013", "2014-2025"])).where("period is not null")
-    rows = rows.select("speech_id", "period", F.posexplode(text.simple_sentences(F.col("speech_clean"))).alias("sentence_no", "sentence"))
-    term = F.lower(F.regexp_substr("sentence", F.lit(text.dictionary_pattern(text.DICTIONARIES["reform_salience"]))))
-    found = rows.withColumn("term", term).where("term is not null").withColumn("context", F.left("sentence", F.lit(600)))
-    key = F.concat(F.col("speech_id").cast("string"), F.lit(":"), F.col("sentence_no").cast("string"))
-    return hash_sample(found, ["period"], key, 4, "c1").select("period", "speech_id", "sentence_no", "term", "context", "pick")
+    rows = _speeches(spark, folder).withColumn("period", right_closed(F.col("year"), [1989, 2001, 2013, 2025], ["1990-2001", "2002-2013", "2014-2025"])).where("period is not null")
+    return text.context_review(rows, "speech_clean", "speech_id", ["period"], categories=["reform_salience"]).drop("category")
 
 
 @query(r"""SELECT source_name, trim(regexp_replace(lower(strip_accents(source_name)), '[^a-z0-9]+', ' ', 'g')) AS normalised FROM (SELECT DISTINCT source_name FROM ucdp_country_crosswalk WHERE regexp_full_match(source_name, '[\x20-\x7EÀ-ÿ]*'))""")

@@ -111,6 +111,16 @@ def test_t_test_p_value():
     assert stats.two_sided_p(0.0, 5) == 1.0 and math.isnan(stats.two_sided_p(float("nan"), 5))
 
 
+def test_constant_and_empty_input(spark):
+    df = spark.createDataFrame([(0, 1.0, 2.0), (1, 1.0, 3.0), (1, 1.0, 5.0)], "g int, x double, y double")
+    assert stats.pearson(df, ["x", "y"]).head().correlation is None and stats.spearman(df, "x", "y").head().correlation is None
+    assert stats.cohens_d(df, "g", "x").head().cohens_d is None and stats.t_test(df, "g", "x").head().t is None
+    empty = df.limit(0)
+    assert stats.t_test(empty, "g", "x").head().n0 == 0 and stats.box_stats(empty, ["g"], "x").count() == 0
+    assert stats.pearson(empty, ["x", "y"]).head().correlation is None
+    assert math.isclose(stats.pearson(spark.createDataFrame([(1.0, 2.0), (2.0, 1.0), (3.0, 5.0), (None, 9.0)], "x double, y double"), ["x", "y"]).head().correlation, np.corrcoef([1, 2, 3], [2, 1, 5])[0, 1])
+
+
 def test_bootstrap_against_numpy(spark):
     rng = np.random.default_rng(3)
     data = [(f"e{i % 12}", "onset" if rng.random() < 0.3 else "continued_peace", float(rng.normal())) for i in range(300)]

@@ -112,3 +112,35 @@ def test_explore_and_predict(spark):
         assert out["average_precision_by_round"].count() == 7 and out["coefficients"].where("feature = 'past5'").count() == 5
     finally:
         pipeline.VALIDATION = kept
+
+
+def test_commands(spark, inputs, tmp_path, monkeypatch):
+    from quern import __main__ as cli
+
+    monkeypatch.setattr(cli, "local_session", lambda: spark)
+    config, out = tmp_path / "config", tmp_path / "out"
+    config.mkdir()
+    (config / "corrections.csv").write_text("iso,session,year,corrected\nAAX,75,2020,AAA\n")
+    (config / "entity_rules.csv").write_text("source_label,valid_from,valid_to,entity_id,entity_type\nEU,1990,2030,EU,non_state_aggregate\n")
+    (config / "countries.csv").write_text("entity_id,country_name\nAAA,Aland\nBBB,Bland\n")
+    header = "source_name,entity_id,country_name,valid_from,valid_to,mapping_rationale,exclusion_status\n"
+    (config / "spending_crosswalk.csv").write_text(header + "Aland,AAA,Aland,0,0,r,included\nBland,BBB,Bland,0,0,r,included\n")
+    (config / "conflict_crosswalk.csv").write_text(header + "Aland,AAA,Aland,1946,2030,r,included\nBland,BBB,Bland,1946,2030,r,included\nOld,OLD,Old,1946,2030,r,included\n")
+    args = ["--root", str(tmp_path), "--config", str(config), "--output", str(out), "--sessions", "2"]
+    cli.main(["prepare", *args])
+    assert (out / "manifest.json").exists()
+    cli.main(["score", *args, "--limit", "2"])
+    cli.main(["score", *args])
+    cli.main(["score", *args])
+    assert spark.read.parquet(str(out / "scores")).count() == 6
+    cli.main(["explore", *args, "--replicates", "20"])
+    assert spark.read.csv(str(out / "explore" / "transition_counts"), header=True).count() == 8
+
+
+def test_context_review(spark):
+    rows = [("A", y, f"We fear war {i}. We trust you. Reform now! Nothing here.") for i, y in enumerate(range(1990, 2025))]
+    df = spark.createDataFrame(rows, "entity_id string, year int, speech_clean string")
+    out = pipeline.context_review(df, per_cell=3)
+    cells = {(r.category, r.period): r.n for r in out.groupBy("category", "period").agg(F.count("*").alias("n")).collect()}
+    assert set(c for c, _ in cells) == {"security_threat_salience", "trust_dialogue_salience", "reform_salience"} and set(cells.values()) == {3}
+    assert pipeline.context_review(df.limit(0)).count() == 0
