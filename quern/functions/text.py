@@ -107,16 +107,20 @@ def word_count(c: Column) -> Column:
 
 
 def dictionary_pattern(terms: Sequence[str]) -> str:
-    r"""Terms as a Java pattern: longest first, \s+ for spaces, whole words, any case."""
+    r"""Terms as a Java pattern for text in lower case: longest first, \s+ for spaces, whole words.
+
+    The first letters are looked at before anything else, as most places of a text end there.
+    """
     parts = []
     for term in sorted(set(terms), key=lambda t: (-len(t), t)):
-        escaped = r"\s+".join(re.sub(r"([^\w])", r"\\\1", w) for w in term.split(" "))
+        escaped = r"\s+".join(re.sub(r"([^\w])", r"\\\1", w) for w in term.lower().split(" "))
         parts.append(escaped + (TRUST_EXCEPT if term == "trust" else ""))
-    return r"(?iu)(?<![\p{L}\p{N}_])(?:" + "|".join(parts) + r")(?![\p{L}\p{N}_])"
+    first = "".join(sorted({t[0].lower() for t in terms}))
+    return rf"(?=[{first}])(?<![\p{{L}}\p{{N}}_])(?:{'|'.join(parts)})(?![\p{{L}}\p{{N}}_])"
 
 
 def dictionary_count(c: Column, category: str) -> Column:
-    return F.regexp_count(c, F.lit(dictionary_pattern(DICTIONARIES[category])))
+    return F.regexp_count(F.lower(c), F.lit(dictionary_pattern(DICTIONARIES[category])))
 
 
 def per_thousand(count: Column, tokens: Column) -> Column:
@@ -156,7 +160,7 @@ def context_review(df: DataFrame, text: str, key: str, strata: Sequence[str], *,
     from quern.operators.windows import hash_sample
 
     rows = df.where(F.col(text).isNotNull()).select(key, *strata, F.posexplode(simple_sentences(F.col(text))).alias("sentence_no", "sentence"))
-    terms = [F.struct(F.lit(c).alias("category"), F.lower(F.regexp_substr("sentence", F.lit(dictionary_pattern(DICTIONARIES[c])))).alias("term")) for c in categories]
+    terms = [F.struct(F.lit(c).alias("category"), F.regexp_substr(F.lower("sentence"), F.lit(dictionary_pattern(DICTIONARIES[c]))).alias("term")) for c in categories]
     found = rows.withColumn("__t", F.explode(F.filter(F.array(*terms), lambda t: t["term"].isNotNull()))).select(
         "__t.category", *strata, key, "sentence_no", "__t.term", F.left("sentence", F.lit(length)).alias("context")
     )
