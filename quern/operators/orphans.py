@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,8 +93,10 @@ def find_orphans(
         return joined(narrow)
     parent_kinds = dict(parents.dtypes)
     hashed = parents.select(*[_key(k, parent_kinds[k]).alias(n) for k, n in zip(parent_keys, names)]).dropna().select(F.xxhash64(*names).alias("h"))
-    bits = _bloom(hashed, n_keys)
-    hit = _might_contain(spark, bits, F.xxhash64(*[F.col(n) for n in names]))
+    try:
+        hit = _might_contain(spark, _bloom(hashed, n_keys), F.xxhash64(*[F.col(n) for n in names]))
+    except (AttributeError, TypeError, Py4JError):  # a session without these classes: all references are joined
+        return joined(narrow)
     probed = narrow.withColumn("__hit", hit)
     absent = probed.where(~F.col("__hit")).select(row_id, *carry, F.lit("missing").alias("reason"))
     return absent.unionByName(joined(probed.where("__hit").drop("__hit")))

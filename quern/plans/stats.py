@@ -221,7 +221,19 @@ def coefficients(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame(made, "feature string, coefficient double").withColumn("odds_ratio", F.round(F.exp("coefficient"), 6))
 
 
-@query()
+_PAIRED = _EY + f""", late AS (SELECT entity_id, target, score, CAST(conflict_active_t AS DOUBLE) AS persistence FROM scored WHERE period = 'late'),
+ent AS (SELECT entity_id, row_number() OVER (ORDER BY entity_id) - 1 AS place, count(*) OVER () AS total FROM (SELECT DISTINCT entity_id FROM late WHERE entity_id IS NOT NULL)),
+draws AS (SELECT r.replicate, e.entity_id, count(*) AS weight FROM range({REPLICATES}) r(replicate), range((SELECT count(*) FROM ent)) k(draw), ent e WHERE e.place = CAST('0x' || substr(md5('b:' || r.replicate || ':' || k.draw), 1, 8) AS BIGINT) % e.total GROUP BY 1, 2),
+pair AS (SELECT entity_id, target, 'score' AS model, score FROM late UNION ALL SELECT entity_id, target, 'persistence', persistence FROM late),
+flat AS (SELECT replicate, model, score, sum(weight) AS n, sum(weight * target) AS p, sum(weight * (score - target) * (score - target)) AS s FROM pair JOIN draws USING (entity_id) GROUP BY 1, 2, 3),
+run AS (SELECT *, sum(n) OVER w AS cn, sum(p) OVER w AS cp FROM flat WINDOW w AS (PARTITION BY replicate, model ORDER BY score DESC)),
+one AS (SELECT replicate, model, sum(p * cp / CAST(cn AS DOUBLE)) / nullif(sum(p), 0) AS ap, sum(s) / sum(n) AS brier FROM run GROUP BY 1, 2),
+gain AS (SELECT replicate, max(ap) FILTER (model = 'score') - max(ap) FILTER (model = 'persistence') AS ap, max(brier) FILTER (model = 'score') - max(brier) FILTER (model = 'persistence') AS brier FROM one GROUP BY 1),
+long AS (SELECT 'average_precision' AS metric, ap AS g FROM gain WHERE ap IS NOT NULL UNION ALL SELECT 'brier', brier FROM gain WHERE ap IS NOT NULL)
+SELECT metric, count(*) AS replicates_valid, round(avg(g), 6) AS mean_gain, round(quantile_cont(g, 0.025), 6) AS ci_low, round(quantile_cont(g, 0.975), 6) AS ci_high FROM long GROUP BY 1"""
+
+
+@query(_PAIRED)
 def paired_bootstrap_metric(spark: SparkSession, folder: str) -> DataFrame:
     """Gain of the deterministic score over persistence with its interval."""
     scored = _scored(spark, folder).where("period = 'late'")

@@ -39,6 +39,14 @@ def test_a_full_filter_only_lets_more_through(tables, monkeypatch):
     assert sorted((r.id, r.reason) for r in run(*tables).collect()) == EXPECTED
 
 
+def test_a_session_without_filters(tables, monkeypatch):
+    def absent(*_):
+        raise TypeError("'JavaPackage' object is not callable")
+
+    monkeypatch.setattr(orphans, "_might_contain", absent)
+    assert sorted((r.id, r.reason) for r in run(*tables).collect()) == EXPECTED
+
+
 def test_empty_tables(tables):
     refs, parents = tables
     assert run(refs.limit(0), parents).count() == 0
