@@ -66,7 +66,7 @@ _CAND_SPACED = re.compile(r"[" + re.escape(TERMINATORS) + r"]+|፡፡|(?<=[" + _
 _HAS_SPACED = re.compile("[" + _THAI + "]")
 _LINE_NUMBER = re.compile(r"(?:\A|\n)[^\S\n]*\(?(\d{1,4})[.)][^\S\n]+(?=\S)")
 _VISIBLE = re.compile(r"\S")
-_TOKEN_START = re.compile(r"[\s(（\[「『«“\"‘„—–/،,:»”]")
+TOKEN_STOPS = frozenset("(（[「『«“\"‘„—–/،,:»”")
 _TIME = re.compile(r"(?:[^\W\d_a-z][^\s.!?]*\s+|(?:and|the|of)\s+|\([^)]*\)\s*){1,7}time\b")
 _WORD_DOT = re.compile(r"(?<![^\W\d_.\-'’])([^\W\d_][\w\-]{0,5})\.(?=\s+([^\W_])|[,;:])")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -346,9 +346,9 @@ class Splitter:
 
     def _token(self, a: int) -> str:
         """The word or number before position a, with the periods inside it."""
-        text = self.text
+        text, low = self.text, max(self.current, a - 40)
         i = a
-        while i > self.current and a - i < 40 and not _TOKEN_START.match(text, i - 1):
+        while i > low and (c := text[i - 1]) not in TOKEN_STOPS and not c.isspace():
             i -= 1
         return text[i:a]
 
