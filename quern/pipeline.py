@@ -166,7 +166,9 @@ def explore(scored: DataFrame, *, replicates: int = stats.REPLICATES, seed: int
     names = rows.sparkSession.createDataFrame([(s,) for s in samples], "sample string")
     counts = relational.completed(counts, names, {"transition": TRANSITIONS}, {"n_rows": 0, "n_countries": 0})
     total = counts.groupBy("sample").agg(F.sum("n_rows").alias("sample_rows"))
-    entities = [r[0] for r in rows.select("entity_id").distinct().limit(stats.MAX_CLUSTERS).collect()]
+    entities = [r[0] for r in rows.select("entity_id").distinct().limit(stats.MAX_CLUSTERS + 1).collect()]
+    if len(entities) > stats.MAX_CLUSTERS:
+        raise ValueError(f"over {stats.MAX_CLUSTERS} clusters; draw coarser ones")
     weights = cut(stats.multinomial_weights(rows.sparkSession, entities, "entity_id", replicates, seed))
     contrasts = None
     for name, condition in samples.items():
