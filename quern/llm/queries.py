@@ -243,7 +243,7 @@ def _sizes(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
 def _packed(spark: SparkSession, folder: str) -> tuple[DataFrame, list[tuple]]:
     sizes = _sizes(spark, folder)
     out, plans = None, []
-    for spec, name, capacity in table(spark, folder, "pack_specs").select("spec_id", "spec_name", "capacity_tokens").dropna().orderBy("spec_id").limit(100).collect():
+    for spec, name, capacity in table(spark, folder, "pack_specs").select("spec_id", "spec_name", "capacity_tokens").dropna().orderBy("spec_id").collect():
         items, made = packing.pack(sizes, "doc_id", "n_tokens", capacity)
         rows = items.select(F.lit(spec).alias("spec_id"), F.lit(capacity).alias("capacity_tokens"), "container", "doc_id", "part_no", "start_token", "n_tokens")
         out = rows if out is None else out.unionByName(rows)
