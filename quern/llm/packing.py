@@ -1,9 +1,10 @@
 """Filling fixed-capacity containers with items of varying length, with as little unused space as possible.
 
 The number of containers is planned on the histogram of the lengths, which the capacity bounds whatever the number
-of items: the configuration linear program is solved approximately by multiplicative weights, each round pricing
-the best pattern with a knapsack dynamic program; the fractions are rounded down, and what remains is placed by
-best fit, longest first, into the space left and into new containers. Items then find their container by their
+of items: the configuration linear program is solved by multiplicative weights until the gap to the dual bound closes,
+each round pricing patterns of all lengths with a knapsack dynamic program; the fractions are rounded, what they leave
+is priced again by the last weights, and only what no pattern near the best holds is placed by best fit, longest first,
+into the space left and into new containers. Items then find their container by their
 rank among the items of the same length, which is numbered without sorting a length in one task.
 """
 
@@ -19,11 +20,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rounds of multiplicative weights, and their step.
+#: Rounds of multiplicative weights at least allowed, and for each distinct length; the rounds end sooner, when the gap closes.
 ROUNDS = 160
-STEP = 0.5
-#: Lengths that enter the pricing of a round, by value for their size.
-PRICED = 512
+ROUNDS_PER_LENGTH = 2
+#: Exponent of the weights (over the root of the round), the gap between fractional solution and dual bound at which the
+#: rounds end, and the share of the best value by which a pattern may miss it where none reaches it.
+STEP = 0.05
+GAP = 0.01
+NEAR = 0.005
+EXACT = 1e-9
+#: Rounds after which patterns of the best value come before those near it.
+WIDE = 8
 #: Largest capacity for which the plan is made; it bounds the histogram, the plan and the work on the driver.
 MAX_CAPACITY = 65_536
 
@@ -37,10 +44,8 @@ class Group:
     room: int
 
 
-def best_pattern(lengths: np.ndarray, values: np.ndarray, capacity: int) -> tuple[float, Counter]:
-    """The multiset of lengths within the capacity with the greatest value: unbounded knapsack by dynamic programming."""
-    order = np.argsort(lengths)
-    size, value = lengths[order], values[order]
+def _knapsack(size: np.ndarray, value: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """The greatest value within every capacity, and the place of the last length taken (-1: none)."""
     best = np.zeros(capacity + 1)
     chosen = np.full(capacity + 1, -1, dtype=np.int64)
     upto = np.searchsorted(size, np.arange(capacity + 1), "right")
@@ -51,6 +56,14 @@ def best_pattern(lengths: np.ndarray, values: np.ndarray, capacity: int) -> tupl
         j = int(candidate.argmax())
         if candidate[j] > best[c] + 1e-15:
             best[c], chosen[c] = candidate[j], j
+    return best, chosen
+
+
+def best_pattern(lengths: np.ndarray, values: np.ndarray, capacity: int) -> tuple[float, Counter]:
+    """The multiset of lengths within the capacity with the greatest value: unbounded knapsack by dynamic programming."""
+    order = np.argsort(lengths)
+    size = lengths[order]
+    best, chosen = _knapsack(size, values[order], capacity)
     pattern: Counter = Counter()
     c = capacity
     while c > 0:
@@ -62,60 +75,163 @@ def best_pattern(lengths: np.ndarray, values: np.ndarray, capacity: int) -> tupl
     return float(best[capacity]), pattern
 
 
-def solve(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS) -> tuple[list[Group], int]:
-    """Groups of containers that hold all items of the histogram, and a lower bound of their number.
+def _through(i: int, size: np.ndarray, value: np.ndarray, best: np.ndarray, have: np.ndarray, wanted: np.ndarray, near: float) -> dict[int, int] | None:
+    """A pattern with length ``i`` whose value is within ``near`` of the best, of no more items than there are (``have``).
+
+    Of the lengths that keep the value within ``near``, the most wanted is taken each time. None, if there is no such
+    pattern on the way taken.
+    """
+    capacity = len(best) - 1
+    c = capacity - int(size[i])
+    slack = near - (best[capacity] - best[c] - value[i])
+    if slack < 0:
+        return None
+    pattern = {i: 1}
+    while True:
+        k = int(np.searchsorted(size, c, "right"))
+        loss = best[c] - best[c - size[:k]] - value[:k]
+        for j, n in pattern.items():
+            if n >= have[j] and j < k:
+                loss[j] = np.inf
+        loss[have[:k] < 1] = np.inf
+        fit = np.flatnonzero(loss <= slack)
+        if not len(fit):
+            return pattern if best[c] <= slack else None
+        j = int(fit[wanted[fit].argmax()])
+        slack -= max(0.0, float(loss[j]))
+        pattern[j] = pattern.get(j, 0) + 1
+        c -= int(size[j])
+
+
+@dataclass
+class Fractions:
+    """A fractional solution: patterns (places of lengths) with their number, the dual values, both sides' bounds."""
+
+    patterns: dict[tuple, float]
+    value: np.ndarray
+    lower: float
+    upper: float
+    rounds: int
+
+
+def fractions(size: np.ndarray, counts: np.ndarray, capacity: int, rounds: int) -> Fractions:
+    """The configuration program by multiplicative weights, until the gap is closed.
 
-    The bound is the greatest of the total length over the capacity, the value of the mean weights as a solution of
-    the dual program, the number of items over half the capacity, and what each length would take by itself.
+    In each round the lengths that wait are served, those with least coverage first, by patterns whose value is near
+    the greatest, which the knapsack over all lengths gives; what is served more than others weighs less afterwards.
     """
+    start = size / capacity
+    value, covered = start.copy(), np.zeros(len(size))
+    made: dict[tuple, float] = {}
+    total, lower, upper, kept, done = 0.0, 0.0, np.inf, value, 0
+    for r in range(1, rounds + 1):
+        done = r
+        best, _ = _knapsack(size, value, capacity)
+        bound = float((counts * value).sum() / best[capacity])
+        if bound > lower:
+            lower, kept = bound, value
+        near = max(NEAR, 1.5 * (1 - bound / lower)) * best[capacity]
+        for i in np.argsort(covered - size * 1e-9, kind="stable"):
+            while covered[i] < r - 1e-9:
+                wanted = r + 1 - covered
+                pattern = _through(int(i), size, value, best, counts, wanted, EXACT) if r > WIDE else None
+                pattern = pattern or _through(int(i), size, value, best, counts, wanted, near)
+                if pattern is None:
+                    break
+                index, uses = np.array(list(pattern)), np.array(list(pattern.values()), dtype=np.float64)
+                # as often as the least of its lengths allows, but so that this one or half of a round is done
+                times = float((counts[index] * np.maximum(r - covered[index], 0.25) / uses).min())
+                covered[index] += times * uses / counts[index]
+                key = tuple(sorted(pattern.items()))
+                made[key] = made.get(key, 0.0) + times
+                total += times
+        if covered.min() > 0:
+            upper = min(upper, total / float(covered.min()))
+        if upper <= max(lower * (1 + GAP), np.ceil(lower - 1e-9)):
+            break
+        value = start * np.exp(-STEP / np.sqrt(r) * (covered - r))
+    scale = 1 / float(covered.min()) if len(covered) and covered.min() > 0 else 1 / max(1, done)
+    return Fractions({k: x * scale for k, x in made.items()}, kept, lower, upper, done)
+
+
+@dataclass
+class Solved:
+    """Groups, the lower bound of their number, the length that patterns place, and the gap and rounds of the fractions."""
+
+    groups: list[Group]
+    bound: int
+    tokens_by_patterns: int
+    gap: float
+    rounds: int
+
+
+def solved(histogram: dict[int, int], capacity: int, rounds: int | None = None) -> Solved:
+    """``solve`` with its account of how much the patterns place and how far the fractions are from the bound."""
     if not 0 < capacity <= MAX_CAPACITY:
         raise ValueError(f"the capacity must be between 1 and {MAX_CAPACITY}")
     if any(not 0 < length <= capacity for length in histogram):
         raise ValueError("an item is longer than the capacity, or has no length")
-    lengths = np.array(sorted(histogram), dtype=np.int64)
-    counts = np.array([histogram[int(x)] for x in lengths], dtype=np.float64)
-    if not len(lengths):
-        return [], 0
-    at = {int(x): i for i, x in enumerate(lengths)}
-    weight = lengths / capacity  # the weight of a constraint, at first its share of the space
-    left = counts.copy()
-    fractions: list[tuple[Counter, float]] = []
-    weights, used = np.zeros(len(lengths)), 0
-    for _ in range(rounds):
-        open_ = np.flatnonzero(left >= 1)
-        if not len(open_):
-            break
-        if len(open_) > PRICED:
-            dense = np.argsort(-(weight[open_] / lengths[open_]), kind="stable")[:PRICED]
-            open_ = open_[dense]
-        weights, used = weights + weight, used + 1
-        _, pattern = best_pattern(lengths[open_], weight[open_], capacity)
-        index = np.array([at[x] for x in pattern])
-        uses = np.array([pattern[x] for x in pattern], dtype=np.float64)
-        if (left[index] < uses).any():  # fewer are left than the pattern takes
-            uses = np.minimum(uses, np.floor(left[index]))
-        copies = STEP * float((left[index] / uses).min())
-        copies = max(1.0, copies)
-        fractions.append((Counter({int(lengths[i]): int(u) for i, u in zip(index, uses)}), copies))
-        left[index] -= copies * uses
-        # lengths that were served weigh less, those still waiting more
-        weight[index] *= np.exp(-STEP * copies * uses / counts[index])
-        np.maximum(left, 0, out=left)
-
-    rest = Counter({int(x): int(histogram[int(x)]) for x in lengths})
+    size = np.array(sorted(histogram), dtype=np.int64)
+    counts = np.array([histogram[int(x)] for x in size], dtype=np.float64)
+    if not len(size):
+        return Solved([], 0, 0, 0.0, 0)
+    found = fractions(size, counts, capacity, max(ROUNDS, ROUNDS_PER_LENGTH * len(size)) if rounds is None else rounds)
+    left = np.array([histogram[int(x)] for x in size], dtype=np.int64)
     groups: list[Group] = []
-    for pattern, copies in fractions:
-        whole = min([int(copies), *(rest[x] // k for x, k in pattern.items())])
-        if whole > 0:
-            groups.append(Group(whole, Counter(pattern), capacity - sum(x * k for x, k in pattern.items())))
-            for x, k in pattern.items():
-                rest[x] -= whole * k
-    groups = _best_fit(groups, rest, capacity)
-    bounds = [int(-(-int((counts * lengths).sum()) // capacity))]
-    for dual in (weights / max(1, used), (2 * lengths > capacity).astype(float), 1.0 / (capacity // lengths)):
-        value, _ = best_pattern(lengths, dual, capacity)
-        bounds.append(int(np.ceil(float((counts * dual).sum()) / value - 1e-6)) if value > 0 else 0)
-    return groups, max(bounds)
+
+    def commit(pattern: dict[int, int], most: int) -> int:
+        copies = min([most, *(int(left[i]) // k for i, k in pattern.items())])
+        if copies > 0:
+            content = Counter({int(size[i]): k for i, k in pattern.items()})
+            groups.append(Group(copies, content, capacity - sum(x * k for x, k in content.items())))
+            for i, k in pattern.items():
+                left[i] -= copies * k
+        return copies
+
+    if rounds != 0:
+        # whole parts first, then one more of those with the greatest parts, as long as their items are there
+        order = sorted(found.patterns.items(), key=lambda x: (-(x[1] % 1), x[0]))
+        for key, x in order:
+            commit(dict(key), int(x))
+        for key, x in order:
+            if x % 1 >= 0.5:
+                commit(dict(key), 1)
+        # what is left is priced again, by its own lengths, until no pattern near the best is left
+        value = found.value
+        near = EXACT
+        while left.any():
+            open_ = np.flatnonzero(left)
+            mine, worth = size[open_], value[open_]
+            best, _ = _knapsack(mine, worth, capacity)
+            again = False
+            for i in range(len(open_) - 1, -1, -1):
+                while left[open_[i]] > 0:
+                    have = left[open_]
+                    pattern = _through(i, mine, worth, best, have, have / counts[open_], near * best[capacity])
+                    if pattern is None:
+                        break
+                    again = True
+                    commit({int(open_[j]): k for j, k in pattern.items()}, max(1, int(min(have[j] // k for j, k in pattern.items()) // 2)))
+            if not again and near == NEAR:
+                break
+            near = near if again else NEAR
+    tokens = sum(g.copies * (capacity - g.room) for g in groups)
+    groups = _best_fit(groups, Counter({int(x): int(n) for x, n in zip(size, left) if n}), capacity)
+    bounds = [int(-(-int((counts * size).sum()) // capacity)), int(np.ceil(found.lower - 1e-6))]
+    for dual in ((2 * size > capacity).astype(float), 1.0 / (capacity // size)):
+        worth, _ = best_pattern(size, dual, capacity)
+        bounds.append(int(np.ceil(float((counts * dual).sum()) / worth - 1e-6)) if worth > 0 else 0)
+    return Solved(groups, max(bounds), tokens, found.upper / found.lower - 1 if found.lower else np.inf, found.rounds)
+
+
+def solve(histogram: dict[int, int], capacity: int, rounds: int | None = None) -> tuple[list[Group], int]:
+    """Groups of containers that hold all items of the histogram, and a lower bound of their number.
+
+    The bound is the greatest of the total length over the capacity, the value of the weights of a round as a solution
+    of the dual program, the number of items over half the capacity, and what each length would take by itself.
+    """
+    made = solved(histogram, capacity, rounds)
+    return made.groups, made.bound
 
 
 def _best_fit(groups: list[Group], rest: Counter, capacity: int) -> list[Group]:
@@ -162,10 +278,14 @@ class Plan:
     copies: np.ndarray
     containers: int
     bound: int
+    pattern_share: float
+    gap: float
 
 
-def plan(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS) -> Plan:
-    groups, bound = solve(histogram, capacity, rounds)
+def plan(histogram: dict[int, int], capacity: int, rounds: int | None = None) -> Plan:
+    """The plan, with the share of all length that patterns place (1 of nothing) and the gap of the fractional solution."""
+    found = solved(histogram, capacity, rounds)
+    groups, bound = found.groups, found.bound
     rows: list[tuple[int, int, int, int]] = []
     taken: Counter = Counter()
     base = 0
@@ -178,7 +298,8 @@ def plan(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS) -> Plan
         raise AssertionError("the plan does not hold every item")
     rows.sort()
     columns = np.array(rows, dtype=np.int64).reshape(-1, 4).T
-    return Plan(*columns, containers=base, bound=bound)
+    total = sum(x * n for x, n in histogram.items())
+    return Plan(*columns, containers=base, bound=bound, pattern_share=found.tokens_by_patterns / total if total else 1.0, gap=found.gap)
 
 
 def items_of(sizes: DataFrame, id_column: str, size_column: str, capacity: int) -> DataFrame:
@@ -190,7 +311,7 @@ def items_of(sizes: DataFrame, id_column: str, size_column: str, capacity: int)
     return out.select(id_column, "part_no", start.alias("start_token"), F.least(F.lit(capacity), F.col("__n") - start).cast("int").alias("n_tokens"))
 
 
-def pack(sizes: DataFrame, id_column: str, size_column: str, capacity: int, rounds: int = ROUNDS) -> tuple[DataFrame, Plan]:
+def pack(sizes: DataFrame, id_column: str, size_column: str, capacity: int, rounds: int | None = None) -> tuple[DataFrame, Plan]:
     """Every item with its container: the id, part_no, start_token, n_tokens, container (from 0).
 
     Only items longer than the capacity are divided. Null and zero sizes need no container and give no row; an

@@ -247,7 +247,7 @@ def _packed(spark: SparkSession, folder: str) -> tuple[DataFrame, list[tuple]]:
         items, made = packing.pack(sizes, "doc_id", "n_tokens", capacity)
         rows = items.select(F.lit(spec).alias("spec_id"), F.lit(capacity).alias("capacity_tokens"), "container", "doc_id", "part_no", "start_token", "n_tokens")
         out = rows if out is None else out.unionByName(rows)
-        plans.append((spec, name, capacity, made.containers, made.bound))
+        plans.append((spec, name, capacity, made.containers, made.bound, made.pattern_share, made.gap))
     return out, plans
 
 
@@ -263,9 +263,9 @@ def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_summary(spark: SparkSession, folder: str) -> DataFrame:
-    """Containers, their lower bound, and the fill reached for each capacity."""
+    """Containers, their lower bound, the share of tokens placed by patterns, the gap of the fractions, and the fill for each capacity."""
     rows, plans = _packed(spark, folder)
-    planned = spark.createDataFrame(plans, "spec_id int, spec_name string, capacity_tokens int, containers long, lower_bound long")
+    planned = spark.createDataFrame(plans, "spec_id int, spec_name string, capacity_tokens int, containers long, lower_bound long, pattern_share double, lp_gap double")
     used = rows.groupBy("spec_id").agg(F.count(F.lit(1)).alias("n_items"), F.sum("n_tokens").alias("used_tokens"))
     return planned.join(used, "spec_id").withColumn("fill", F.col("used_tokens") / F.col("capacity_tokens") / F.col("containers"))
 
