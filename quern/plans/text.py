@@ -118,11 +118,19 @@ def text_context_review(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(r"""SELECT source_name, trim(regexp_replace(lower(strip_accents(source_name)), '[^a-z0-9]+', ' ', 'g')) AS normalised FROM (SELECT DISTINCT source_name FROM ucdp_country_crosswalk WHERE regexp_full_match(source_name, '[\x20-\x7EÀ-ÿ]*'))""")
 def text_normalise_name(spark: SparkSession, folder: str) -> DataFrame:
-    """Names in their ASCII form; SQL strips accents alone, so names of Latin-1 letters are compared."""
+    """Names of Latin-1 letters in their ASCII form, for comparison: SQL strips accents alone. All names: text_normalise_all_names."""
     rows = table(spark, folder, "ucdp_country_crosswalk").where(F.col("source_name").rlike(r"^[\x20-\x7EÀ-ÿ]*$")).select("source_name").distinct()
     return rows.select("source_name", text.normalise_name(F.col("source_name")).alias("normalised"))
 
 
+@query()
+def text_normalise_all_names(spark: SparkSession, folder: str) -> DataFrame:
+    """Every name of both crosswalks in its ASCII form (NFKD, which SQL doesn't have); a null name stays null."""
+    names = [table(spark, folder, t).select("source_name") for t in ("ucdp_country_crosswalk", "sipri_country_crosswalk")]
+    rows = names[0].unionByName(names[1]).distinct()
+    return rows.select("source_name", text.normalise_name(F.col("source_name")).alias("normalised"))
+
+
 @query()
 def text_score_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """Whole texts in chunks of at most 480 tokens with stand-in scores."""
