@@ -365,11 +365,21 @@ def display_names(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("""SELECT speaker_row_id, CASE WHEN year = 1995 AND iso_code = 'EHR' THEN 'HRE' WHEN year = 1995 AND iso_code = 'HRE' THEN 'EHR' ELSE iso_code END AS iso_code FROM speakers_by_session WHERE year = 1995 AND session = 50""")
 def conditional_update(spark: SparkSession, folder: str) -> DataFrame:
-    """Two codes swapped: both conditions look at the code as it came."""
-    rows = table(spark, folder, "speakers_by_session").where("year = 1995 and session = 50")
-    swap = spark.createDataFrame([("EHR", 1995, "HRE"), ("HRE", 1995, "EHR")], "iso_code string, year int, corrected string")
+    """Two codes swapped, of one session's rows alone; the whole table: conditional_update_all."""
+    return _swapped(table(spark, folder, "speakers_by_session").where("year = 1995 and session = 50")).select("speaker_row_id", "iso_code")
+
+
+def _swapped(rows: DataFrame) -> DataFrame:
+    """Both conditions look at the code as it came; rows outside the mask are unchanged."""
+    swap = rows.sparkSession.createDataFrame([("EHR", 1995, "HRE"), ("HRE", 1995, "EHR")], "iso_code string, year int, corrected string")
     out = rows.join(F.broadcast(swap), ["iso_code", "year"], "left")
-    return out.select("speaker_row_id", F.coalesce("corrected", "iso_code").alias("iso_code"))
+    return out.withColumn("iso_code", F.coalesce("corrected", "iso_code")).select(*rows.columns)
+
+
+@query("""SELECT * REPLACE (CASE WHEN year = 1995 AND iso_code = 'EHR' THEN 'HRE' WHEN year = 1995 AND iso_code = 'HRE' THEN 'EHR' ELSE iso_code END AS iso_code) FROM speakers_by_session""")
+def conditional_update_all(spark: SparkSession, folder: str) -> DataFrame:
+    """All speaker rows and columns, with two codes of 1995 swapped."""
+    return _swapped(table(spark, folder, "speakers_by_session"))
 
 
 @query(f"WITH {base.CONFLICTS}, {base.CELLS} SELECT entity_id, year FROM cells c WHERE EXISTS (SELECT 1 FROM conf w WHERE w.entity_id = c.entity_id AND w.year = c.year)")

@@ -208,3 +208,12 @@ def test_all_names_are_normalised(spark, tmp_path):
     got = [tuple(r) for r in queries()["text_normalise_all_names"](spark, str(tmp_path)).collect()]
     plain = {v: None if v is None else re.sub("[^a-z0-9]+", " ", unicodedata.normalize("NFKD", v).encode("ascii", "ignore").decode().casefold()).strip() for v in ucdp + sipri}
     assert len(got) == len(plain) and dict(got) == plain
+
+
+def test_update_keeps_all_rows(spark, tmp_path):
+    from __spark_entry__ import queries
+
+    rows = [(1, 1995, 50, "EHR"), (2, 1995, 50, "HRE"), (3, 1995, 8050, "EHR"), (4, 1996, 51, "EHR"), (5, 1995, 50, "FRA"), (6, 1995, 50, None), (7, None, 50, "HRE")]
+    spark.createDataFrame(rows, "speaker_row_id int, year int, session int, iso_code string").write.parquet(f"{tmp_path}/speakers_by_session.parquet")
+    got = queries()["conditional_update_all"](spark, str(tmp_path)).orderBy("speaker_row_id").collect()
+    assert [r.iso_code for r in got] == ["HRE", "EHR", "HRE", "EHR", "FRA", None, "HRE"] and [tuple(r)[:3] for r in got] == [r[:3] for r in rows]
