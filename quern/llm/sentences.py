@@ -417,17 +417,17 @@ class Splitter:
 # -- corpus counts ---------------------------------------------------------------------------------------------
 
 #: An abbreviation stands before a period and a lower-case word or number in this share of all its occurrences,
-#: in at least MIN_USES places, or one in PER_USES of all periods where that is more.
+#: in at least MIN_USES places.
 SHARE = 0.3
 WITH_PERIOD = 0.8
 MIN_USES = 5
-PER_USES = 1_000_000
 
 
 def abbreviation_counts(df: DataFrame, text_column: str) -> DataFrame:
     """word, uses (before a period), inside (before a period and a lower-case word, number or comma), bare (without period).
 
-    Counted over all texts, summed per batch before the shuffle; words of up to six letters that stand before a period.
+    Words of up to six letters that stand before a period in any text. Each batch counts all its short words, as a word
+    may stand before a period in one batch and bare in another.
     """
     schema = "word string, uses long, inside long, bare long"
 
@@ -450,23 +450,22 @@ def abbreviation_counts(df: DataFrame, text_column: str) -> DataFrame:
                 for word, n in Counter(_WORD.findall(text)).items():
                     if len(word) <= 6:
                         bare[word.lower()] += n
-            words = list(uses)
+            words = list(uses | bare)
             yield pa.RecordBatch.from_pydict(
                 {"word": pa.array(words, pa.string()), "uses": pa.array([uses[w] for w in words], pa.int64()), "inside": pa.array([inside[w] for w in words], pa.int64()),
-                 "bare": pa.array([max(0, bare[w] - uses[w]) for w in words], pa.int64())}
+                 "bare": pa.array([bare[w] - uses[w] for w in words], pa.int64())}
             )
 
     parts = df.select(text_column).mapInArrow(run, schema)
-    return parts.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("uses", "inside", "bare")])
+    counts = parts.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("uses", "inside", "bare")])
+    return counts.where("uses > 0").withColumn("bare", F.greatest("bare", F.lit(0)))
 
 
 def corpus_abbreviations(df: DataFrame, text_column: str) -> frozenset[str]:
-    """Words that the corpus shows to be abbreviations; PER_USES bounds their number whatever the size of the corpus."""
+    """Words that the corpus shows to be abbreviations; the shares decide, whatever the size of the corpus."""
     counts = cut(abbreviation_counts(df, text_column))
-    total = counts.agg(F.sum("uses")).head()[0] or 0
-    least = max(MIN_USES, total // PER_USES)
     inside, uses = F.col("inside"), F.col("uses")
-    rows = counts.where((inside >= least) & (inside >= SHARE * uses) & (uses >= WITH_PERIOD * (uses + F.col("bare"))))
+    rows = counts.where((inside >= MIN_USES) & (inside >= SHARE * uses) & (uses >= WITH_PERIOD * (uses + F.col("bare"))))
     return frozenset(r[0] for r in rows.select("word").collect())
 
 

@@ -189,6 +189,17 @@ def test_edit_distance_by_brute_force():
         assert min(matching.edit_distance(a, b, 3), 4) == min(slow(a, b), 4)
 
 
+def test_bare_words_of_all_batches_count(spark):
+    texts = ["See art. four and art. five and art. six and art. seven and art. eight."] + ["The art of it is art and more art"] * 9
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        counts = {x.word: x for x in sentences.abbreviation_counts(df, "text").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert (counts["art"].uses, counts["art"].inside, counts["art"].bare) == (5, 5, 27) and "more" not in counts
+
+
 # -- packing -----------------------------------------------------------------------------------------------------
 
 
