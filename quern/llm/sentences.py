@@ -81,6 +81,12 @@ def _unspaced(c: str) -> bool:
     return "぀" <= c <= "ヿ" or "㐀" <= c <= "鿿" or "฀" <= c <= "໿" or "豈" <= c <= "﫿" or "က" <= c <= "႟" or "ក" <= c <= "៿"
 
 
+def _same_length_lower(text: str) -> str:
+    """Lower case without moving any character: those that become several stay."""
+    made = text.lower()
+    return made if len(made) == len(text) else "".join(x if len(x) == 1 else c for c, x in ((c, c.lower()) for c in text))
+
+
 class Splitter:
     """Splits documents; ``corpus`` holds the words that the whole corpus shows to be abbreviations."""
 
@@ -92,21 +98,29 @@ class Splitter:
     def _learn(self, text: str) -> None:
         self.text = text
         self.here: dict[str, bool] = {}
+        self.lower: str | None = None
         self.vocabulary: set[str] | None = None
         self.cased_document = self.cased = text != text.lower() and text != text.upper()
         self.danda = "।" in text
         self.verjaket = "։" in text
 
     def _abbreviates(self, token: str) -> bool:
-        """The word stands before a period and a lower-case word elsewhere in the document."""
+        """The word stands, in any case, before a period and a lower-case word elsewhere in the document."""
+        token = _same_length_lower(token)
         if (known := self.here.get(token)) is not None:
             return known
+        if self.lower is None:
+            self.lower = _same_length_lower(self.text)
         text, mark, at, found = self.text, token + ".", 0, False
-        while self.cased_document and not found and (at := text.find(mark, at)) >= 0:
+        while self.cased_document and not found and (at := self.lower.find(mark, at)) >= 0:
             end = at + len(mark)
             if not at or not text[at - 1].isalnum():
                 after = text[end : end + 1]
-                found = after != "" and after in ",;:" or after.isspace() and text[end + 1 : end + 2].islower()
+                found = after != "" and after in ",;:"
+                if after.isspace():
+                    while text[end : end + 1].isspace():
+                        end += 1
+                    found = text[end : end + 1].islower()
             at = end
         self.here[token] = found
         return found

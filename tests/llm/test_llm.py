@@ -189,6 +189,15 @@ def test_edit_distance_by_brute_force():
         assert min(matching.edit_distance(a, b, 3), 4) == min(slow(a, b), 4)
 
 
+def test_evidence_in_any_case_and_space():
+    splitter = sentences.Splitter()
+    for text in ("See sect. four. Then Sect. Four.", "See Sect.  four.", "See SECT.\n four.", "\u0130 sect. four."):
+        splitter._learn(text)
+        assert splitter._abbreviates("Sect")
+    splitter._learn("See sect. Four. Insect. four.")
+    assert not splitter._abbreviates("Sect")
+
+
 def test_bare_words_of_all_batches_count(spark):
     texts = ["See art. four and art. five and art. six and art. seven and art. eight."] + ["The art of it is art and more art"] * 9
     df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
