@@ -342,6 +342,19 @@ def weighted_mean_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 9) for c in ("trust", "threat")})
 
 
+@query()
+def weighted_mean_payloads(spark: SparkSession, folder: str) -> DataFrame:
+    """Payloads with chunks and their status; one chunk that breaks the rules or lacks a value leaves all means null."""
+    from quern.streaming.scoring import weighted_scores
+
+    chunks = posexplode_chunks(spark, folder)
+    good = F.expr("coalesce(tokens > 0 and trust between 0 and 1 and threat between 0 and 1, false)")
+    per = chunks.groupBy("score_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.count_if(~good).alias("n_bad_chunks"))
+    out = weighted_scores(chunks.join(per.where("n_bad_chunks = 0"), "score_id", "left_semi"), ["score_id"], ["trust", "threat"])
+    status = F.when(F.col("n_bad_chunks") > 0, "bad_chunk").otherwise("scored").alias("status")
+    return per.select("score_id", status, "n_chunks", "n_bad_chunks").join(out.drop("chunk_count"), "score_id", "left")
+
+
 @query(f"""SELECT c.score_id, c.chunk_no, substring(s.speech_clean, c.s + 1, c.e - c.s) AS passage FROM ({_CHUNKS}) c JOIN (SELECT entity_id, year, speech_no, min(speech_id) AS speech_id FROM speeches WHERE speech_clean IS NOT NULL GROUP BY 1, 2, 3) k
 ON k.entity_id = c.entity_id AND k.year = c.year AND k.speech_no = c.speech_no JOIN speeches s ON s.speech_id = k.speech_id""")
 def chunk_passages(spark: SparkSession, folder: str) -> DataFrame:

@@ -217,3 +217,18 @@ def test_update_keeps_all_rows(spark, tmp_path):
     spark.createDataFrame(rows, "speaker_row_id int, year int, session int, iso_code string").write.parquet(f"{tmp_path}/speakers_by_session.parquet")
     got = queries()["conditional_update_all"](spark, str(tmp_path)).orderBy("speaker_row_id").collect()
     assert [r.iso_code for r in got] == ["HRE", "EHR", "HRE", "EHR", "FRA", None, "HRE"] and [tuple(r)[:3] for r in got] == [r[:3] for r in rows]
+
+
+def test_payloads_with_a_bad_chunk_have_no_mean(spark, tmp_path):
+    import json
+
+    from __spark_entry__ import queries
+
+    def payload(*chunks):
+        return json.dumps({"chunks": [{"start_char": 0, "end_char": 1, "tokens": n, "trust": a, "threat": b} for n, a, b in chunks]})
+
+    rows = [(1, payload((1, 0.2, 0.4), (3, 0.6, 0.8))), (2, payload((1, 0.2, 0.4), (3, 1.6, 0.8))), (3, payload((0, 0.2, 0.4))), (4, payload((2, None, 0.4)))]
+    spark.createDataFrame(rows, "score_id long, payload string").write.parquet(f"{tmp_path}/scores.parquet")
+    got = queries()["weighted_mean_payloads"](spark, str(tmp_path)).orderBy("score_id").collect()
+    assert [(r.status, r.n_chunks, r.n_bad_chunks) for r in got] == [("scored", 2, 0), ("bad_chunk", 2, 1), ("bad_chunk", 1, 1), ("bad_chunk", 1, 1)]
+    assert abs(got[0].trust - 0.5) < 1e-9 and all(r.trust is None and r.threat is None and r.tokens_scored is None for r in got[1:])
