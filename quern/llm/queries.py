@@ -298,7 +298,7 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 def _sentences(spark: SparkSession, folder: str, texts: bool) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text")
-    corpus = sentences.corpus_abbreviations(documents, "text")
+    corpus = sentences.corpus_evidence(documents, "text")
     return sentences.split_sentences(documents, "doc_id", "text", corpus, texts=texts)
 
 

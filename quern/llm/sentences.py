@@ -1,9 +1,11 @@
 """Sentence boundaries across languages and scripts.
 
 Whether a period ends a sentence is decided from the document itself: a word that stands before a period and a
-lower-case word or a number is an abbreviation there, a word that occurs in lower case elsewhere is no proper
-name, a capitalised one inside a sentence is. Where the document is silent, counts over the whole corpus answer.
-Other scripts follow the rules of their own terminators; scripts without terminators are parted at their spaces.
+lower-case word elsewhere is an abbreviation, and so is one whose periods stand before numbers; a word that occurs in
+lower case elsewhere is no proper name, a capitalised one inside a sentence is. Where the document is silent, counts
+over the whole corpus answer the same questions, and which words report speech and which announce an ordinal number.
+Short lists of abbreviations and verbs are a prior, asked after both. Other scripts follow the rules of their own
+terminators; scripts without terminators are parted at their spaces.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,21 +29,17 @@ PAIRS = {"(": ")", "（": "）", "[": "]", "【": "】", "《": "》", "〈": "
 BRACKETS = "(（[【《〈"
 OPENERS = "\"'“‘«「『„‚(（[【《〈¿¡‹"
 CLOSERS = "\"'”’»」』“)）]】》〉›"
-TITLES = {
-    "mr", "mrs", "ms", "mx", "dr", "prof", "st", "gov", "sen", "rep", "rev", "hon", "amb", "gen", "col", "capt", "lt", "sgt", "maj", "cmdr", "adm", "pres", "sr", "jr",
-    "sra", "srta", "dra", "mme", "mlle", "mm", "hr", "fr", "frl", "ing", "dipl", "sig", "д-р", "проф", "акад", "г-н", "г-жа", "κ", "κα", "δρ", "डॉ", "श्री", "प्रो", "د", "messrs",
+#: Abbreviations asked about only where neither the document nor the corpus says anything; the second ones are words
+#: of their own as well and count before numbers alone.
+PRIOR = {
+    "mr", "mrs", "ms", "mx", "dr", "prof", "st", "gov", "sen", "rev", "hon", "amb", "col", "gen", "capt", "sgt", "cmdr", "sr", "jr", "sra", "srta", "dra", "mme", "mlle", "frl", "dipl", "д-р", "проф", "акад", "г-н", "г-жа", "δρ",
+    "nr", "num", "núm", "pp", "pág", "págs", "para", "paras", "vol", "vols", "chap", "figs", "sect", "cf", "docs", "eds", "approx", "ca", "vs", "dept", "inc", "ltd", "univ", "bzw", "ggf", "inkl", "vgl", "mio", "mrd",
+    "ст", "пп", "гл", "рис", "см", "табл", "млн", "млрд", "тыс", "руб", "άρθρ", "σελ", "παρ",
+    "jan", "feb", "sept", "oct", "nov", "dec", "janv", "févr", "juil", "okt", "dez", "янв", "авг", "сент", "окт", "нояб", "дек",
 }
-REFERENCES = {
-    "no", "nos", "nr", "n", "num", "núm", "p", "pp", "pg", "pág", "págs", "para", "paras", "art", "arts", "abs", "vol", "vols", "ch", "chap", "cap", "fig", "figs", "sec", "sect", "cf", "doc",
-    "docs", "ed", "eds", "approx", "ca", "vs", "v", "al", "dept", "inc", "ltd", "univ", "bzw", "ggf", "inkl", "vgl", "usf", "mio", "mrd", "zb", "ex", "ej", "ст", "п", "пп", "гл", "рис", "см", "табл",
-    "млн", "млрд", "тыс", "руб", "им", "ул", "стр", "т", "άρθρ", "σελ", "παρ", "αρ", "π", "թ", "г", "гг", "в", "вв", "с", "н",
-    "jan", "feb", "mar", "apr", "jun", "jul", "aug", "sep", "sept", "oct", "nov", "dec", "janv", "févr", "juil", "okt", "dez", "янв", "фев", "авг", "сент", "окт", "нояб", "дек",
-}
-#: References that are words of their own, or that end a sentence as often as not.
-EITHER = {"no", "в", "с", "г", "гг", "թ", "al", "v", "n", "mar", "ex"}
-FINAL = {"etc", "usw", "др", "inc", "ltd", "jr", "sr", "co", "κλπ", "κ.λπ"}
-NEVER = {"e.g", "i.e", "z.b", "d.h", "p.ex", "т.е", "u.a", "v.a", "p.ej", "c.-à-d", "π.χ", "т.к", "s.o"}
-ORDINAL_BEFORE = {"der", "die", "das", "den", "dem", "des", "am", "im", "zum", "zur", "vom", "beim", "ab", "bis", "seit", "und", "oder", "ein", "eine", "einer", "einem", "einen", "jede", "jeder", "jedes", "ihre", "seine", "unsere", "diese", "dieser", "auf", "für", "mit", "nach", "in"}
+PRIOR_BEFORE_NUMBERS = {"no", "nos", "art", "arts", "abs", "ch", "cap", "fig", "sec", "doc", "ed", "al", "ex", "apr", "mar", "jun", "jul", "aug", "sep"}
+#: Words before an ordinal, asked about likewise.
+PRIOR_ORDINALS = {"am", "der", "die", "das", "dem", "den", "des", "im", "vom", "zum", "zur", "bis", "seit"}
 REPORTING = re.compile(
     r"\b(?:said|says|asked|asks|warned|warns|replied|added|told|tells|declared|stated|answered|insisted|argued|announced|explained|concluded|remarked|noted|shouted|cried|wrote|observed|continued|"
     r"sagte|fragte|erklärte|antwortete|warnte|betonte|meinte|rief|dijo|preguntó|respondió|afirmó|añadió|declaró|dit|demanda|répondit|déclaré|déclara|affirmé|ajouté|répondu|"
@@ -53,9 +52,6 @@ _HINDI_REPORT = re.compile(r"(?:ने\s+)?(?:कहा|पूछा|बता
 CONJUNCTIONS = {"and", "but", "or", "yet", "so", "nor", "und", "aber", "et", "mais", "y", "pero", "и", "но"}
 ROMAN = re.compile(r"[ivxlcIVXLC]{1,5}\Z")
 
-#: Paragraphs shorter than this take it from the document whether capitals mean anything.
-SHORT = 80
-
 _BLANK = re.compile(r"\r?\n[^\S\n]*\r?\n\s*")
 _MARK = re.compile("[" + re.escape("".join(PAIRS) + "".join(PAIRS.values()) + '"') + "]")
 _THAI = "฀-๏๚-๿຀-໏က-႟ក-៟"
@@ -68,8 +64,13 @@ _LINE_NUMBER = re.compile(r"(?:\A|\n)[^\S\n]*\(?(\d{1,4})[.)][^\S\n]+(?=\S)")
 _VISIBLE = re.compile(r"\S")
 TOKEN_STOPS = frozenset("(（[「『«“\"‘„—–/،,:»”")
 _TIME = re.compile(r"(?:[^\W\d_a-z][^\s.!?]*\s+|(?:and|the|of)\s+|\([^)]*\)\s*){1,7}time\b")
-_WORD_DOT = re.compile(r"(?<![^\W\d_.\-'’])([^\W\d_][\w\-]{0,5})\.(?=\s+([^\W_])|[,;:])")
+_JOINED = re.compile("[-'’]")
+_LAST_WORD = re.compile(r"(?<!\w)[^\W\d_]+\Z")
+_PERIOD = re.compile(r"\.(?:(\s+)(\S?)|[,;:])")
+_NEAR_QUOTE = re.compile(r"([^\W\d_]+)\s*[:：,，]\s*[\"“«「„『](?=\w)|[.!?。！？][\"”」»』]\s?([^\W\d_]+)")
 _WORD = re.compile(r"[^\W\d_]+")
+_IDEOGRAPH = re.compile(r"[぀-ヿ㐀-鿿]")
+_EDGES = "".join(sorted(set(OPENERS + CLOSERS + ",;:.!?")))
 
 
 def _uncased(c: str) -> bool:
@@ -87,49 +88,99 @@ def _same_length_lower(text: str) -> str:
     return made if len(made) == len(text) else "".join(x if len(x) == 1 else c for c, x in ((c, c.lower()) for c in text))
 
 
+@dataclass(frozen=True)
+class Corpus:
+    """What the whole corpus shows: abbreviations as they are written, words that are common although they may begin
+    with a capital, words after which a number with a period is an ordinal, and words that report speech."""
+
+    abbreviations: frozenset[str] = frozenset()
+    common: frozenset[str] = frozenset()
+    ordinals: frozenset[str] = frozenset()
+    reporting: frozenset[str] = frozenset()
+
+
 class Splitter:
-    """Splits documents; ``corpus`` holds the words that the whole corpus shows to be abbreviations."""
+    """Splits documents, by their own evidence, then by that of the ``corpus``, then by the lists (``prior``)."""
 
-    def __init__(self, corpus: frozenset[str] = frozenset()) -> None:
+    def __init__(self, corpus: Corpus = Corpus(), prior: bool = True) -> None:
         self.corpus = corpus
+        self.folded = frozenset(w.lower() for w in corpus.abbreviations)
+        self.prior, self.numbered = (PRIOR, PRIOR_BEFORE_NUMBERS) if prior else (frozenset(), frozenset())
+        self.ordinals = corpus.ordinals or (PRIOR_ORDINALS if prior else frozenset())
+        self.verbs = REPORTING if prior else None
 
     # -- what the document says ----------------------------------------------------------------------------
 
     def _learn(self, text: str) -> None:
         self.text = text
-        self.here: dict[str, bool] = {}
-        self.lower: str | None = None
+        self.here: set[str] | None = None
+        self.known: dict[str, bool] = {}
         self.vocabulary: set[str] | None = None
         self.cased_document = self.cased = text != text.lower() and text != text.upper()
         self.danda = "।" in text
         self.verjaket = "։" in text
 
-    def _abbreviates(self, token: str) -> bool:
-        """The word stands, in any case, before a period and a lower-case word elsewhere in the document."""
-        token = _same_length_lower(token)
-        if (known := self.here.get(token)) is not None:
-            return known
-        if self.lower is None:
-            self.lower = _same_length_lower(self.text)
-        text, mark, at, found = self.text, token + ".", 0, False
-        while self.cased_document and not found and (at := self.lower.find(mark, at)) >= 0:
-            end = at + len(mark)
-            if not at or not text[at - 1].isalnum():
-                after = text[end : end + 1]
-                found = after != "" and after in ",;:"
-                if after.isspace():
-                    while text[end : end + 1].isspace():
-                        end += 1
-                    found = text[end : end + 1].islower()
-            at = end
-        self.here[token] = found
+    def _evidence(self) -> set[str]:
+        """Words of the document, folded, that stand in any case before a period inside a sentence.
+
+        A lower-case word or a comma after one such period is enough. Numbers may begin a sentence: they are evidence
+        if they follow two of the word's periods or more and each of them.
+        """
+        text = self.text
+        found: set[str] = set()
+        numbers: Counter = Counter()
+        others: Counter = Counter()
+        for m in _PERIOD.finditer(text):
+            after = m.group(2)
+            if after is not None:
+                if after.isupper():
+                    continue
+                kind = None if after.islower() else numbers if after.isdigit() and "\n" not in m.group(1) else others
+            else:
+                kind = None
+            word = _LAST_WORD.search(text, max(0, m.start() - 40), m.start())
+            if word:
+                if kind is None:
+                    found.add(word.group().lower())
+                else:
+                    kind[word.group().lower()] += 1
+        if numbers:
+            open_ = [w for w, n in numbers.items() if n > 1 and w not in others and w not in found and w not in self.folded]
+            lower = _same_length_lower(text) if open_ else ""
+            found.update(w for w in open_ if len(re.findall(rf"(?<!\w){re.escape(w)}\.\s", lower)) == numbers[w])
         return found
 
+    def _abbreviation(self, token: str, number: bool = False) -> bool:
+        """By the document, else by the corpus, else by the prior lists; ``number`` tells whether one follows."""
+        low = token.lower()
+        if token in self.corpus.abbreviations:  # any of the three is enough, so the nearest is asked first
+            return True
+        if not self.cased:
+            return low in self.folded or low in self.prior or number and low in self.numbered
+        if self.here is None:
+            self.here = self._evidence()
+        return low in self.here or low in self.prior or number and low in self.numbered
+
     def _common(self, word: str) -> bool:
-        """The word occurs in lower case in the document, so its capital is that of a sentence."""
+        """Whether a capital is only that of a sentence: the word occurs in lower case in the document, or, where it
+        has no capital inside a sentence there either, mostly in the corpus."""
         if self.vocabulary is None:
             self.vocabulary = {w for w in _WORD.findall(self.text) if w.islower()}
-        return word.lower() in self.vocabulary
+        low = word.lower()
+        if low in self.vocabulary:
+            return True
+        return low in self.corpus.common and not self._named(word)
+
+    def _named(self, word: str) -> bool:
+        """The word stands with its capital between lower-case words of the document."""
+        if (known := self.known.get(word)) is None:
+            text, at, known = self.text, 0, False
+            while not known and (at := text.find(word, at)) >= 0:
+                end = at + len(word)
+                known = at > 1 and text[at - 1] == " " and (text[at - 2].islower() or text[at - 2] == ",") and not text[end : end + 1].isalnum()
+                at = end
+            self.known[word] = known
+        return known
 
     # -- paragraphs ----------------------------------------------------------------------------------------
 
@@ -188,7 +239,7 @@ class Splitter:
         while text[high - 1].isspace():
             high -= 1
         part = text[low:high]
-        self.cased = self.cased_document and (len(part) < SHORT or part != part.lower() and part != part.upper())
+        self.cased = self.cased_document and part != part.lower() and part != part.upper()
         cuts = self._line_numbers(low, high)
         pairs = self._pairs(low, high)
         closes = {b: a for a, b in pairs}
@@ -219,7 +270,7 @@ class Splitter:
                     k += 1
                 elif c in "\"”’」』)）]】" and k not in closes and not (c == '"' and k + 1 < high and not text[k + 1].isspace()):
                     k += 1
-                elif c.isspace() and (q := self._after_space(k, high)) in closes and closes[q] < a and text[q] == "»":
+                elif closes and c.isspace() and (q := self._after_space(k, high)) in closes and closes[q] < a and text[q] == "»":
                     k = q
                 else:
                     break
@@ -308,7 +359,12 @@ class Splitter:
         return self._period_ends(current, a, j, f, lead)
 
     def _quote_ends(self, j: int, high: int, gap: bool, lead: str, mark: str) -> bool:
-        """A quotation that opened the sentence goes on with the words that report it."""
+        """Whether a sentence that a quotation opened ends with it, or goes on with the words that report it.
+
+        Lower-case letters and quotative particles go on. Else the words up to the next terminator are asked for one that
+        the corpus knows to report speech, then whether a name does something there: a title or a word that is never
+        common, followed by words in lower case.
+        """
         text = self.text
         if self.cased and lead.islower():
             return False
@@ -316,18 +372,33 @@ class Splitter:
             return False
         if lead and _unspaced(lead):
             stop = _CAND.search(text, j, high)
-            return not _REPORTING_UNSPACED.search(text, j, min(j + 60, stop.start() if stop else high))
+            clause = text[j : stop.start() if stop else high]
+            return not (any(c in self.corpus.reporting for c in clause) or self.verbs is not None and _REPORTING_UNSPACED.search(clause))
         if not gap and lead.isalpha() and _uncased(lead):
             return False
-        # titles and initials don't end the reporting clause
-        words = []
-        for word in text[j : min(high, j + 90)].split()[:9]:
+        # a title or an initial doesn't end the reporting clause
+        words: list[str] = []
+        at = j
+        while at < high:
+            while at < high and text[at].isspace():
+                at += 1
+            end = at
+            while end < high and not text[end].isspace():
+                end += 1
+            word = text[at:end].rstrip("\"”»’'")
             words.append(word)
-            bare = word.rstrip("\"”»’'")
-            if bare[-1:] in TERMINATORS and bare[-1:] and not (bare[-1] == "." and (bare[:-1].lower() in TITLES or len(bare) == 2)):
+            at = end
+            if word[-1:] and word[-1] in TERMINATORS and not (word[-1] == "." and (len(word) == 2 or self._abbreviation(word[:-1]))):
                 break
+        if any(w.strip(_EDGES).lower() in self.corpus.reporting for w in words):
+            return False
+        if self.cased and len(words) > 1:
+            first = words[0]
+            named = first[-1] == "." and self._abbreviation(first[:-1]) or first[-1].isalpha() and lead.isupper() and not self._common(first)
+            if named and any(w.islower() for w in words[1:4]):
+                return False
         window = " ".join(words)
-        return not (REPORTING.search(window) or _HINDI_REPORT.search(window))
+        return self.verbs is None or not (self.verbs.search(window) or _HINDI_REPORT.search(window))
 
     def _lost_space(self, a: int, j: int, lead: str) -> bool:
         """A period with no space after it ends a sentence between a word and a capitalised one, or between scripts."""
@@ -351,10 +422,9 @@ class Splitter:
             return False
         if "." in token and token.replace(".", "").isalpha():
             if token.islower():
-                return len(token.split(".")[-1]) == 1 and token not in NEVER
+                return len(token.split(".")[-1]) == 1 and self._common(following.group())
             return self._common(following.group())
-        word = token.lower()
-        if word in TITLES or word in REFERENCES and word not in EITHER:
+        if self._abbreviation(token):
             return False
         return before.isdigit() or before.isalpha() and len(token) >= 2 or before in CLOSERS + "%"
 
@@ -381,37 +451,29 @@ class Splitter:
         if token.isdigit():
             if len(token) <= 2 and lead.isupper():
                 previous = self._token(start - 1) if start > 0 else ""
-                if previous.lower() in ORDINAL_BEFORE and previous and (self._german(current, j)):
+                if previous and previous.lower() in self.ordinals and not self._follows_common(f):
                     return False
             return True
         if "." in token and not token[0].isdigit():
-            if word in NEVER:
-                return False
-            if word in ("a.m", "p.m") and _TIME.match(text, j):
-                return False
-            return not lead.isdigit() or "\n" in text[a:j] or word in ("a.m", "p.m") or token.isupper()
+            if token.isupper():
+                return True
+            if word in ("a.m", "p.m"):  # a zone may follow
+                return not _TIME.match(text, j)
+            if lead.isdigit() or self.cased and lead.isupper():
+                return "\n" in text[a:j] and lead.isdigit() or self._follows_common(f)
+            return not lead.isdigit()
         last = token[-1]
         if "ऀ" <= last <= "ॿ":
             return not self.danda and len(token) > 3
         if "԰" <= last <= "֏" and self.verjaket:
             return False
-        word = word.rsplit("-", 1)[-1].rsplit("'", 1)[-1].rsplit("’", 1)[-1] if word not in TITLES else word
-        if word in TITLES:
-            return word in FINAL and self._known_common(f)
-        if word in FINAL:
-            return not lead.isdigit()
-        if word in REFERENCES:
-            if lead.isdigit() or not lead.isalpha():
-                return False
-            if word in EITHER and not token[0].isupper():
-                return True
-            return self._known_common(f) and len(word) > 1
         if len(token) == 1 and token.isalpha():
-            if token.islower() or _uncased(token):
-                return word in EITHER or _uncased(token)
-            return self._known_common(f) and not self._initial_before(start)
-        if self.cased and lead.isalnum() and len(token) <= 6 and (word in self.corpus or self._abbreviates(token)):
-            return not lead.isdigit() and self._known_common(f)
+            if _uncased(token):
+                return True
+            return self._follows_common(f) and not (token.isupper() and self._initial_before(start))
+        number = lead.isdigit()
+        if self._abbreviation(token, number) or not token.isalpha() and self._abbreviation(_JOINED.split(token)[-1], number):
+            return self.cased and lead.isalpha() and self._follows_common(f)
         return True
 
     def _initial_before(self, start: int) -> bool:
@@ -419,71 +481,114 @@ class Splitter:
         before = self.text[max(0, start - 6) : start].rstrip()
         return before.endswith(".")
 
-    def _known_common(self, f: int) -> bool:
+    def _follows_common(self, f: int) -> bool:
+        """The word at f begins a sentence: it is common, and no initial."""
         m = _WORD.match(self.text, f)
-        return bool(m) and (not self.cased or self._common(m.group()))
-
-    def _german(self, current: int, j: int) -> bool:
-        following = _WORD.match(self.text, j)
-        return bool(following) and not self._common(following.group())
+        return bool(m) and (not self.cased or self._common(m.group()) and not (m.end() - f == 1 and self.text[m.end() : m.end() + 1] == "."))
 
 
 # -- corpus counts ---------------------------------------------------------------------------------------------
 
-#: An abbreviation stands before a period and a lower-case word or number in this share of all its occurrences,
-#: in at least MIN_USES places.
-SHARE = 0.3
-WITH_PERIOD = 0.8
+#: Evidence asked for: places at least, share of a word's periods inside a sentence, share of a capitalised word's
+#: occurrences that have a period (twice the places for each letter over four), most of an abbreviation's periods that
+#: end a paragraph, share of lower-case occurrences of a
+#: common word, places of ordinals, share of a reporting word's occurrences beside quotations.
 MIN_USES = 5
-
-
-def abbreviation_counts(df: DataFrame, text_column: str) -> DataFrame:
-    """word, uses (before a period), inside (before a period and a lower-case word, number or comma), bare (without period).
-
-    Words of up to six letters that stand before a period in any text. Each batch counts all its short words, as a word
-    may stand before a period in one batch and bare in another.
+INSIDE = 0.3
+WITH_PERIOD = 0.95
+ENDED = 0.01
+COMMON = 0.25
+ORDINALS = 20
+BESIDE = 0.1
+#: Words rarer than this share of all words are left to the evidence of their documents, so that what is sent to the
+#: workers has at most a million words of each kind, whatever the size of the corpus.
+RARE = 1e-6
+
+_COUNTS = ("uses", "inside", "ended", "number", "final", "quoted", "total")
+
+
+def word_counts(df: DataFrame, text_column: str) -> DataFrame:
+    """Per word as it is written: ``uses`` (before a period), ``inside`` (before a period inside a sentence), ``ended``
+    (before a period at the end of a paragraph), ``number`` (before a short number with a period) and how many of those
+    ``final`` (before no letter), ``quoted`` (beside a quotation) and ``total``. Characters of unspaced scripts count as words where they stand beside quotations.
+
+    Texts in one case don't tell where sentences begin and are left out. Every batch counts all its words, so the
+    counts don't depend on batches; they are summed before the shuffle.
     """
-    schema = "word string, uses long, inside long, bare long"
+    schema = "word string, " + ", ".join(f"{c} long" for c in _COUNTS)
+
+    def count(text: str, made: dict[str, Counter]) -> None:
+        uses, inside, ended, number, final, quoted = (made[c] for c in _COUNTS[:6])
+        for m in _PERIOD.finditer(text):
+            a = m.start()
+            low = max(text.rfind(" ", max(0, a - 40), a), text.rfind("\n", max(0, a - 40), a)) + 1
+            token, follower = text[low:a], m.group(2)
+            if not token.isalpha():
+                token = token.strip(_EDGES)
+                if token.isdigit() and len(token) < 3 and follower is not None:
+                    before = text[max(0, low - 40) : low].split()
+                    if before and before[-1].isalpha():
+                        number[before[-1].lower()] += 1
+                        if not follower.isalpha() or m.group(1).count("\n") > 1:
+                            final[before[-1].lower()] += 1
+                    continue
+                if not token.isalpha():
+                    continue
+            uses[token] += 1
+            if follower is None or follower.islower() or follower.isdigit() and not _uncased(token[0]):
+                inside[token] += 1
+            elif not follower or m.group(1).count("\n") > 1:
+                ended[token] += 1
+        for before, after in _NEAR_QUOTE.findall(text):
+            if before:
+                quoted[before[-1] if _unspaced(before[-1]) else before.lower()] += 1
+            elif after.islower() or _uncased(after[0]):
+                quoted[after[-1] if _unspaced(after[-1]) else after.lower()] += 1
+        made["total"].update(_WORD.findall(text))
+        made["total"].update(_IDEOGRAPH.findall(text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            uses, inside, bare = Counter(), Counter(), Counter()
-            texts = [t for t in batch.column(0).to_pylist() if t]
-            while texts:
-                # a few texts at a time, parted by blank lines
-                part, size = [], 0
-                while texts and size < 1 << 20:
-                    part.append(texts.pop())
-                    size += len(part[-1])
-                text = "\n\n".join(part)
-                for m in _WORD_DOT.finditer(text):
-                    word, following = m.group(1).lower(), m.group(2)
-                    uses[word] += 1
-                    if following is None or following.islower() or following.isdigit():
-                        inside[word] += 1
-                for word, n in Counter(_WORD.findall(text)).items():
-                    if len(word) <= 6:
-                        bare[word.lower()] += n
-            words = list(uses | bare)
-            yield pa.RecordBatch.from_pydict(
-                {"word": pa.array(words, pa.string()), "uses": pa.array([uses[w] for w in words], pa.int64()), "inside": pa.array([inside[w] for w in words], pa.int64()),
-                 "bare": pa.array([bare[w] - uses[w] for w in words], pa.int64())}
-            )
-
-    parts = df.select(text_column).mapInArrow(run, schema)
-    counts = parts.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("uses", "inside", "bare")])
-    return counts.where("uses > 0").withColumn("bare", F.greatest("bare", F.lit(0)))
-
-
-def corpus_abbreviations(df: DataFrame, text_column: str) -> frozenset[str]:
-    """Words that the corpus shows to be abbreviations; the shares decide, whatever the size of the corpus."""
-    counts = cut(abbreviation_counts(df, text_column))
-    inside, uses = F.col("inside"), F.col("uses")
-    rows = counts.where((inside >= MIN_USES) & (inside >= SHARE * uses) & (uses >= WITH_PERIOD * (uses + F.col("bare"))))
-    return frozenset(r[0] for r in rows.select("word").collect())
-
-
-def split_sentences(df: DataFrame, id_column: str, text_column: str, corpus: frozenset[str], *, texts: bool = True) -> DataFrame:
+            made: dict[str, Counter] = {c: Counter() for c in _COUNTS}
+            part, size = [], 0
+            for t in batch.column(0).to_pylist():
+                if t and t != t.lower() and t != t.upper() or t and _IDEOGRAPH.search(t):
+                    part.append(t)
+                    size += len(t)
+                if size > 1 << 20:
+                    # a few texts at a time, parted by blank lines
+                    count("\n\n".join(part), made)
+                    part, size = [], 0
+            count("\n\n".join(part), made)
+            words = list(set().union(*made.values()))
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *[pa.array([made[c][w] for w in words], pa.int64()) for c in _COUNTS]], names=["word", *_COUNTS])
+
+    parts = df.select(text_column).where(F.col(text_column).isNotNull()).mapInArrow(run, schema)
+    return parts.groupBy("word").agg(*[F.sum(c).alias(c) for c in _COUNTS])
+
+
+def corpus_evidence(df: DataFrame, text_column: str) -> Corpus:
+    """What the counts over all texts show. The same shares decide at every size; see RARE for the bound."""
+    counts = cut(word_counts(df, text_column))
+    word, low = F.col("word"), F.lower("word")
+    uses, inside, total = F.col("uses"), F.col("inside"), F.col("total")
+    capital = (F.left(word, F.lit(1)) != F.lower(F.left(word, F.lit(1)))) & ((F.char_length(word) == 1) | (word != F.upper(word)))
+    places = MIN_USES * F.pow(F.lit(2.0), F.greatest(F.lit(0), F.char_length(word) - 4))
+    marked = (inside >= MIN_USES) & (inside >= INSIDE * uses) | capital & (uses >= places) & (uses >= WITH_PERIOD * total)
+    abbreviations = marked & (F.col("ended") <= ENDED * uses)
+    every = counts.agg(F.coalesce(F.sum("total"), F.lit(0))).head()[0]
+    listed = counts.where(F.greatest("uses", "number", "quoted") >= RARE * every)
+    kinds = listed.select(
+        word, abbreviations.alias("a"), ((F.col("number") >= ORDINALS) & (F.col("final") <= 0.01 * F.col("number"))).alias("o"), ((F.col("quoted") >= MIN_USES) & (F.col("quoted") >= BESIDE * total)).alias("q")
+    ).where("a or o or q")
+    found = kinds.collect()
+    forms = counts.groupBy(low.alias("word")).agg(F.sum(F.when(word == low, total)).alias("small"), F.sum(F.when(word != low, total)).alias("large"))
+    usual = forms.where((F.col("small") >= MIN_USES) & (F.col("large") >= MIN_USES) & (F.col("large") >= RARE * every) & (F.col("small") >= COMMON * (F.col("small") + F.col("large"))))
+    common = frozenset(r[0] for r in usual.select("word").collect())
+    return Corpus(frozenset(r["word"] for r in found if r["a"]), common, frozenset(r["word"] for r in found if r["o"]), frozenset(r["word"] for r in found if r["q"]))
+
+
+def split_sentences(df: DataFrame, id_column: str, text_column: str, corpus: Corpus, *, texts: bool = True) -> DataFrame:
     """One row per sentence: the id, sent_no from 1, sent_start, sent_end (code points, end exclusive) and (``texts``) sentence.
 
     Null, empty and blank texts give no row. Repeated documents are split one by one. Nothing is shuffled.
