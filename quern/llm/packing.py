@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.session import cut
+
 #: Rounds of multiplicative weights at least allowed, and for each distinct length; the rounds end sooner, when the gap closes.
 ROUNDS = 160
 ROUNDS_PER_LENGTH = 2
@@ -44,35 +46,18 @@ class Group:
     room: int
 
 
-def _knapsack(size: np.ndarray, value: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """The greatest value within every capacity, and the place of the last length taken (-1: none)."""
+def knapsack(size: np.ndarray, value: np.ndarray, most: np.ndarray, capacity: int) -> np.ndarray:
+    """The greatest value within every capacity of at most ``most`` items of each length: bounded knapsack by dynamic
+    programming, with the items of a length in bundles of powers of two, each bundle one operation over all capacities."""
     best = np.zeros(capacity + 1)
-    chosen = np.full(capacity + 1, -1, dtype=np.int64)
-    upto = np.searchsorted(size, np.arange(capacity + 1), "right")
-    for c in range(int(size[0]) if len(size) else capacity + 1, capacity + 1):
-        best[c] = best[c - 1]
-        k = upto[c]
-        candidate = best[c - size[:k]] + value[:k]
-        j = int(candidate.argmax())
-        if candidate[j] > best[c] + 1e-15:
-            best[c], chosen[c] = candidate[j], j
-    return best, chosen
-
-
-def best_pattern(lengths: np.ndarray, values: np.ndarray, capacity: int) -> tuple[float, Counter]:
-    """The multiset of lengths within the capacity with the greatest value: unbounded knapsack by dynamic programming."""
-    order = np.argsort(lengths)
-    size = lengths[order]
-    best, chosen = _knapsack(size, values[order], capacity)
-    pattern: Counter = Counter()
-    c = capacity
-    while c > 0:
-        if chosen[c] < 0:
-            c -= 1
-        else:
-            pattern[int(size[chosen[c]])] += 1
-            c -= int(size[chosen[c]])
-    return float(best[capacity]), pattern
+    for s, v, m in zip(size.tolist(), value.tolist(), np.minimum(most, capacity // size).astype(np.int64).tolist()):
+        bundle = 1
+        while m > 0:
+            k = min(bundle, m)
+            np.maximum(best[k * s :], best[: capacity + 1 - k * s] + k * v, out=best[k * s :])
+            m -= k
+            bundle *= 2
+    return best
 
 
 def _through(i: int, size: np.ndarray, value: np.ndarray, best: np.ndarray, have: np.ndarray, wanted: np.ndarray, near: float) -> dict[int, int] | None:
@@ -118,7 +103,7 @@ def fractions(size: np.ndarray, counts: np.ndarray, capacity: int, rounds: int)
     """The configuration program by multiplicative weights, until the gap is closed.
 
     In each round the lengths that wait are served, those with least coverage first, by patterns whose value is near
-    the greatest, which the knapsack over all lengths gives; what is served more than others weighs less afterwards.
+    the greatest, which the bounded knapsack over all lengths gives; what is served more than others weighs less afterwards.
     """
     start = size / capacity
     value, covered = start.copy(), np.zeros(len(size))
@@ -126,7 +111,7 @@ def fractions(size: np.ndarray, counts: np.ndarray, capacity: int, rounds: int)
     total, lower, upper, kept, done = 0.0, 0.0, np.inf, value, 0
     for r in range(1, rounds + 1):
         done = r
-        best, _ = _knapsack(size, value, capacity)
+        best = knapsack(size, value, counts, capacity)
         bound = float((counts * value).sum() / best[capacity])
         if bound > lower:
             lower, kept = bound, value
@@ -135,9 +120,10 @@ def fractions(size: np.ndarray, counts: np.ndarray, capacity: int, rounds: int)
             while covered[i] < r - 1e-9:
                 wanted = r + 1 - covered
                 pattern = _through(int(i), size, value, best, counts, wanted, EXACT) if r > WIDE else None
-                pattern = pattern or _through(int(i), size, value, best, counts, wanted, near)
-                if pattern is None:
-                    break
+                reach = near
+                while pattern is None:  # few items of each length may leave no pattern near the best
+                    pattern = _through(int(i), size, value, best, counts, wanted, reach)
+                    reach *= 2
                 index, uses = np.array(list(pattern)), np.array(list(pattern.values()), dtype=np.float64)
                 # as often as the least of its lengths allows, but so that this one or half of a round is done
                 times = float((counts[index] * np.maximum(r - covered[index], 0.25) / uses).min())
@@ -176,7 +162,28 @@ def solved(histogram: dict[int, int], capacity: int, rounds: int | None = None)
     if not len(size):
         return Solved([], 0, 0, 0.0, 0)
     found = fractions(size, counts, capacity, max(ROUNDS, ROUNDS_PER_LENGTH * len(size)) if rounds is None else rounds)
-    left = np.array([histogram[int(x)] for x in size], dtype=np.int64)
+    bounds = [int(-(-int((counts * size).sum()) // capacity)), int(np.ceil(found.lower - 1e-6))]
+    for dual in ((2 * size > capacity).astype(float), 1.0 / (capacity // size)):
+        worth = float(knapsack(size, dual, counts, capacity)[capacity])
+        bounds.append(int(np.ceil(float((counts * dual).sum()) / worth - 1e-6)) if worth > 0 else 0)
+    # the fractions are rounded in three ways: to the nearest with what is left priced again, down, and all to nothing,
+    # which is best fit alone; the fewest containers are taken, and of equals the way that places most by patterns
+    made: list[tuple[int, list[Group], int]] = []
+    for nearest, down in ((True, True), (False, True), (False, False)):
+        groups, left = _rounded(found, size, histogram, capacity, nearest) if down else ([], np.array([histogram[int(x)] for x in size]))
+        tokens = sum(g.copies * (capacity - g.room) for g in groups)
+        groups = _best_fit(groups, Counter({int(x): int(n) for x, n in zip(size, left) if n}), capacity)
+        made.append((sum(g.copies for g in groups), groups, tokens))
+        if made[-1][0] <= max(bounds):
+            break
+    _, groups, tokens = min(made, key=lambda x: x[0])
+    return Solved(groups, max(bounds), tokens, found.upper / found.lower - 1 if found.lower else np.inf, found.rounds)
+
+
+def _rounded(found: Fractions, size: np.ndarray, histogram: dict[int, int], capacity: int, nearest: bool) -> tuple[list[Group], np.ndarray]:
+    """Whole containers from the fractions, and how many items of each length are left."""
+    counts = np.array([histogram[int(x)] for x in size], dtype=np.float64)
+    left = counts.astype(np.int64)
     groups: list[Group] = []
 
     def commit(pattern: dict[int, int], most: int) -> int:
@@ -188,40 +195,34 @@ def solved(histogram: dict[int, int], capacity: int, rounds: int | None = None)
                 left[i] -= copies * k
         return copies
 
-    if rounds != 0:
-        # whole parts first, then one more of those with the greatest parts, as long as their items are there
-        order = sorted(found.patterns.items(), key=lambda x: (-(x[1] % 1), x[0]))
-        for key, x in order:
-            commit(dict(key), int(x))
-        for key, x in order:
-            if x % 1 >= 0.5:
-                commit(dict(key), 1)
-        # what is left is priced again, by its own lengths, until no pattern near the best is left
-        value = found.value
-        near = EXACT
-        while left.any():
-            open_ = np.flatnonzero(left)
-            mine, worth = size[open_], value[open_]
-            best, _ = _knapsack(mine, worth, capacity)
-            again = False
-            for i in range(len(open_) - 1, -1, -1):
-                while left[open_[i]] > 0:
-                    have = left[open_]
-                    pattern = _through(i, mine, worth, best, have, have / counts[open_], near * best[capacity])
-                    if pattern is None:
-                        break
-                    again = True
-                    commit({int(open_[j]): k for j, k in pattern.items()}, max(1, int(min(have[j] // k for j, k in pattern.items()) // 2)))
-            if not again and near == NEAR:
-                break
-            near = near if again else NEAR
-    tokens = sum(g.copies * (capacity - g.room) for g in groups)
-    groups = _best_fit(groups, Counter({int(x): int(n) for x, n in zip(size, left) if n}), capacity)
-    bounds = [int(-(-int((counts * size).sum()) // capacity)), int(np.ceil(found.lower - 1e-6))]
-    for dual in ((2 * size > capacity).astype(float), 1.0 / (capacity // size)):
-        worth, _ = best_pattern(size, dual, capacity)
-        bounds.append(int(np.ceil(float((counts * dual).sum()) / worth - 1e-6)) if worth > 0 else 0)
-    return Solved(groups, max(bounds), tokens, found.upper / found.lower - 1 if found.lower else np.inf, found.rounds)
+    # whole parts first, then one more of those with the greatest parts, as long as their items are there
+    order = sorted(found.patterns.items(), key=lambda x: (-(x[1] % 1), x[0]))
+    for key, x in order:
+        commit(dict(key), int(x))
+    if not nearest:
+        return groups, left
+    for key, x in order:
+        if x % 1 >= 0.5:
+            commit(dict(key), 1)
+    # what is left is priced again, by its own lengths, until no pattern near the best is left
+    near = EXACT
+    while left.any():
+        open_ = np.flatnonzero(left)
+        mine, worth = size[open_], found.value[open_]
+        best = knapsack(mine, worth, left[open_], capacity)
+        again = False
+        for i in range(len(open_) - 1, -1, -1):
+            while left[open_[i]] > 0:
+                have = left[open_]
+                pattern = _through(i, mine, worth, best, have, have / counts[open_], near * best[capacity])
+                if pattern is None:
+                    break
+                again = True
+                commit({int(open_[j]): k for j, k in pattern.items()}, max(1, int(min(have[j] // k for j, k in pattern.items()) // 2)))
+        if not again and near == NEAR:
+            break
+        near = near if again else NEAR
+    return groups, left
 
 
 def solve(histogram: dict[int, int], capacity: int, rounds: int | None = None) -> tuple[list[Group], int]:
@@ -302,51 +303,58 @@ def plan(histogram: dict[int, int], capacity: int, rounds: int | None = None) ->
     return Plan(*columns, containers=base, bound=bound, pattern_share=found.tokens_by_patterns / total if total else 1.0, gap=found.gap)
 
 
-def items_of(sizes: DataFrame, id_column: str, size_column: str, capacity: int) -> DataFrame:
-    """One row per item: documents of up to the capacity whole, longer ones in parts of the capacity and a last one."""
-    n = F.col(size_column)
-    parts = F.ceil(n / capacity).cast("int")
-    out = sizes.where(n > 0).select(F.col(id_column), n.alias("__n"), F.explode(F.sequence(F.lit(1), parts)).alias("part_no"))
-    start = ((F.col("part_no") - 1) * capacity).cast("int")
-    return out.select(id_column, "part_no", start.alias("start_token"), F.least(F.lit(capacity), F.col("__n") - start).cast("int").alias("n_tokens"))
+def items_of(sizes: DataFrame, id_column: str, size_column: str, capacities: Sequence[int]) -> DataFrame:
+    """One row per capacity and item: documents of up to the capacity whole, longer ones in parts of the capacity and a last one."""
+    listed = F.array(*[F.lit(int(c)) for c in capacities]) if capacities else F.array().cast("array<int>")
+    whole = sizes.where(F.col(size_column) > 0).select(F.col(id_column), F.col(size_column).alias("__n"), F.explode(listed).alias("capacity"))
+    out = whole.select("*", F.explode(F.sequence(F.lit(1), F.ceil(F.col("__n") / F.col("capacity")).cast("int"))).alias("part_no"))
+    start = ((F.col("part_no") - 1) * F.col("capacity")).cast("int")
+    return out.select("capacity", id_column, "part_no", start.alias("start_token"), F.least("capacity", F.col("__n") - start).cast("int").alias("n_tokens"))
 
 
-def pack(sizes: DataFrame, id_column: str, size_column: str, capacity: int, rounds: int | None = None) -> tuple[DataFrame, Plan]:
-    """Every item with its container: the id, part_no, start_token, n_tokens, container (from 0).
+def pack(sizes: DataFrame, id_column: str, size_column: str, capacities: Sequence[int], rounds: int | None = None) -> tuple[DataFrame, dict[int, Plan]]:
+    """Every item with its container for each capacity: capacity, the id, part_no, start_token, n_tokens, container (from 0).
 
-    Only items longer than the capacity are divided. Null and zero sizes need no container and give no row; an
-    empty table gives none. Repeated ids are packed one by one. The plan on the driver is bounded by the capacity.
+    Only items longer than a capacity are divided. Null and zero sizes need no container and give no row; an
+    empty table gives none. Repeated ids are packed one by one. The plans on the driver are bounded by the capacities.
+    All capacities are counted, ranked and placed in one pass.
     """
-    items = items_of(sizes, id_column, size_column, capacity)
-    found = items.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).collect()
-    made = plan({r[0]: r[1] for r in found}, capacity, rounds)
+    capacities = sorted(set(capacities))
+    if any(not 0 < c <= MAX_CAPACITY for c in capacities):
+        raise ValueError(f"the capacity must be between 1 and {MAX_CAPACITY}")
+    items = items_of(sizes, id_column, size_column, capacities)
 
     # rank among the items of one length: numbered within buckets of the length, offset by the buckets before
     buckets = int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4
     bucketed = items.withColumn("__b", F.pmod(F.xxhash64(id_column, "part_no"), F.lit(buckets)).cast("int"))
-    per = bucketed.groupBy("n_tokens", "__b").agg(F.count(F.lit(1)).alias("__c"))
-    before = F.sum("__c").over(Window.partitionBy("n_tokens").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = per.select("n_tokens", "__b", F.coalesce(before, F.lit(0)).alias("__o"))
-    within = F.row_number().over(Window.partitionBy("n_tokens", "__b").orderBy(id_column, "part_no"))
-    ranked = bucketed.withColumn("__w", within - 1).join(offsets, ["n_tokens", "__b"]).withColumn("__r", F.col("__w") + F.col("__o"))
-    ranked = ranked.select(id_column, "part_no", "start_token", "n_tokens", F.col("__r").cast("long").alias("__r"))
-    fields = ranked.schema.fields
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields if f.name != "__r") + ", container long"
-    length, start, base, copies = made.length, made.start, made.base, made.copies
+    length = ["capacity", "n_tokens"]
+    per = cut(bucketed.groupBy(*length, "__b").agg(F.count(F.lit(1)).alias("__c")))
+    histograms: dict[int, dict[int, int]] = {c: {} for c in capacities}
+    for c, n, k in per.groupBy(*length).agg(F.sum("__c")).collect():
+        histograms[c][n] = k
+    plans = {c: plan(h, c, rounds) for c, h in histograms.items()}
+    before = F.sum("__c").over(Window.partitionBy(*length).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = per.select(*length, "__b", F.coalesce(before, F.lit(0)).alias("__o"))
+    within = F.row_number().over(Window.partitionBy(*length, "__b").orderBy(id_column, "part_no"))
+    ranked = bucketed.withColumn("__w", within - 1).join(offsets, [*length, "__b"]).withColumn("__r", F.col("__w") + F.col("__o"))
+    ranked = ranked.select("capacity", id_column, "part_no", "start_token", "n_tokens", F.col("__r").cast("long").alias("__r"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema.fields if f.name != "__r") + ", container long"
+    # runs of all plans, sorted by capacity, length and first rank; one search finds the run of an item
+    columns = {n: np.concatenate([getattr(plans[c], n) for c in capacities]) if capacities else np.zeros(0, np.int64) for n in ("length", "start", "base", "copies")}
+    group = np.concatenate([c * (MAX_CAPACITY + 1) + plans[c].length for c in capacities]) if capacities else np.zeros(0, np.int64)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lengths, first = np.unique(length, return_index=True)
-        last = np.append(first[1:], len(length))
+        groups, first = np.unique(group, return_index=True)
+        last = np.append(first[1:], len(group))
+        start, base, copies = columns["start"], columns["base"], columns["copies"]
         reach = int(start.max()) + 1 if len(start) else 1
+        key = np.repeat(np.arange(len(groups)), last - first) * (reach + 1) + start
         for batch in batches:
-            n = batch.column(batch.schema.get_field_index("n_tokens")).to_numpy(zero_copy_only=False).astype(np.int64)
-            r = batch.column(batch.schema.get_field_index("__r")).to_numpy(zero_copy_only=False).astype(np.int64)
-            which = np.searchsorted(lengths, n)
-            # runs are sorted by length and start, so one search over both finds the run of a rank
-            key = np.repeat(np.arange(len(lengths)), last - first) * (reach + 1) + start
+            c, n, r = (batch.column(batch.schema.get_field_index(x)).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("capacity", "n_tokens", "__r"))
+            which = np.searchsorted(groups, c * (MAX_CAPACITY + 1) + n)
             run = np.searchsorted(key, which * (reach + 1) + np.minimum(r, reach), "right") - 1
             container = base[run] + (r - start[run]) % copies[run]
             kept = [batch.column(i) for i, name in enumerate(batch.schema.names) if name != "__r"]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(container, pa.int64())], names=[x for x in batch.schema.names if x != "__r"] + ["container"])
 
-    return ranked.mapInArrow(place, schema), made
+    return ranked.mapInArrow(place, schema), plans

@@ -240,15 +240,16 @@ def _sizes(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     return cut(tokens.with_token_counts(table(spark, folder, "documents").select("doc_id", *columns, "text"), "text"))
 
 
-def _packed(spark: SparkSession, folder: str) -> tuple[DataFrame, list[tuple]]:
-    sizes = _sizes(spark, folder)
-    out, plans = None, []
-    for spec, name, capacity in table(spark, folder, "pack_specs").select("spec_id", "spec_name", "capacity_tokens").dropna().orderBy("spec_id").collect():
-        items, made = packing.pack(sizes, "doc_id", "n_tokens", capacity)
-        rows = items.select(F.lit(spec).alias("spec_id"), F.lit(capacity).alias("capacity_tokens"), "container", "doc_id", "part_no", "start_token", "n_tokens")
-        out = rows if out is None else out.unionByName(rows)
-        plans.append((spec, name, capacity, made.containers, made.bound, made.pattern_share, made.gap))
-    return out, plans
+def _packed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The contents of all containers, and the plan of each specification."""
+    specs = table(spark, folder, "pack_specs").select("spec_id", "spec_name", "capacity_tokens").dropna()
+    items, plans = packing.pack(_sizes(spark, folder), "doc_id", "n_tokens", [r[2] for r in specs.orderBy("spec_id").collect()])
+    planned = [(c, p.containers, p.bound, p.pattern_share, p.gap) for c, p in plans.items()]
+    listed = spark.createDataFrame(planned, "capacity_tokens int, containers long, lower_bound long, pattern_share double, lp_gap double")
+    items = items.withColumnRenamed("capacity", "capacity_tokens")
+    # specifications of one capacity share its containers; the list has a row for each specification
+    rows = items.join(F.broadcast(specs.select("spec_id", "capacity_tokens")), "capacity_tokens")
+    return rows.select("spec_id", "capacity_tokens", "container", "doc_id", "part_no", "start_token", "n_tokens"), specs.join(listed, "capacity_tokens")
 
 
 def p7_contents(spark: SparkSession, folder: str) -> DataFrame:
@@ -264,8 +265,7 @@ def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
 
 def p7_summary(spark: SparkSession, folder: str) -> DataFrame:
     """Containers, their lower bound, the share of tokens placed by patterns, the gap of the fractions, and the fill for each capacity."""
-    rows, plans = _packed(spark, folder)
-    planned = spark.createDataFrame(plans, "spec_id int, spec_name string, capacity_tokens int, containers long, lower_bound long, pattern_share double, lp_gap double")
+    rows, planned = _packed(spark, folder)
     used = rows.groupBy("spec_id").agg(F.count(F.lit(1)).alias("n_items"), F.sum("n_tokens").alias("used_tokens"))
     return planned.join(used, "spec_id").withColumn("fill", F.col("used_tokens") / F.col("capacity_tokens") / F.col("containers"))
 

@@ -275,33 +275,61 @@ def test_patterns_place_the_items():
     assert made.containers <= 1.02 * 2000 and made.pattern_share > 0.95 and made.gap <= packing.GAP
 
 
-def test_best_pattern_by_brute_force():
+def test_bounded_knapsack_by_brute_force():
     rng = np.random.default_rng(6)
-    for _ in range(20):
+    for _ in range(40):
         lengths = np.unique(rng.integers(1, 20, 5))
-        values = rng.random(len(lengths))
-        value, pattern = packing.best_pattern(lengths, values, 30)
+        values, most = rng.random(len(lengths)), rng.integers(0, 4, len(lengths))
         best = [0.0] * 31
-        for c in range(1, 31):
-            best[c] = max([best[c - 1]] + [best[c - x] + v for x, v in zip(lengths, values) if x <= c])
-        assert math.isclose(value, best[30]) and sum(x * k for x, k in pattern.items()) <= 30
+        for x, v, m in zip(lengths, values, most):
+            best = [max(best[c - k * x] + k * v for k in range(m + 1) if k * x <= c) for c in range(31)]
+        assert np.allclose(packing.knapsack(lengths, values, most, 30), best)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.dictionaries(st.integers(1, 60), st.integers(1, 60), max_size=30))
+def test_never_more_than_best_fit(histogram):
+    from collections import Counter
+
+    groups, _ = packing.solve(histogram, 60)
+    assert sum(g.copies for g in groups) <= sum(g.copies for g in packing._best_fit([], Counter(histogram), 60))
+
+
+@pytest.mark.parametrize("scale", ["0.001", "0.01", "0.1"])
+def test_containers_of_the_test_documents(scale):
+    """Within 1 % and one container of the lower bound at every scale and capacity."""
+    path = f"/root/testdata/sf{scale}/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("the test tables are not here")
+    import pyarrow.parquet as pq
+
+    sizes = tokens.counter(tokens.VOCABULARY)([t or "" for t in pq.read_table(path, columns=["text"]).column(0).to_pylist()])
+    for capacity in (480, 2048, 8192):
+        histogram = {}
+        for n in sizes:
+            for part in [capacity] * (n // capacity) + [n % capacity] * (n % capacity > 0):
+                histogram[part] = histogram.get(part, 0) + 1
+        made = packing.solved(histogram, capacity)
+        assert sum(g.copies for g in made.groups) <= 1.01 * made.bound + 1
 
 
 def test_pack(spark):
     r = random.Random(3)
     sizes = [(i, r.choice([7, 7, 7, 30, 55, 100, 101, 250, 0, None])) for i in range(2000)] + [(5, 7), (5, 7)]
     df = spark.createDataFrame(sizes, "id long, n int")
-    out, plan = packing.pack(df, "id", "n", 100)
+    out, plans = packing.pack(df.withColumn("capacity", F.lit("clash")), "id", "n", [100, 40, 100])
     rows = out.collect()
-    used, parts = {}, {}
-    for x in rows:
-        used[x.container] = used.get(x.container, 0) + x.n_tokens
-        parts.setdefault(x.id, []).append(x)
-    assert max(used.values()) <= 100 and set(used) == set(range(plan.containers))
-    assert sum(used.values()) == sum(n or 0 for _, n in sizes)
-    assert all(len(parts[i]) == math.ceil(n / 100) for i, n in sizes if n and i != 5)
-    assert plan.containers <= plan.bound * 1.02 + 2
-    assert packing.pack(df.limit(0), "id", "n", 100)[0].count() == 0
+    for capacity in (40, 100):
+        used, parts, plan = {}, {}, plans[capacity]
+        for x in rows:
+            if x.capacity == capacity:
+                used[x.container] = used.get(x.container, 0) + x.n_tokens
+                parts.setdefault(x.id, []).append(x)
+        assert max(used.values()) <= capacity and set(used) == set(range(plan.containers))
+        assert sum(used.values()) == sum(n or 0 for _, n in sizes)
+        assert all(len(parts[i]) == math.ceil(n / capacity) for i, n in sizes if n and i != 5)
+        assert plan.containers <= plan.bound * 1.02 + 2
+    assert packing.pack(df.limit(0), "id", "n", [100])[0].count() == 0 and packing.pack(df, "id", "n", [])[0].count() == 0
 
 
 def test_impossible_items():
