@@ -1,16 +1,20 @@
 """Mapping freely typed values to the closest entry of a reference list, with unmatched values reported.
 
 Distinct values are normalised, candidates come from an inverted index of character n-grams of all names and
-codes of the list, and are scored by cosine with inverse document frequencies as weights. A value is accepted
-above a threshold and with a margin before the next entry; the edit distance then settles near ties exactly.
+codes of the list, and are scored by cosine with damped inverse document frequencies as weights. A value is accepted
+above a threshold and with a margin before the next entry. Where several entries lie within the margin, the edit
+distance decides among them, if one of them alone has the fewest edits; nothing is accepted below the threshold. All
+entries that share an n-gram with a value are scored, however many they are.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
 import re
 import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,14 +23,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 UNMATCHED = "UNMATCHED"
-#: Least cosine, and least lead over the best other entry, of an accepted value.
+#: Least cosine of an accepted name or code, and least lead over the best other entry.
 THRESHOLD = 0.5
-MARGIN = 0.06
-#: A candidate within this edit distance for its length is close by letters, whatever its cosine.
+CODE_THRESHOLD = 0.5
+MARGIN = 0.08
+#: Most edits, for a text's length, with which a near tie is decided.
 EDITS = ((3, 0), (5, 1), (9, 2), (10**9, 3))
-#: Candidates that are compared letter by letter.
-CANDIDATES = 24
-CODE_CANDIDATES = 120
+CODE_EDITS = 1
+#: Exponent of the inverse document frequency of a gram: rare letters of a slip of the pen would outweigh all that is
+#: right. Words count in full by theirs, as a word that many names have says little.
+RARITY = 0.25
 #: More reference names than this are not shipped to the workers.
 MAX_NAMES = 200_000
 
@@ -44,6 +50,8 @@ EMPTY_WORDS = {"the", "of", "and"}
 #: What is typed where no entry is meant.
 NO_ENTRY = {"NA", "NONE", "NULL", "NIL", "NAN", "TBD", "TBC", "UNKNOWN", "NOTSTATED", "SEENOTE"}
 
+#: What opens the name of a remainder or a sum, which is no entry.
+_REMAINDER = re.compile(r"\s*(?:all\s+)?(?:others?|rest|remaining|remainder|(?:grand\s+|sub-?\s*)?totals?)\b", re.IGNORECASE)
 _NOTE = re.compile(r"\[\s*\d+\s*\]|[*†‡§¶?]|[¹²³⁰-⁹]|\(\s*(?:tbc|the|\d+)\s*\)|\s[-–—]\s*total\s*$|,\s*the\s*$", re.IGNORECASE)
 _FORMER = re.compile(r"[(\[]\s*(?:formerly|former|ex|previously|now)\b[\s\-:]*([^)\]]+)[)\]]", re.IGNORECASE)
 _INITIALS = re.compile(r"\b(?:[a-z]\.){2,}")
@@ -91,19 +99,28 @@ def edit_distance(a: str, b: str, most: int) -> int:
     return last[-1]
 
 
-def word_grams(ws: Sequence[str]) -> Counter:
-    """Bigrams and trigrams of each word with its edges, so that the order of words doesn't matter."""
-    out: Counter = Counter()
+def word_grams(ws: Sequence[str], telling: Callable[[str], float] = lambda w: 1.0) -> dict[str, float]:
+    """Letters, bigrams and trigrams of each word with its edges, and pairs with a gap; the order of words doesn't matter.
+
+    A gram counts as the root of its number in a word, times what the word tells (``telling``).
+    """
+    out: dict[str, float] = defaultdict(float)
     for w in ws:
         p = f"^{w}$"
-        out.update(p[i : i + n] for n in (2, 3) for i in range(len(p) - n + 1))
+        grams = Counter(w)
+        grams.update(p[i : i + n] for n in (2, 3) for i in range(len(p) - n + 1))
+        grams.update(f"{p[i]}_{p[i + 2]}" for i in range(len(p) - 2))
+        much = telling(w)
+        for g, k in grams.items():
+            out[g] += much * k**0.5
     return out
 
 
-def code_grams(code: str) -> Counter:
-    """Letters, neighbours with edges, and pairs with a gap: one wrong letter leaves some of each."""
-    p = f"^{code}$"
-    return Counter([f"#{c}" for c in code] + [f"#{p[i : i + 2]}" for i in range(len(p) - 1)] + [f"#{p[i]}_{p[i + 2]}" for i in range(len(p) - 2)])
+def code_grams(code: str) -> dict[str, float]:
+    """Letters, their places from either end, neighbours in any order, and the length: one slip leaves most of them."""
+    p, n = f"^{code}$", len(code)
+    found = Counter([*code, *[f"{i}{c}" for i, c in enumerate(code)], *[f"-{n - i}{c}" for i, c in enumerate(code)], *["<" + "".join(sorted(p[i : i + 2])) for i in range(len(p) - 1)], f"=={n}"])
+    return {g: k**0.5 for g, k in found.items()}
 
 
 @dataclass(frozen=True)
@@ -113,65 +130,89 @@ class Match:
     margin: float
 
 
+class Grams:
+    """Inverted index of the n-grams of texts; single letters, whose lists would hold nearly all texts, only score."""
+
+    def __init__(self, entries: Sequence[tuple[str, str]], grams: Callable[[str], dict[str, float]]) -> None:
+        self.entries, self.grams = entries, grams
+        numbers: dict[str, int] = {}
+        self.entity = np.array([numbers.setdefault(e, len(numbers)) for e, _ in entries], dtype=np.int64)
+        found = [grams(t) for _, t in entries]
+        df = Counter(g for c in found for g in c)
+        self.n = max(1, len(found))
+        self.weight = {g: self._rarity(k) for g, k in df.items()}
+        self.letters = {g: i for i, g in enumerate(sorted(g for g in df if len(g) == 1))}
+        self.singles = np.zeros((len(found), len(self.letters)), dtype=np.float32)
+        norm = np.ones(len(found))
+        lists: dict[str, tuple[list[int], list[float]]] = defaultdict(lambda: ([], []))
+        for i, c in enumerate(found):
+            weighted = {g: k * self.weight[g] for g, k in c.items()}
+            norm[i] = np.sqrt(sum(w * w for w in weighted.values())) or 1.0
+            for g, w in weighted.items():
+                if len(g) == 1:
+                    self.singles[i, self.letters[g]] = w / norm[i]
+                else:
+                    lists[g][0].append(i)
+                    lists[g][1].append(w / norm[i])
+        self.lists = {g: (np.array(at, dtype=np.int64), np.array(w)) for g, (at, w) in lists.items()}
+
+    def _rarity(self, df: int) -> float:
+        return float(np.log(1 + self.n / df)) ** RARITY
+
+    def scores(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the entries that share a gram with the text, and their cosines; no other entry is touched."""
+        weighted = {g: k * self.weight.get(g, self._rarity(1)) for g, k in self.grams(text).items()}
+        norm = np.sqrt(sum(w * w for w in weighted.values())) or 1.0
+        met = [(self.lists[g], w) for g, w in weighted.items() if g in self.lists]
+        if not met:
+            return np.zeros(0, dtype=np.int64), np.zeros(0)
+        places, where = np.unique(np.concatenate([at for (at, _), _ in met]), return_inverse=True)
+        cosine = np.bincount(where, np.concatenate([own * w for (_, own), w in met]), len(places))
+        letters = np.zeros(len(self.letters))
+        for g, w in weighted.items():
+            if g in self.letters:
+                letters[self.letters[g]] = w
+        return places, (cosine + self.singles[places] @ letters) / norm
+
+    def best(self, text: str, threshold: float, allowed: int) -> Match | None:
+        """The entry above the threshold with the margin; of near ties the only one with the fewest edits, up to ``allowed``."""
+        places, cosine = self.scores(text)
+        if not len(places) or cosine.max() < threshold:
+            return None
+        first = int(places[cosine.argmax()])
+        top = float(cosine.max())
+        others = cosine[self.entity[places] != self.entity[first]]
+        second = float(others.max()) if len(others) else 0.0
+        if top - second >= MARGIN:
+            return Match(self.entries[first][0], top, top - second)
+        edits: dict[str, tuple[int, bool]] = {}
+        for i in places[(cosine > top - MARGIN) & (cosine >= threshold)]:
+            entity, own = self.entries[i]
+            # a letter is sooner mistyped than left out or doubled
+            key = (edit_distance(text, own, allowed), len(own) != len(text))
+            edits[entity] = min(key, edits.get(entity, key))
+        least = min(edits.values())
+        close = [e for e, k in edits.items() if k == least]
+        if least[0] > allowed or len(close) > 1:
+            return None
+        at = cosine[np.array([self.entries[i][0] == close[0] for i in places])].max()
+        return Match(close[0], float(at), top - second)
+
+
 class Index:
-    """Inverted index of the n-grams of all names and codes."""
+    """All names and codes of the list: exact forms, and grams of the names and of the codes of three letters or more."""
 
     def __init__(self, names: Sequence[tuple[str, str]], codes: Sequence[tuple[str, str]]) -> None:
-        self.entries = [(e, " ".join(words(n)), False) for n, e in names if n and words(n)] + [(e, code_of(c), True) for c, e in codes if c and code_of(c)]
-        grams = [code_grams(t) if is_code else word_grams(t.split()) for _, t, is_code in self.entries]
-        df = Counter(g for c in grams for g in c)
-        n = max(1, len(grams))
-        self.idf = {g: float(np.log(1 + n / k)) for g, k in df.items()}
-        self.unseen = float(np.log(1 + n))
-        postings: dict[str, list[tuple[int, float]]] = defaultdict(list)
-        self.norm = np.ones(len(grams))
-        for i, c in enumerate(grams):
-            self.norm[i] = np.sqrt(sum((k * self.idf[g]) ** 2 for g, k in c.items())) or 1.0
-            for g, k in c.items():
-                postings[g].append((i, k * self.idf[g]))
-        self.postings = {g: (np.array([i for i, _ in p]), np.array([w for _, w in p])) for g, p in postings.items()}
+        named = [(e, " ".join(words(n))) for n, e in names if n and words(n)]
+        coded = [(e, code_of(c)) for c, e in codes if c and code_of(c)]
         self.exact: dict[tuple[str, bool], set[str]] = defaultdict(set)
-        for e, t, is_code in self.entries:
-            self.exact[(" ".join(sorted(t.split())), is_code)].add(e)
-        self.is_code = np.array([c for _, _, c in self.entries], dtype=bool)
-
-    def scores(self, grams: Counter) -> np.ndarray:
-        out = np.zeros(len(self.entries))
-        square = 0.0
-        for g, k in grams.items():
-            w = k * self.idf.get(g, self.unseen)
-            square += w * w
-            if g in self.postings:
-                at, weight = self.postings[g]
-                out[at] += w * weight
-        return out / self.norm / (np.sqrt(square) or 1.0)
-
-    def _best(self, scores: np.ndarray, text: str, allowed: int, code: bool) -> Match | None:
-        """The entry with the best cosine above threshold and margin, or else the only one within the fewest edits."""
-        if not len(scores) or scores.max() <= 0:
-            return None
-        top = np.argsort(-scores, kind="stable")[: CODE_CANDIDATES if code else CANDIDATES]
-        best: dict[str, float] = {}
-        edits: dict[str, tuple[int, bool]] = {}
-        for i in top:
-            e, t, _ = self.entries[i]
-            best.setdefault(e, float(scores[i]))
-            d = edit_distance(text, t, allowed)
-            if d <= allowed and (not code or len(t) > 2):
-                # a code is sooner mistyped than cut short or lengthened
-                key = (d, code and len(t) != len(text))
-                edits[e] = min(key, edits.get(e, key))
-        ranked = sorted(best.items(), key=lambda x: (-x[1], x[0]))
-        margin = ranked[0][1] - (ranked[1][1] if len(ranked) > 1 else 0.0)
-        if edits:
-            least = min(edits.values())
-            close = sorted((e for e, d in edits.items() if d == least), key=lambda e: -best[e])
-            if len(close) == 1 or best[close[0]] - best[close[1]] >= MARGIN:
-                return Match(close[0], best[close[0]], margin)
-            return None
-        if not code and ranked[0][1] >= THRESHOLD and margin >= MARGIN:
-            return Match(ranked[0][0], ranked[0][1], margin)
-        return None
+        for entries, is_code in ((named, False), (coded, True)):
+            for e, t in entries:
+                self.exact[(" ".join(sorted(t.split())), is_code)].add(e)
+        having = Counter(w for _, t in named for w in set(t.split()))
+        most = math.log(1 + max(1, len(named)))
+        self.names = Grams(named, lambda t: word_grams(t.split(), lambda w: math.log(1 + max(1, len(named)) / having.get(w, 1)) / most))
+        self.codes = Grams([(e, t) for e, t in coded if len(t) > 2], code_grams)
 
     def as_name(self, text: str) -> Match | None:
         ws = words(text)
@@ -181,8 +222,7 @@ class Index:
         if len(hit) == 1:
             return Match(next(iter(hit)), 1.0, 1.0)
         joined = " ".join(ws)
-        allowed = next(k for length, k in EDITS if len(joined) <= length)
-        return self._best(np.where(self.is_code, 0.0, self.scores(word_grams(ws))), joined, allowed, False)
+        return self.names.best(joined, THRESHOLD, next(k for length, k in EDITS if len(joined) <= length))
 
     def as_code(self, text: str, near: bool = True) -> Match | None:
         """The entry with this code, or (``near``) the one whose code is a slip away."""
@@ -194,11 +234,13 @@ class Index:
             return Match(next(iter(hit)), 1.0, 1.0)
         if not near or len(code) < 3 or len(code) > 5:
             return None
-        return self._best(np.where(self.is_code, self.scores(code_grams(code)), 0.0), code, 1, True)
+        return self.codes.best(code, CODE_THRESHOLD, CODE_EDITS)
 
     def match(self, text: str, codes_first: bool) -> Match:
-        """The entry that a value means; a placeholder, a repeated sign or a number alone means none."""
+        """The entry that a value means; a placeholder, a remainder or sum, a repeated sign or a number alone means none."""
         letters = re.sub(r"[^A-Z]", "", fold(text).upper())
+        if _REMAINDER.match(text) and (" ".join(sorted(words(text))), False) not in self.exact:
+            return Match(UNMATCHED, 0.0, 0.0)
         if letters in NO_ENTRY or (len(set(letters)) < 2 and (code_of(text), True) not in self.exact):
             return Match(UNMATCHED, 0.0, 0.0)
         former = _FORMER.search(text)
@@ -214,18 +256,26 @@ class Index:
         return Match(UNMATCHED, 0.0, 0.0)
 
 
+_INDEXES: dict[str, Index] = {}
+
+
 def match_values(values: DataFrame, column: str, names: Sequence[tuple[str, str]], codes: Sequence[tuple[str, str]], *, codes_first: bool = False) -> DataFrame:
     """``column`` of a table of distinct values with matched, score and margin; 'UNMATCHED' where no entry is meant.
 
     Null values are left out; blank ones are unmatched. With an empty list all are unmatched.
-    ``codes_first`` tries a value as a code before it is tried as a name.
+    ``codes_first`` tries a value as a code before it is tried as a name. Values are few bytes and much work each, so
+    they are spread over as many tasks as the cluster has cores, whatever their size.
     """
     if len(names) + len(codes) > MAX_NAMES:
         raise ValueError(f"the reference list has over {MAX_NAMES} names and codes")
     listed = (tuple(names), tuple(codes))
+    key = hashlib.sha256(repr(listed).encode()).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(*listed)
+        if key not in _INDEXES:  # once for each process of a worker
+            _INDEXES.clear()
+            _INDEXES[key] = Index(*listed)
+        index = _INDEXES[key]
         for batch in batches:
             found = [index.match(v, codes_first) for v in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -233,4 +283,5 @@ def match_values(values: DataFrame, column: str, names: Sequence[tuple[str, str]
                 names=[column, "matched", "score", "margin"],
             )
 
-    return values.select(column).where(F.col(column).isNotNull()).mapInArrow(run, f"`{column}` string, matched string, score double, margin double")
+    spread = values.select(column).where(F.col(column).isNotNull()).repartition(values.sparkSession.sparkContext.defaultParallelism, column)
+    return spread.mapInArrow(run, f"`{column}` string, matched string, score double, margin double")

@@ -210,11 +210,13 @@ def _matched(spark: SparkSession, folder: str) -> DataFrame:
     entries = table(spark, folder, "region_income_snapshot").select("entity_id", "iso2", "country_name", "official_name", "former_name").where("entity_id is not null").limit(matching.MAX_NAMES + 1).collect()
     names = [(r[k], r[0]) for r in entries for k in (2, 3, 4) if r[k]]
     codes = [(r[k], r[0]) for r in entries for k in (0, 1) if r[k]]
-    exact = {"country_name": [r[2] for r in entries if r[2]], "entity_id": [r[0] for r in entries]}
+    exact = {"country_name": sorted({r[2] for r in entries if r[2]}), "entity_id": sorted({r[0] for r in entries})}
     out = None
     for name, field, column, as_code in TYPED:
         rows = table(spark, folder, name).select("entry_id", F.col(field).alias("value"))
-        rows = rows.where(F.col("value").rlike("[^\\s\u00a0]") & ~F.col("value").isin(exact[column]))
+        # the list is bounded by MAX_NAMES, which match_values checks
+        known = F.broadcast(spark.createDataFrame([(v,) for v in exact[column]], "value string"))
+        rows = rows.where(F.col("value").rlike("[^\\s\u00a0]")).join(known, "value", "left_anti")
         # values are matched once each, and the answer is joined to the rows that hold it
         found = matching.match_values(rows.select("value").distinct(), "value", names, codes, codes_first=as_code)
         made = rows.join(found, "value").select(F.lit(name).alias("crosswalk"), F.lit(field).alias("field_name"), "entry_id", "value", F.col("matched").alias("entity_id"), "score", "margin")

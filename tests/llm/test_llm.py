@@ -174,6 +174,45 @@ def test_match_values(spark):
         matching.match_values(df, "v", [("x", "y")] * (matching.MAX_NAMES + 1), [])
 
 
+def test_cosines_by_brute_force():
+    r = random.Random(4)
+    entries = [(f"E{i}", " ".join("".join(r.choices("abcde", k=r.randint(1, 6))) for _ in range(r.randint(1, 3)))) for i in range(60)]
+    index = matching.Grams(entries, lambda t: matching.word_grams(t.split()))
+    df = {}
+    for _, t in entries:
+        for g in matching.word_grams(t.split()):
+            df[g] = df.get(g, 0) + 1
+    vector = lambda t: {g: k * math.log(1 + len(entries) / df.get(g, 1)) ** matching.RARITY for g, k in matching.word_grams(t.split()).items()}
+    length = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    for text in ("abc", "dea bcd", "zzz", entries[7][1]):
+        mine = vector(text)
+        places, cosine = index.scores(text)
+        found = dict(zip(places.tolist(), cosine.tolist()))
+        for i, (_, t) in enumerate(entries):
+            own = vector(t)
+            wanted = sum(x * own.get(g, 0) for g, x in mine.items()) / length(mine) / length(own)
+            assert math.isclose(found.get(i, 0.0), wanted, abs_tol=1e-5) or i not in found and not any(len(g) > 1 for g in mine if g in own)
+
+
+def test_nothing_outside_the_bounds_and_no_candidate_is_dropped():
+    # 400 entries alike but for one letter: all of them are compared, so an equally near rival is always seen
+    names = [(f"bandora {x}{y}", f"{x}{y}") for x in "abcdefghijklmnopqrst" for y in "abcdefghijklmnopqrst"]
+    index = matching.Index(names, [])
+    assert index.match("bandora ab", False).entity == "ab" and index.match("bandora", False).entity == "UNMATCHED" and index.match("bandora zz", False).entity == "UNMATCHED"
+    listed = matching.Index(NAMES, CODES)
+    r = random.Random(8)
+    for name, _ in NAMES * 10:
+        at = r.randrange(len(name))
+        m = listed.match(name[:at] + r.choice("abcxyz") + name[at + 1 :], False)
+        assert m.entity == "UNMATCHED" or m.score >= matching.THRESHOLD
+
+
+def test_values_are_spread(spark):
+    df = spark.range(1000).selectExpr("concat('tarv', id) as v")
+    tasks = matching.match_values(df, "v", NAMES, CODES).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert tasks > 1
+
+
 def test_edit_distance_by_brute_force():
     def slow(a, b):
         d = {(i, j): i + j for i in range(len(a) + 1) for j in range(len(b) + 1) if not i or not j}
