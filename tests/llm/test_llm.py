@@ -196,7 +196,7 @@ def test_cosines_by_brute_force():
 
 def test_nothing_outside_the_bounds_and_no_candidate_is_dropped():
     # 400 entries alike but for one letter: all of them are compared, so an equally near rival is always seen
-    names = [(f"bandora {x}{y}", f"{x}{y}") for x in "abcdefghijklmnopqrst" for y in "abcdefghijklmnopqrst"]
+    names = [(f"bandora {x}{y}", f"{x}{y}") for x in "abcdghijklmnpqrstuvx" for y in "abcdghijklmnpqrstuvx"]
     index = matching.Index(names, [])
     assert index.match("bandora ab", False).entity == "ab" and index.match("bandora", False).entity == "UNMATCHED" and index.match("bandora zz", False).entity == "UNMATCHED"
     listed = matching.Index(NAMES, CODES)
