@@ -2,25 +2,27 @@
 
 from __future__ import annotations
 
+import math
+import uuid
 from collections.abc import Sequence
 
-from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Most bits of a Bloom filter that is sent to the executors (4 MB). Beyond BITS_PER_KEY times fewer keys the
-#: filter lets more references through to the exact join; at SATURATED keys it would prove nothing and is left out.
-MAX_BITS = 1 << 25
+from quern.session import ensure_checkpoint_dir
+
+#: Most bits of a Bloom filter, which is sent to the executors (16 MB), and bits for each key. More keys than one
+#: filter takes are parted by their hash into blocks, each with a filter of its own.
+MAX_BITS = 1 << 27
 BITS_PER_KEY = 10
-SATURATED = MAX_BITS // 2
 
 REASONS = ("missing", "deleted", "late")
 
 
 def _bloom(keys: DataFrame, n_keys: int) -> bytes:
     """The serialised filter of the column ``h`` of ``keys``, built with partial aggregation."""
-    bits = max(64, min(MAX_BITS, BITS_PER_KEY * n_keys))
-    made = keys._jdf.stat().bloomFilter("h", n_keys, bits)
+    made = keys._jdf.stat().bloomFilter("h", n_keys, max(64, BITS_PER_KEY * n_keys))
     out = keys.sparkSession._jvm.java.io.ByteArrayOutputStream()
     made.writeTo(out)
     return bytes(out.toByteArray())
@@ -68,12 +70,13 @@ def find_orphans(
     key's earliest arrival is after the reference's; unknown times are neither. Repeated referring rows are
     reported one by one; an empty parent table makes every reference 'missing'.
 
-    A Bloom filter of the distinct parent keys, of MAX_BITS at most, is sent along with the tasks: what it
-    rejects is certainly missing and never shuffled. Only references that pass it, narrowed to keys and time,
-    are joined exactly with one row per key; adaptive execution splits a key that holds most of them.
+    A Bloom filter of the parent keys is sent along with the tasks: what it rejects is certainly missing and never
+    shuffled. Only references that pass it, narrowed to keys and time, are joined exactly with one row per key; adaptive
+    execution splits a key that holds most of them. With more keys than a filter takes, references and keys are written
+    to the shared folder by blocks of their hash, without a shuffle, and each block is probed with its own filter, so
+    that driver and executors hold one filter at a time, however many keys there are.
     """
-    spark = refs.sparkSession
-    kinds = dict(refs.dtypes)
+    kinds, parent_kinds = dict(refs.dtypes), dict(parents.dtypes)
     names = [f"__k{i}" for i in range(len(ref_keys))]
     states = parent_states(parents, parent_keys, parent_received, parent_deleted)
     narrow = refs.select(
@@ -83,23 +86,35 @@ def find_orphans(
     typed = [F.col(n).cast(dict(states.dtypes)[n]) for n in names]
     narrow = narrow.select(row_id, *carry, *[t.alias(n) for t, n in zip(typed, names)], "__at")
     n_keys = parents.count()  # at least the number of keys; read from the files' footers
-    reason = F.when(F.col("__born").isNull() & F.col("__known").isNull(), "missing").when(F.col("__gone") <= F.col("__at"), "deleted").when(F.col("__born") > F.col("__at"), "late")
-    joined = lambda left: (
-        left.join(states.withColumn("__known", F.lit(True)), names, "left").withColumn("reason", reason).where(F.col("reason").isNotNull()).select(row_id, *carry, "reason")
-    )
     if n_keys == 0:
         return narrow.select(row_id, *carry, F.lit("missing").alias("reason"))
-    if n_keys > SATURATED:
-        return joined(narrow)
-    parent_kinds = dict(parents.dtypes)
     hashed = parents.select(*[_key(k, parent_kinds[k]).alias(n) for k, n in zip(parent_keys, names)]).dropna().select(F.xxhash64(*names).alias("h"))
-    try:
-        hit = _might_contain(spark, _bloom(hashed, n_keys), F.xxhash64(*[F.col(n) for n in names]))
-    except (AttributeError, TypeError, Py4JError):  # a session without these classes: all references are joined
-        return joined(narrow)
-    probed = narrow.withColumn("__hit", hit)
+    probed = _probed(narrow, hashed, F.xxhash64(*[F.col(n) for n in names]), n_keys)
+    reason = F.when(F.col("__born").isNull() & F.col("__known").isNull(), "missing").when(F.col("__gone") <= F.col("__at"), "deleted").when(F.col("__born") > F.col("__at"), "late")
     absent = probed.where(~F.col("__hit")).select(row_id, *carry, F.lit("missing").alias("reason"))
-    return absent.unionByName(joined(probed.where("__hit").drop("__hit")))
+    met = probed.where("__hit").drop("__hit").join(states.withColumn("__known", F.lit(True)), names, "left").withColumn("reason", reason)
+    return absent.unionByName(met.where(F.col("reason").isNotNull()).select(row_id, *carry, "reason"))
+
+
+def _probed(narrow: DataFrame, keys: DataFrame, hashed: Column, n_keys: int) -> DataFrame:
+    """``narrow`` with ``__hit``: whether the filter of the hashes in ``keys`` lets the row pass."""
+    spark = narrow.sparkSession
+    blocks = math.ceil(BITS_PER_KEY * n_keys / MAX_BITS)
+    if blocks <= 1:
+        hit = F.lit(False) if keys.isEmpty() else _might_contain(spark, _bloom(keys, n_keys), hashed)
+        return narrow.withColumn("__hit", hit)
+    folder = f"{ensure_checkpoint_dir(spark)}/orphans-{uuid.uuid4().hex}"
+    block = lambda h: F.pmod(h, F.lit(blocks)).cast("int")
+    narrow.withColumn("__block", block(hashed)).write.partitionBy("__block").parquet(f"{folder}/refs")
+    keys.withColumn("__block", block(F.col("h"))).write.partitionBy("__block").parquet(f"{folder}/keys")
+    rows = spark.read.schema(T.StructType([*narrow.schema.fields, T.StructField("__block", T.IntegerType())])).parquet(f"{folder}/refs")
+    known = spark.read.schema("h long, __block int").parquet(f"{folder}/keys")
+    for b in range(blocks):
+        mine = known.where(F.col("__block") == b)
+        n = mine.count()
+        hit = _might_contain(spark, _bloom(mine, n), hashed) if n else F.lit(False)
+        rows.where(F.col("__block") == b).drop("__block").withColumn("__hit", hit).write.mode("append").parquet(f"{folder}/probed")
+    return spark.read.parquet(f"{folder}/probed")
 
 
 def orphan_report(orphans: DataFrame, period: str, by: Sequence[str] = ("ref_table", "ref_field")) -> DataFrame:

@@ -1,6 +1,7 @@
 from datetime import datetime as d
 
 import pytest
+from pyspark.sql import functions as F
 
 from quern.operators import orphans
 from quern.operators.orphans import find_orphans, orphan_report
@@ -28,23 +29,34 @@ def test_reasons(tables):
     assert sorted((r.id, r.reason) for r in run(*tables).collect()) == EXPECTED
 
 
-def test_without_a_filter_the_result_is_the_same(tables, monkeypatch):
-    monkeypatch.setattr(orphans, "SATURATED", 0)
+def test_more_keys_than_a_filter_takes(spark, monkeypatch):
+    """A budget of 4,096 bits and 4,000 keys: ten blocks, each probed with its own filter, and none of them let all through."""
+    monkeypatch.setattr(orphans, "MAX_BITS", 4096)
+    made = []
+    bloom = orphans._bloom
+    monkeypatch.setattr(orphans, "_bloom", lambda keys, n: made.append(bloom(keys, n)) or made[-1])
+    parents = spark.range(4000).selectExpr("concat('k', id) as key", "timestamp_ntz'2020-01-01' as received_at", "cast(null as timestamp_ntz) as deleted_at")
+    refs = spark.range(3000, 9000).selectExpr("id", "concat('k', id) as ref", "timestamp_ntz'2021-01-01' as received_at", "2021 as year")
+    assert sorted((r.id, r.reason) for r in run(refs, parents).collect()) == [(i, "missing") for i in range(4000, 9000)]
+    assert len(made) == 10 and max(map(len, made)) < 4096 // 8 * 2
+    narrow = refs.selectExpr("id", "ref as __k0")
+    hashed = parents.selectExpr("xxhash64(key) as h")
+    hit = orphans._probed(narrow, hashed, F.xxhash64("__k0"), 4000).where("__hit").count()
+    assert 1000 <= hit < 1300
+
+
+def test_filters_of_blocks_give_the_same(tables, monkeypatch):
+    monkeypatch.setattr(orphans, "MAX_BITS", 16)
     assert sorted((r.id, r.reason) for r in run(*tables).collect()) == EXPECTED
 
 
-def test_a_full_filter_only_lets_more_through(tables, monkeypatch):
-    monkeypatch.setattr(orphans, "MAX_BITS", 64)
-    monkeypatch.setattr(orphans, "BITS_PER_KEY", 1)
-    assert sorted((r.id, r.reason) for r in run(*tables).collect()) == EXPECTED
-
-
-def test_a_session_without_filters(tables, monkeypatch):
+def test_no_silent_way_round_the_filter(tables, monkeypatch):
     def absent(*_):
         raise TypeError("'JavaPackage' object is not callable")
 
     monkeypatch.setattr(orphans, "_might_contain", absent)
-    assert sorted((r.id, r.reason) for r in run(*tables).collect()) == EXPECTED
+    with pytest.raises(TypeError):
+        run(*tables)
 
 
 def test_empty_tables(tables):
@@ -65,3 +77,8 @@ def test_report(tables):
 
     found = run(*tables).withColumns({"ref_table": F.lit("t"), "ref_field": F.lit("ref")})
     assert {(r.year, r.reason): r.orphans for r in orphan_report(found, "year").collect()} == {(10, "deleted"): 1, (11, "late"): 1, (11, "missing"): 1, (None, "missing"): 2, (12, "late"): 1}
+
+
+def test_parents_without_a_key(tables):
+    refs, parents = tables
+    assert {r.reason for r in run(refs, parents.where("key is null or key = ''")).collect()} == {"missing"}
