@@ -67,7 +67,9 @@ _TIME = re.compile(r"(?:[^\W\d_a-z][^\s.!?]*\s+|(?:and|the|of)\s+|\([^)]*\)\s*){
 _JOINED = re.compile("[-'’]")
 _LAST_WORD = re.compile(r"(?<!\w)[^\W\d_]+\Z")
 _PERIOD = re.compile(r"\.(?:(\s+)(\S?)|[,;:])")
-_NEAR_QUOTE = re.compile(r"([^\W\d_]+)\s*[:：,，]\s*[\"“«「„『](?=\w)|[.!?。！？][\"”」»』]\s?([^\W\d_]+)")
+_NEAR_QUOTE = re.compile(r"[:：,，]\s*[\"“«「„『](?=\w)|[.!?。！？][\"”」»』]\s?(?=\w)")
+#: Periods inside sentences; those before a capital of the commonest alphabet, most of all, are left out.
+_INSIDE = re.compile(r"\.(?:(\s+)([^\sA-Z])|[,;:])")
 _WORD = re.compile(r"[^\W\d_]+")
 _IDEOGRAPH = re.compile(r"[぀-ヿ㐀-鿿]")
 _EDGES = "".join(sorted(set(OPENERS + CLOSERS + ",;:.!?")))
@@ -115,7 +117,7 @@ class Splitter:
         self.text = text
         self.here: set[str] | None = None
         self.known: dict[str, bool] = {}
-        self.vocabulary: set[str] | None = None
+        self.small: dict[str, bool] = {}
         self.cased_document = self.cased = text != text.lower() and text != text.upper()
         self.danda = "।" in text
         self.verjaket = "։" in text
@@ -129,23 +131,18 @@ class Splitter:
         text = self.text
         found: set[str] = set()
         numbers: Counter = Counter()
-        others: Counter = Counter()
-        for m in _PERIOD.finditer(text):
+        for m in _INSIDE.finditer(text):
             after = m.group(2)
-            if after is not None:
-                if after.isupper():
+            if after is None or after.islower() or after.isdigit() and "\n" not in m.group(1):
+                word = _LAST_WORD.search(text, max(0, m.start() - 40), m.start())
+                if word is None:
                     continue
-                kind = None if after.islower() else numbers if after.isdigit() and "\n" not in m.group(1) else others
-            else:
-                kind = None
-            word = _LAST_WORD.search(text, max(0, m.start() - 40), m.start())
-            if word:
-                if kind is None:
+                if after is None or after.islower():
                     found.add(word.group().lower())
                 else:
-                    kind[word.group().lower()] += 1
+                    numbers[word.group().lower()] += 1
         if numbers:
-            open_ = [w for w, n in numbers.items() if n > 1 and w not in others and w not in found and w not in self.folded]
+            open_ = [w for w, n in numbers.items() if n > 1 and w not in found and w not in self.folded]
             lower = _same_length_lower(text) if open_ else ""
             found.update(w for w in open_ if len(re.findall(rf"(?<!\w){re.escape(w)}\.\s", lower)) == numbers[w])
         return found
@@ -164,10 +161,15 @@ class Splitter:
     def _common(self, word: str) -> bool:
         """Whether a capital is only that of a sentence: the word occurs in lower case in the document, or, where it
         has no capital inside a sentence there either, mostly in the corpus."""
-        if self.vocabulary is None:
-            self.vocabulary = {w for w in _WORD.findall(self.text) if w.islower()}
         low = word.lower()
-        if low in self.vocabulary:
+        if (small := self.small.get(low)) is None:
+            text, at, small = self.text, 0, False
+            while not small and (at := text.find(low, at)) >= 0:
+                end = at + len(low)
+                small = low.islower() and not (at and text[at - 1].isalpha()) and not text[end : end + 1].isalpha()
+                at = end
+            self.small[low] = small
+        if small:
             return True
         return low in self.corpus.common and not self._named(word)
 
@@ -257,6 +259,13 @@ class Splitter:
                     active.append(pairs[next_pair])
                     next_pair += 1
                 active = [p for p in active if p[1] >= a]
+            if b - a == 1 and not active and text[a] == "." and b + 1 < high and text[b] == " " and text[b + 1].isupper() and self.cased and not self.verjaket:
+                # the plain case: an ordinary word in lower case, a period, a space and a capital
+                token = text[max(current, text.rfind(" ", current, a) + 1) : a]
+                if len(token) > 1 and token.isalpha() and token.islower() and not self._abbreviation(token):
+                    out.append((current, b))
+                    current = b + 1
+                    continue
             if text[a].isspace():
                 if not active and self._spaced_boundary(a):
                     current = self._emit(current, a, out)
@@ -539,11 +548,16 @@ def word_counts(df: DataFrame, text_column: str) -> DataFrame:
                 inside[token] += 1
             elif not follower or m.group(1).count("\n") > 1:
                 ended[token] += 1
-        for before, after in _NEAR_QUOTE.findall(text):
-            if before:
-                quoted[before[-1] if _unspaced(before[-1]) else before.lower()] += 1
-            elif after.islower() or _uncased(after[0]):
-                quoted[after[-1] if _unspaced(after[-1]) else after.lower()] += 1
+        for m in _NEAR_QUOTE.finditer(text):
+            if m.group()[0] in ":：,，":
+                word = _LAST_WORD.search(text[max(0, m.start() - 40) : m.start()].rstrip())
+            else:
+                word = _WORD.match(text, m.end())
+                if word and not word.group().islower() and not _uncased(word.group()[0]):
+                    continue
+            if word:
+                last = word.group()[-1]
+                quoted[last if _unspaced(last) else word.group().lower()] += 1
         made["total"].update(_WORD.findall(text))
         made["total"].update(_IDEOGRAPH.findall(text))
 
