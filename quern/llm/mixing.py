@@ -3,7 +3,8 @@
 Each document of a source gets an expected number of copies; its whole part is certain, the rest is the inclusion
 probability of a Pareto sample: documents are ranked by their random odds over their inclusion odds, and the
 first ones are taken, as many as the source's tokens call for. The cut in the ranking is found from a histogram of
-the ranks, so no source is ever sorted in one task.
+the ranks, so no source is ever sorted in one task. Behind the cut the ranking goes on with the documents that still
+fit, so the tokens are met although documents are not divided.
 """
 
 from __future__ import annotations
@@ -22,18 +23,23 @@ SIZE_POWER = 0.25
 SEED = 20260925
 #: Sizes up to EXACT tokens have bins of their own; beyond, a bin is 1/STEPS of a factor e wide.
 EXACT, STEPS = 1024, 256
+#: The same for very many sources, so that the plan on the driver stays within MAX_PLAN rows.
+COARSE_EXACT, COARSE_STEPS = 64, 16
+MAX_PLAN = 1_000_000
+#: Larger plans than this are joined by shuffle, not sent to all executors.
+MAX_SENT = 200_000
 #: Bins of the ranking, from 0 to 1 in the odds' share.
 RANKS = 1 << 16
 #: Most rows of the list of targets.
 MAX_TARGETS = 10_000
 
 
-def size_bin(tokens: Column) -> Column:
-    return F.when(tokens <= EXACT, tokens).otherwise(EXACT + 1 + F.floor(STEPS * F.log(tokens / EXACT))).cast("int")
+def size_bin(tokens: Column, exact: int = EXACT, steps: int = STEPS) -> Column:
+    return F.when(tokens <= exact, tokens).otherwise(exact + 1 + F.floor(steps * F.log(tokens / exact))).cast("int")
 
 
-def _size_of(bin_: int) -> float:
-    return float(bin_) if bin_ <= EXACT else EXACT * math.exp((bin_ - EXACT - 0.5) / STEPS)
+def _size_of(bin_: int, exact: int = EXACT, steps: int = STEPS) -> float:
+    return float(bin_) if bin_ <= exact else exact * math.exp((bin_ - exact - 0.5) / steps)
 
 
 @dataclass(frozen=True)
@@ -44,9 +50,9 @@ class Target:
     repeats: int
 
 
-def expected_copies(bins: dict[int, int], repeats: int, tokens: float, power: float = SIZE_POWER) -> dict[int, float]:
+def expected_copies(bins: dict[int, int], repeats: int, tokens: float, power: float = SIZE_POWER, exact: int = EXACT, steps: int = STEPS) -> dict[int, float]:
     """Copies of a document by its size bin, at most ``repeats``, that make up ``tokens``; ``bins`` has the tokens of each bin."""
-    weight = {b: _size_of(b) ** power for b in bins}
+    weight = {b: _size_of(b, exact, steps) ** power for b in bins}
     total = lambda k: sum(n * min(repeats, k * weight[b]) for b, n in bins.items())
     low, high = 0.0, repeats / min(weight.values())
     if total(high) <= tokens:
@@ -91,30 +97,40 @@ def mix_sources(
         raise ValueError("a source is listed twice in a mix")
     spark = sizes.sparkSession
     n = F.col(size_column)
-    documents = sizes.where(F.col(source_column).isNotNull() & (n > 0)).select(F.col(id_column).alias("__id"), F.col(source_column).alias("source"), n.cast("int").alias("n_tokens"), size_bin(n).alias("__bin"))
+    rows = sizes.where(F.col(source_column).isNotNull() & (n > 0)).select(F.col(id_column).alias("__id"), F.col(source_column).alias("source"), n.cast("int").alias("n_tokens"))
     listed = sorted({t.source for t in targets})
-    documents = documents.where(F.col("source").isin(listed)) if listed else documents.limit(0)
+    rows = rows.join(F.broadcast(spark.createDataFrame([(x,) for x in listed], "source string")), "source", "left_semi")
+    times = {x: sum(t.source == x for t in targets) for x in listed}
+    found: list = []
+    for exact, steps in ((EXACT, STEPS), (COARSE_EXACT, COARSE_STEPS)):
+        documents = rows.withColumn("__bin", size_bin(F.col("n_tokens"), exact, steps))
+        # one row more than the bound is asked for, so that no larger table reaches the driver
+        found = documents.groupBy("source", "__bin").agg(F.sum("n_tokens")).limit(MAX_PLAN + 1).collect()
+        if sum(times[r[0]] for r in found) <= MAX_PLAN and len(found) <= MAX_PLAN:
+            break
+    else:
+        raise ValueError(f"the mixes have over {MAX_PLAN} sources and sizes; mix fewer at a time")
     bins: dict[str, dict[int, int]] = {}
-    for source, b, tokens in documents.groupBy("source", "__bin").agg(F.sum("n_tokens")).collect():
+    for source, b, tokens in found:
         bins.setdefault(source, {})[b] = tokens
     available = {s: sum(x.values()) for s, x in bins.items()}
     wanted = budgets(targets, available, total)
     repeats = {(t.mix, t.source): t.repeats for t in targets}
-    rows, rests = [], []
+    planned, rests = [], []
     for (mix, source), tokens in sorted(wanted.items()):
-        copies = expected_copies(bins[source], repeats[mix, source], tokens, power)
+        copies = expected_copies(bins[source], repeats[mix, source], tokens, power, exact, steps)
         certain = 0
         for b, k in copies.items():
             whole = int(k + 1e-9)
             part = max(0.0, k - whole)
             certain += whole * bins[source][b]
-            rows.append((mix, source, b, whole, part if part > 1e-9 else 0.0))
+            planned.append((mix, source, b, whole, part if part > 1e-9 else 0.0))
         rests.append((mix, source, float(tokens - certain)))
-    plan = spark.createDataFrame(rows, "mix_id string, source string, __bin int, __whole int, __part double")
+    plan = spark.createDataFrame(planned, "mix_id string, source string, __bin int, __whole int, __part double")
     rest = spark.createDataFrame(rests, "mix_id string, source string, __rest double")
 
     # the plan has a row for each mix, source and size bin, whatever the number of documents
-    offered = documents.join(F.broadcast(plan), ["source", "__bin"])
+    offered = documents.join(F.broadcast(plan) if len(planned) <= MAX_SENT else plan, ["source", "__bin"])
     random = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "mix_id", "__id"), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
     odds = random / (1 - random) / (F.col("__part") / (1 - F.col("__part")))
     offered = offered.withColumn("__rank", F.when(F.col("__part") > 0, odds / (1 + odds)))
@@ -141,10 +157,12 @@ def mix_sources(
 
 
 def _last_documents(ranked: DataFrame, wanted: dict[tuple[str, str], float]) -> list[tuple]:
-    """Documents that close the gap between the sample and its tokens.
+    """Documents behind the cut that still fit, in the order of their ranks.
 
-    A long document at the cut would leave a gap of its own size. It is closed with the best-ranked documents of
-    fitting sizes, the largest first; the candidates are one for each size bin, whatever the number of documents.
+    The document at the cut would leave a gap of its own size. The ranking goes on from there: each document that fits
+    into the gap is taken; at last one more, or one in place of another, if that brings the tokens nearer. The candidates are the best-ranked one
+    of each size bin, whatever the number of documents, so at most one more document of each size and source than the
+    sample has is taken.
     """
     group = ["mix_id", "source"]
     taken = {(r[0], r[1]): r[2] or 0 for r in ranked.groupBy(*group).agg(F.sum(F.col("n_tokens") * F.col("__more"))).collect()}
@@ -154,16 +172,23 @@ def _last_documents(ranked: DataFrame, wanted: dict[tuple[str, str], float]) ->
         return []
     open_ = ranked.sparkSession.createDataFrame(gaps, "mix_id string, source string, __gap double")
     left = ranked.where((F.col("__more") == 0) & F.col("__rank").isNotNull()).join(F.broadcast(open_), group).where(F.col("n_tokens") <= 2 * F.col("__gap"))
-    found = left.groupBy(*group, "__bin").agg(F.min(F.struct("__rank", "__id", "n_tokens")).alias("x")).collect()
+    # no more groups than the plan has rows
+    found: dict[tuple[str, str], list[tuple]] = {}
+    for r in left.groupBy(*group, "__bin").agg(F.min(F.struct("__rank", "__id", "n_tokens")).alias("x")).collect():
+        found.setdefault((r[0], r[1]), []).append(tuple(r["x"]))
     out = []
     for mix, source, gap in gaps:
-        offers = sorted(((r["x"]["n_tokens"], r["x"]["__id"]) for r in found if r[0] == mix and r[1] == source), key=lambda x: -x[0])
-        for size, document in offers:
+        fit, over = [], []
+        for _, document, size in sorted(found.get((mix, source), ())):
             if size <= gap:
-                out.append((mix, source, document, 1))
+                fit.append((size, document))
                 gap -= size
-        used = {d for m, s, d, _ in out if (m, s) == (mix, source)}
-        over = [(abs(gap - size), document) for size, document in offers if document not in used]
-        if over and min(over, key=lambda x: x[0])[0] < gap:
-            out.append((mix, source, min(over, key=lambda x: x[0])[1], 1))
+            else:
+                over.append((size, document))
+        # one more document, or one in place of another, if that comes nearer
+        ways = [(abs(gap), -1, -1)] + [(abs(gap - size), -1, j) for j, (size, _) in enumerate(over)]
+        ways += [(abs(gap + own - size), i, j) for i, (own, _) in enumerate(fit) for j, (size, _) in enumerate(over)]
+        _, i, j = min(ways)
+        chosen = [d for k, (_, d) in enumerate(fit) if k != i] + ([over[j][1]] if j >= 0 else [])
+        out += [(mix, source, document, 1) for document in chosen]
     return out

@@ -438,6 +438,51 @@ def test_mix(spark):
         mixing.mix_sources(df, targets + targets[:1], id_column="doc_id", source_column="source", size_column="n_tokens")
 
 
+def test_inclusion_over_many_seeds(spark):
+    """100 mixes of one target are 100 independent draws: documents of every size are drawn as often as their share says.
+
+    The documents that fill the gap behind the cut add a few small ones to each draw, whatever the size of the source.
+    """
+    r = random.Random(12)
+    sizes = {i: min(3000, int(r.lognormvariate(5, 1.1)) + 1) for i in range(3000)}
+    df = spark.createDataFrame(list(sizes.items()), "doc_id long, n_tokens int").withColumn("source", F.lit("a"))
+    total, draws = 0.4 * sum(sizes.values()), 100
+    out, _ = mixing.mix_sources(df, [mixing.Target(f"m{i}", "a", 1.0, 1) for i in range(draws)], id_column="doc_id", source_column="source", size_column="n_tokens", total=total)
+    drawn, tokens_of = {}, {}
+    for x in out.collect():
+        drawn[x.doc_id] = drawn.get(x.doc_id, 0) + 1
+        tokens_of[x.mix_id] = tokens_of.get(x.mix_id, 0) + x.n_tokens
+    assert all(abs(t - total) < 0.001 * total for t in tokens_of.values())
+    bins = {}
+    for n in sizes.values():
+        bins[n if n <= mixing.EXACT else mixing.EXACT + 1 + math.floor(mixing.STEPS * math.log(n / mixing.EXACT))] = 0
+    place = lambda n: n if n <= mixing.EXACT else mixing.EXACT + 1 + math.floor(mixing.STEPS * math.log(n / mixing.EXACT))
+    for n in sizes.values():
+        bins[place(n)] += n
+    wanted = mixing.expected_copies(bins, 1, total)
+    order = sorted(sizes, key=lambda i: (sizes[i], i))
+    for at in range(0, 3000, 500):  # documents of like size
+        group = order[at : at + 500]
+        share = sum(drawn.get(i, 0) for i in group) / draws / len(group)
+        assert abs(share - sum(wanted[place(sizes[i])] for i in group) / len(group)) < 0.012
+    worst = max(abs(drawn.get(i, 0) / draws - wanted[place(n)]) for i, n in sizes.items())
+    assert worst < 5 * math.sqrt(0.25 / draws)
+
+
+def test_many_sources_get_a_coarse_plan(spark, monkeypatch):
+    df = spark.range(3000).selectExpr("id as doc_id", "concat('s', id % 20) as source", "cast(1 + id * 7 % 900 as int) as n_tokens")
+    targets = [mixing.Target("m", f"s{i}", 0.05, 1) for i in range(20)]
+    kwargs = {"id_column": "doc_id", "source_column": "source", "size_column": "n_tokens", "total": 400_000.0}
+    monkeypatch.setattr(mixing, "MAX_PLAN", 2500)
+    monkeypatch.setattr(mixing, "MAX_SENT", 10)
+    out, _ = mixing.mix_sources(df, targets, **kwargs)
+    per = {x.source: x.t for x in out.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("t")).collect()}
+    assert len(per) == 20 and all(abs(t - 20_000) < 100 for t in per.values())
+    monkeypatch.setattr(mixing, "MAX_PLAN", 100)
+    with pytest.raises(ValueError):
+        mixing.mix_sources(df, targets, **kwargs)
+
+
 def test_inclusion_follows_the_wanted_copies():
     bins = {100: 50_000, 1000: 50_000, 10: 10_000}
     copies = mixing.expected_copies(bins, 3, 60_000)
