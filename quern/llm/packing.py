@@ -31,6 +31,9 @@ STEP = 0.05
 GAP = 0.01
 NEAR = 0.005
 EXACT = 1e-9
+#: Gap and share of a second solution, which is made where the first one, rounded, takes more containers than best fit.
+FINE_GAP = 0.004
+FINE_NEAR = 0.0005
 #: Rounds after which patterns of the best value come before those near it.
 WIDE = 8
 #: Largest capacity for which the plan is made; it bounds the histogram, the plan and the work on the driver.
@@ -60,10 +63,10 @@ def knapsack(size: np.ndarray, value: np.ndarray, most: np.ndarray, capacity: in
     return best
 
 
-def _through(i: int, size: np.ndarray, value: np.ndarray, best: np.ndarray, have: np.ndarray, wanted: np.ndarray, near: float) -> dict[int, int] | None:
+def _through(i: int, size: np.ndarray, value: np.ndarray, best: np.ndarray, upto: np.ndarray, have: np.ndarray, wanted: np.ndarray, near: float) -> dict[int, int] | None:
     """A pattern with length ``i`` whose value is within ``near`` of the best, of no more items than there are (``have``).
 
-    Of the lengths that keep the value within ``near``, the most wanted is taken each time. None, if there is no such
+    ``upto`` is the number of lengths that fit into each capacity. Of the lengths that keep the value within ``near``, the most wanted is taken each time. None, if there is no such
     pattern on the way taken.
     """
     capacity = len(best) - 1
@@ -72,19 +75,21 @@ def _through(i: int, size: np.ndarray, value: np.ndarray, best: np.ndarray, have
     if slack < 0:
         return None
     pattern = {i: 1}
+    usable = np.where(have >= 1, wanted, -np.inf)
+    usable[i] = -np.inf if have[i] <= 1 else usable[i]
     while True:
-        k = int(np.searchsorted(size, c, "right"))
+        k = int(upto[c])
+        if not k:
+            return pattern if best[c] <= slack else None
         loss = best[c] - best[c - size[:k]] - value[:k]
-        for j, n in pattern.items():
-            if n >= have[j] and j < k:
-                loss[j] = np.inf
-        loss[have[:k] < 1] = np.inf
-        fit = np.flatnonzero(loss <= slack)
-        if not len(fit):
+        fit = np.where(loss <= slack, usable[:k], -np.inf)
+        j = int(fit.argmax())
+        if fit[j] == -np.inf:
             return pattern if best[c] <= slack else None
-        j = int(fit[wanted[fit].argmax()])
         slack -= max(0.0, float(loss[j]))
         pattern[j] = pattern.get(j, 0) + 1
+        if pattern[j] >= have[j]:
+            usable[j] = -np.inf
         c -= int(size[j])
 
 
@@ -99,7 +104,7 @@ class Fractions:
     rounds: int
 
 
-def fractions(size: np.ndarray, counts: np.ndarray, capacity: int, rounds: int) -> Fractions:
+def fractions(size: np.ndarray, counts: np.ndarray, capacity: int, rounds: int, gap: float = GAP, close: float = NEAR) -> Fractions:
     """The configuration program by multiplicative weights, until the gap is closed.
 
     In each round the lengths that wait are served, those with least coverage first, by patterns whose value is near
@@ -107,6 +112,7 @@ def fractions(size: np.ndarray, counts: np.ndarray, capacity: int, rounds: int)
     """
     start = size / capacity
     value, covered = start.copy(), np.zeros(len(size))
+    upto = np.searchsorted(size, np.arange(capacity + 1), "right")
     made: dict[tuple, float] = {}
     total, lower, upper, kept, done = 0.0, 0.0, np.inf, value, 0
     for r in range(1, rounds + 1):
@@ -115,14 +121,14 @@ def fractions(size: np.ndarray, counts: np.ndarray, capacity: int, rounds: int)
         bound = float((counts * value).sum() / best[capacity])
         if bound > lower:
             lower, kept = bound, value
-        near = max(NEAR, 1.5 * (1 - bound / lower)) * best[capacity]
+        near = max(close, 1.5 * (1 - bound / lower)) * best[capacity]
         for i in np.argsort(covered - size * 1e-9, kind="stable"):
             while covered[i] < r - 1e-9:
                 wanted = r + 1 - covered
-                pattern = _through(int(i), size, value, best, counts, wanted, EXACT) if r > WIDE else None
+                pattern = _through(int(i), size, value, best, upto, counts, wanted, EXACT) if r > WIDE else None
                 reach = near
                 while pattern is None:  # few items of each length may leave no pattern near the best
-                    pattern = _through(int(i), size, value, best, counts, wanted, reach)
+                    pattern = _through(int(i), size, value, best, upto, counts, wanted, reach)
                     reach *= 2
                 index, uses = np.array(list(pattern)), np.array(list(pattern.values()), dtype=np.float64)
                 # as often as the least of its lengths allows, but so that this one or half of a round is done
@@ -133,7 +139,7 @@ def fractions(size: np.ndarray, counts: np.ndarray, capacity: int, rounds: int)
                 total += times
         if covered.min() > 0:
             upper = min(upper, total / float(covered.min()))
-        if upper <= max(lower * (1 + GAP), np.ceil(lower - 1e-9)):
+        if upper <= max(lower * (1 + gap), np.ceil(lower - 1e-9)):
             break
         value = start * np.exp(-STEP / np.sqrt(r) * (covered - r))
     scale = 1 / float(covered.min()) if len(covered) and covered.min() > 0 else 1 / max(1, done)
@@ -161,23 +167,31 @@ def solved(histogram: dict[int, int], capacity: int, rounds: int | None = None)
     counts = np.array([histogram[int(x)] for x in size], dtype=np.float64)
     if not len(size):
         return Solved([], 0, 0, 0.0, 0)
-    found = fractions(size, counts, capacity, max(ROUNDS, ROUNDS_PER_LENGTH * len(size)) if rounds is None else rounds)
+    most = max(ROUNDS, ROUNDS_PER_LENGTH * len(size)) if rounds is None else rounds
+    found = fractions(size, counts, capacity, most)
     bounds = [int(-(-int((counts * size).sum()) // capacity)), int(np.ceil(found.lower - 1e-6))]
     for dual in ((2 * size > capacity).astype(float), 1.0 / (capacity // size)):
         worth = float(knapsack(size, dual, counts, capacity)[capacity])
         bounds.append(int(np.ceil(float((counts * dual).sum()) / worth - 1e-6)) if worth > 0 else 0)
-    # the fractions are rounded in three ways: to the nearest with what is left priced again, down, and all to nothing,
-    # which is best fit alone; the fewest containers are taken, and of equals the way that places most by patterns
-    made: list[tuple[int, list[Group], int]] = []
-    for nearest, down in ((True, True), (False, True), (False, False)):
-        groups, left = _rounded(found, size, histogram, capacity, nearest) if down else ([], np.array([histogram[int(x)] for x in size]))
-        tokens = sum(g.copies * (capacity - g.room) for g in groups)
-        groups = _best_fit(groups, Counter({int(x): int(n) for x, n in zip(size, left) if n}), capacity)
-        made.append((sum(g.copies for g in groups), groups, tokens))
-        if made[-1][0] <= max(bounds):
+    # the fractions are rounded to the nearest, with what is left priced again, or down; if best fit alone takes fewer
+    # containers, they are made finer, and if that does not help, best fit it is: no plan is worse
+    plain = _best_fit([], Counter(histogram), capacity)
+    fewest = sum(g.copies for g in plain)
+    made: list[tuple[int, list[Group], int, Fractions]] = []
+    for fine in (False, True):
+        solution = fractions(size, counts, capacity, most, FINE_GAP, FINE_NEAR) if fine else found
+        for nearest in (True, False):
+            groups, left = _rounded(solution, size, histogram, capacity, nearest)
+            tokens = sum(g.copies * (capacity - g.room) for g in groups)
+            groups = _best_fit(groups, Counter({int(x): int(n) for x, n in zip(size, left) if n}), capacity)
+            made.append((sum(g.copies for g in groups), groups, tokens, solution))
+            if made[-1][0] <= fewest:
+                break
+        if made[-1][0] <= fewest:
             break
-    _, groups, tokens = min(made, key=lambda x: x[0])
-    return Solved(groups, max(bounds), tokens, found.upper / found.lower - 1 if found.lower else np.inf, found.rounds)
+    made.append((fewest, plain, 0, found))
+    _, groups, tokens, solution = min(made, key=lambda x: x[0])
+    return Solved(groups, max(bounds), tokens, solution.upper / solution.lower - 1 if solution.lower else np.inf, solution.rounds)
 
 
 def _rounded(found: Fractions, size: np.ndarray, histogram: dict[int, int], capacity: int, nearest: bool) -> tuple[list[Group], np.ndarray]:
@@ -210,11 +224,12 @@ def _rounded(found: Fractions, size: np.ndarray, histogram: dict[int, int], capa
         open_ = np.flatnonzero(left)
         mine, worth = size[open_], found.value[open_]
         best = knapsack(mine, worth, left[open_], capacity)
+        upto = np.searchsorted(mine, np.arange(capacity + 1), "right")
         again = False
         for i in range(len(open_) - 1, -1, -1):
             while left[open_[i]] > 0:
                 have = left[open_]
-                pattern = _through(i, mine, worth, best, have, have / counts[open_], near * best[capacity])
+                pattern = _through(i, mine, worth, best, upto, have, have / counts[open_], near * best[capacity])
                 if pattern is None:
                     break
                 again = True
