@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import functions as F
-
 from quern import pipeline
 from quern.operators import quality
 from quern.session import local_session
@@ -54,21 +52,12 @@ def main(argv: list[str] | None = None) -> None:
     panel = spark.read.parquet(f"{out}/panel")
     if a.command == "score":
         with scoring.single_writer(f"{out}/scores.lock"):
-            try:
-                cache = spark.read.parquet(f"{out}/scores")
-                if scoring.stale(panel, cache, KEYS, "speech_clean").limit(1).count():
-                    raise quality.ContractError("a cached text has changed")
-                todo = scoring.pending(panel, cache, KEYS, "speech_clean")
-            except Exception as e:
-                if isinstance(e, quality.ContractError) or "PATH_NOT_FOUND" not in str(e):
-                    raise
-                todo = panel
+            spec = canonical_hash(SPEC)
+            todo = scoring.to_score(panel, scoring.open_cache(spark, f"{out}/scores", spec), KEYS, "speech_clean")
             if a.limit:
                 todo = todo.orderBy("year", "entity_id").limit(a.limit)
-            chunks = scoring.score_chunks(todo, KEYS, "speech_clean")
-            scores = scoring.weighted_scores(chunks, KEYS, ["trust", "threat"]).withColumnsRenamed({"trust": "trust_score", "threat": "threat_score"})
-            hashes = todo.select(*KEYS, F.sha2("speech_clean", 256).alias("text_hash"))
-            scores.join(hashes, KEYS).withColumn("spec_hash", F.lit(canonical_hash(SPEC))).write.mode("append").parquet(f"{out}/scores")
+            made = scoring.scored(todo, KEYS, "speech_clean", spec).withColumnsRenamed({"trust": "trust_score", "threat": "threat_score"})
+            made.write.mode("append").parquet(f"{out}/scores")
         return
     scores = spark.read.parquet(f"{out}/scores").select(*KEYS, "trust_score", "threat_score")
     scored = panel.join(scores, KEYS, "left")

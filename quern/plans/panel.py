@@ -328,7 +328,7 @@ def resume_pending(spark: SparkSession, folder: str) -> DataFrame:
 
     keys = ["entity_id", "year", "speech_no"]
     inputs = table(spark, folder, "speeches").where("deleted_at is null and speech_clean is not null").select(*keys).distinct()
-    return pending(inputs, table(spark, folder, "scores").withColumn("entity_id", F.trim("entity_id")), keys, "")
+    return pending(inputs, table(spark, folder, "scores").withColumn("entity_id", F.trim("entity_id")), keys)
 
 
 @query(f"""SELECT score_id, round(sum(trust * tokens) / sum(tokens), 9) AS trust, round(sum(threat * tokens) / sum(tokens), 9) AS threat, count(*) AS chunk_count, min(tokens) AS chunk_tokens_min,

@@ -1,7 +1,10 @@
 import sqlite3
 import zipfile
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quern.operators.relational import ContractError
@@ -71,15 +74,67 @@ def test_paths(tmp_path):
         p.validate()
 
 
+def slow_chunks(text, spans, budget):
+    """By the rule, one token after another."""
+    out, at = [], 0
+    while at < len(spans):
+        to = min(at + budget, len(spans))
+        if to < len(spans):
+            good = [k for k in range(at + max(1, budget // 2), to + 1) if ends_sentence(text, spans[k - 1][1])]
+            to = good[-1] if good else to
+        out.append([at, to, spans[at][0], spans[to - 1][1]])
+        at = to
+    return out
+
+
+def ends_sentence(text, at):
+    body = text[:at]
+    return (at == len(text) or text[at].isspace()) and (body[-1] in ".!?" or body[-1] in "\"”’'" and body[-2:-1] in (".", "!", "?"))
+
+
 def test_chunks_part_the_tokens():
     text = " ".join(f"word{i}." if i % 7 == 6 else f"word{i}" for i in range(500))
     spans = scoring.token_spans(text)
-    chunks = scoring.chunks_of(text, spans, 40)
+    chunks = scoring.chunks_of(text, spans, 40).tolist()
     assert chunks[0][0] == 0 and chunks[-1][1] == len(spans) and all(a[1] == b[0] for a, b in zip(chunks, chunks[1:]))
     assert all(text[c[2] : c[3]].endswith(".") for c in chunks[:-1]) and max(c[1] - c[0] for c in chunks) <= 40
-    assert scoring.chunks_of("", []) == []
+    assert scoring.chunks_of("", []).tolist() == []
     with pytest.raises(ValueError):
-        scoring.chunks_of("a", [(0, 1)], 1)
+        scoring.chunks_of("a", [(0, 1)], 0)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("ab.!?\"’ \n\u00a0é中", max_size=80), st.integers(1, 12))
+def test_chunks_by_brute_force(text, budget):
+    spans = scoring.token_spans(text)
+    assert scoring.chunks_of(text, spans, budget).tolist() == slow_chunks(text, spans, budget)
+
+
+def test_pairs_are_bounded():
+    assert scoring.pair_of("a b.", "c") == scoring.Pair("[CLS] a b. [SEP] c [SEP]", 7)
+    with pytest.raises(ContractError):
+        scoring.pair_of("a " * 600, "c")
+    assert scoring.pair_of("a " * 600, "c", cut=True).tokens == scoring.PAIR_BUDGET
+    assert abs(scoring.entailment(np.array([[1.0, 1.0], [800.0, 0.0]])) - [0.5, 1.0]).max() < 1e-12
+
+
+def test_batches_and_whole_texts(spark):
+    df = spark.createDataFrame([(1, "One two. " * 400), (2, "Three."), (3, None), (4, "")], "id long, t string").coalesce(1)
+    rows = scoring.score_chunks(df, ["id"], "t").collect()
+    again = scoring.score_chunks(df, ["id"], "t", batch=1).collect()
+    assert rows == again and {r.id for r in rows} == {1, 2} and sum(r.tokens for r in rows) == 1200 + 2
+    one = scoring.score_chunks(df, ["id"], "t", whole=True).collect()
+    assert [(r.id, r.chunk_no, r.end_token) for r in one] == [(1, 0, 1200), (2, 0, 2)] and one[0].tokens < 512 < one[0].end_token
+
+    def counting():  # pairs come in batches, not one by one
+        inner = scoring.stand_in()
+
+        def score(pairs):
+            return np.full((len(pairs), 2), 0.0) + len(pairs) * (np.arange(2) == 0) if len(pairs) > 2 else inner(pairs)
+
+        return score
+
+    assert max(r.trust for r in scoring.score_chunks(df, ["id"], "t", load=counting).collect()) > 0.99
 
 
 def test_stream_resumes(spark, tmp_path):
@@ -96,10 +151,25 @@ def test_stream_resumes(spark, tmp_path):
     assert scoring.stale(changed, cache, ["entity_id", "year"], "speech_clean").count() == 1
 
 
+def test_a_cache_that_cannot_be_read_is_not_empty(spark, tmp_path):
+    schema, cache = "entity_id string, year int, speech_clean string", tmp_path / "cache"
+    spark.createDataFrame([("A", 1, "Hello.")], schema).write.parquet(str(tmp_path / "in"))
+    run = lambda spec, cp: scoring.score_stream(spark, str(tmp_path / "in"), schema, str(cache), str(tmp_path / cp), keys=["entity_id", "year"], text="speech_clean", spec_hash=spec).awaitTermination()
+    run("s", "c1")
+    before = sorted(p.name for p in cache.glob("*.parquet"))
+    with pytest.raises(Exception, match="specification"):
+        run("other", "c2")
+    broken = cache / "part-broken.parquet"
+    broken.write_bytes(b"no parquet at all")
+    with pytest.raises(Exception):
+        run("s", "c3")
+    assert sorted(p.name for p in cache.glob("*.parquet")) == sorted([*before, broken.name])
+
+
 def test_weighted_scores_refuse_bad_chunks(spark):
     ok = spark.createDataFrame([(1, 2, 0.5), (1, 6, 0.9)], "k int, tokens int, trust double")
     r = scoring.weighted_scores(ok, ["k"], ["trust"]).head()
     assert abs(r.trust - 0.8) < 1e-12 and (r.chunk_count, r.chunk_tokens_median) == (2, 4.0)
     for bad in ((1, 0, 0.5), (1, 1, 1.5), (1, 1, None)):
-        with pytest.raises(ContractError):
-            scoring.weighted_scores(spark.createDataFrame([bad], "k int, tokens int, trust double"), ["k"], ["trust"])
+        with pytest.raises(Exception, match="not positive"):
+            scoring.weighted_scores(spark.createDataFrame([bad], "k int, tokens int, trust double"), ["k"], ["trust"]).collect()
