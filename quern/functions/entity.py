@@ -7,6 +7,13 @@ from pyspark.sql import functions as F
 
 # Former states, and names that go before those of a country list.
 HISTORICAL = ("CSK", "DDR", "YUG", "YMD", "SUN", "BYSSR", "UASSR")
+#: Statuses by type of rule and code. A star stands for any code, a question mark for any other type, a
+#: dash for entities without a rule.
+STATUSES = {
+    "observer_state PSE": "sensitivity_observer", "- PSE": "sensitivity_observer", "observer_state *": "excluded_observer_no_sipri", "- VAT": "excluded_observer_no_sipri",
+    "non_state_aggregate *": "excluded_non_state", "- EU": "excluded_non_state", "? *": "excluded_historical", **{f"- {code}": "excluded_historical" for code in HISTORICAL},
+}
+LISTED, UNLISTED = "main_un_member", "unresolved_iso"
 DISPLAY_NAMES = {
     "BOL": "Bolivia", "BRN": "Brunei", "COD": "Congo, Democratic Republic of the", "COG": "Congo, Republic of the", "CZE": "Czechia", "GBR": "United Kingdom", "IRN": "Iran", "KOR": "Korea, South",
     "LAO": "Laos", "MDA": "Moldova", "PRK": "Korea, North", "RUS": "Russia", "SYR": "Syria", "TZA": "Tanzania", "USA": "United States", "VEN": "Venezuela", "VNM": "Vietnam",
@@ -15,19 +22,15 @@ DISPLAY_NAMES = {
 
 
 def entity_status(entity: Column, rule_type: Column, listed: Column) -> Column:
-    """Status of an entity: by the type of the rule that applies to it, else by its code, else by the country list."""
-    by_rule = (
-        F.when((rule_type == "observer_state") & (entity == "PSE"), "sensitivity_observer")
-        .when(rule_type == "observer_state", "excluded_observer_no_sipri")
-        .when(rule_type == "non_state_aggregate", "excluded_non_state")
-        .when(rule_type.isNotNull(), "excluded_historical")
-    )
-    by_code = F.when(entity == "EU", "excluded_non_state").when(entity == "VAT", "excluded_observer_no_sipri").when(entity == "PSE", "sensitivity_observer").when(entity.isin(*HISTORICAL), "excluded_historical")
-    return F.coalesce(by_rule, by_code, F.when(listed, "main_un_member").otherwise("unresolved_iso"))
+    """Status of an entity, looked up in STATUSES: the nearest key there is, else by the country list."""
+    table = F.create_map(*[F.lit(x) for pair in STATUSES.items() for x in pair])
+    kind = F.coalesce(rule_type, F.lit("-"))
+    keys = [F.concat(kind, F.lit(" "), F.coalesce(entity, F.lit(""))), F.concat(kind, F.lit(" *")), F.when(rule_type.isNotNull(), "? *")]
+    return F.coalesce(*[F.try_element_at(table, k) for k in keys], F.when(listed, LISTED).otherwise(UNLISTED))
 
 
 def main_population(status: Column) -> Column:
-    return status == "main_un_member"
+    return status == LISTED
 
 
 def display_name(df: DataFrame, entity: str, names: DataFrame, name: str = "country_name", overrides: dict[str, str] = DISPLAY_NAMES) -> DataFrame:

@@ -127,6 +127,12 @@ def per_thousand(count: Column, tokens: Column) -> Column:
     return F.when(tokens > 0, F.lit(1000.0) * count / tokens)
 
 
+def repaired(c: Column, repairs: dict[str, str]) -> Column:
+    """Trimmed text, with cells known to be corrupted replaced by what they stood for; null stays null."""
+    own = F.create_map(*[F.lit(x) for kv in repairs.items() for x in kv])
+    return F.coalesce(F.try_element_at(own, F.trim(c)), F.trim(c)) if repairs else F.trim(c)
+
+
 def post_group(c: Column) -> Column:
     """The first group whose words occur in the post; 'unknown' for null or blank, else 'other'."""
     name = normalise_name(c)

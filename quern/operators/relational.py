@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -43,13 +43,28 @@ def domain_difference(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
 def valid_in(rows: DataFrame, rules: DataFrame, *, name: str, year: str, rule_name: str, row_id: str) -> DataFrame:
     """Time-valid lookup: rules with the row's name whose [valid_from, valid_to] holds its year.
 
-    Adds n_matches and the least and greatest entity_id found; rows without a rule keep nulls and count 0.
-    The equality on the name carries the join; the years are checked on the way.
+    Gives n_matches and the least and greatest entity_id found; rows without a rule keep nulls and count 0. Rules of one
+    name and range are counted before they meet the rows, so a name that many rules have doesn't multiply them. The
+    equality on the name carries the join; the years are checked on the way.
     """
-    r = rules.select(F.col(rule_name).alias("__name"), "valid_from", "valid_to", F.col("entity_id").alias("__entity"))
+    r = rules.groupBy(F.col(rule_name).alias("__name"), "valid_from", "valid_to").agg(F.count(F.lit(1)).alias("__n"), F.min("entity_id").alias("__low"), F.max("entity_id").alias("__high"))
     met = rows.join(r, (rows[name] == r["__name"]) & rows[year].between(r["valid_from"], r["valid_to"]), "left")
-    found = met.groupBy(row_id).agg(F.count("__name").alias("n_matches"), F.min("__entity").alias("least_entity"), F.max("__entity").alias("greatest_entity"))
-    return found
+    return met.groupBy(row_id).agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("n_matches"), F.min("__low").alias("least_entity"), F.max("__high").alias("greatest_entity"))
+
+
+def with_ordinal(df: DataFrame, column: str, levels: Sequence[str], name: str = "ordinal") -> DataFrame:
+    """Adds the place of a value in a given list of levels, from 0; values outside the list have none and sort last."""
+    at = F.array_position(F.array(*[F.lit(v) for v in levels]).cast("array<string>"), F.col(column).cast("string")) - 1
+    return df.withColumn(name, F.when(at >= 0, at.cast("int")))
+
+
+def first_appearance(df: DataFrame, column: str, order: str) -> DataFrame:
+    """The distinct values of a column with their places (from 0) by the least ``order`` of each; nulls are no value.
+
+    The values are levels of a category, a short list, which is ranked in one task after aggregation.
+    """
+    first = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.min(order).alias("__first"))
+    return first.select(column, (F.row_number().over(Window.orderBy("__first", column)) - 1).alias("ordinal"))
 
 
 def at_lag(rows: DataFrame, source: DataFrame, key: str, year: str, lag: int, columns: dict[str, str]) -> DataFrame:

@@ -145,4 +145,4 @@ def register(spark: SparkSession) -> None:
 
 def read_csv(spark: SparkSession, path: str, schema: str):
     """A CSV file with a header and the given schema; a cell that doesn't fit raises."""
-    return spark.read.csv(path, header=True, schema=schema, mode="FAILFAST", enforceSchema=False)
+    return spark.read.csv(path, header=True, schema=schema, mode="FAILFAST", enforceSchema=False, escape='"', multiLine=True)

@@ -42,6 +42,10 @@ class Paths:
             raise FileNotFoundError("missing: " + ", ".join(missing))
 
 
+#: Cells come back as they were: quotes doubled, line breaks and blanks kept; null is empty, an empty text is quoted.
+CSV = {"header": "true", "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
+
 def write_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
@@ -50,7 +54,7 @@ def write_result(df: DataFrame, path: str, digits: int | None = None) -> None:
     """A small result table as one CSV file, doubles rounded at the sink alone."""
     if digits is not None:
         df = df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
-    df.coalesce(1).write.mode("overwrite").option("header", "true").csv(path)
+    df.coalesce(1).write.mode("overwrite").options(**CSV).csv(path)
 
 
 def canonical_hash(value: object) -> str:
