@@ -8,7 +8,8 @@ import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -143,6 +144,11 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(XlsxSource)
 
 
-def read_csv(spark: SparkSession, path: str, schema: str):
-    """A CSV file with a header and the given schema; a cell that doesn't fit raises."""
-    return spark.read.csv(path, header=True, schema=schema, mode="FAILFAST", enforceSchema=False, escape='"', multiLine=True)
+#: What the reader gives for a quoted empty cell, which it would not tell from a missing one.
+_EMPTY = "\x01"
+
+
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A CSV file with a header and the given schema; a cell that doesn't fit raises. Quoted empty cells are empty texts, others null."""
+    rows = spark.read.csv(path, header=True, schema=schema, mode="FAILFAST", enforceSchema=False, escape='"', multiLine=True, emptyValue=_EMPTY)
+    return rows.select(*[F.when(F.col(f"`{c}`") == _EMPTY, "").otherwise(F.col(f"`{c}`")).alias(c) if t == "string" else F.col(f"`{c}`") for c, t in rows.dtypes])
