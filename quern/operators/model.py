@@ -34,6 +34,18 @@ def scaled(df: DataFrame, scale: dict[str, tuple[float, float]]) -> DataFrame:
     return df.withColumns({f: (F.col(f) - m) / s for f, (m, s) in scale.items()})
 
 
+#: Most levels of a category.
+MAX_LEVELS = 10_000
+
+
+def levels_of(train: DataFrame, column: str) -> list[str]:
+    """The levels of a category in the training rows, sorted; null is none. A column with more than MAX_LEVELS is no category."""
+    found = train.select(column).where(F.col(column).isNotNull()).distinct().limit(MAX_LEVELS + 1).collect()
+    if len(found) > MAX_LEVELS:
+        raise ValueError(f"{column} has over {MAX_LEVELS} levels")
+    return sorted(r[0] for r in found)
+
+
 def one_hot(df: DataFrame, column: str, levels: Sequence[str]) -> tuple[DataFrame, list[str]]:
     """One 0/1 column per level of the training rows; unknown and missing levels are 0 everywhere."""
     names = [f"{column}_{i}" for i, _ in enumerate(levels)]
@@ -66,7 +78,7 @@ def fit_logit(train: DataFrame, features: Sequence[str], target: str, category:
     from pyspark.ml.classification import LogisticRegression
 
     scale = scaling(train, features)
-    levels = sorted(r[0] for r in train.select(category).where(F.col(category).isNotNull()).distinct().collect()) if category else []
+    levels = levels_of(train, category) if category else []
     rows = scaled(train, scale)
     rows, hot = one_hot(rows, category, levels) if category else (rows, [])
     n = train.count()
@@ -104,8 +116,8 @@ def expanding_predictions(df: DataFrame, folds: Sequence[Fold], ladder: dict[str
     return out, models
 
 
-def metrics(predictions: DataFrame, keys: Sequence[str], score: str = "score", target: str = "target") -> DataFrame:
-    """n_rows, positives, average precision, ROC AUC and Brier score per group.
+def metrics(predictions: DataFrame, keys: Sequence[str], score: str = "score", target: str = "target", entity: str | None = None) -> DataFrame:
+    """n_rows, positives, average precision, ROC AUC and Brier score per group, and n_entities if ``entity`` is named.
 
     Ties are one threshold: precision and recall are taken after all rows of a score. Groups without positives
     have no average precision; groups of one class have no AUC. Null scores are left out.
@@ -119,22 +131,28 @@ def metrics(predictions: DataFrame, keys: Sequence[str], score: str = "score", t
     precision = F.sum(F.col("positives") * hits / at_or_above) / F.max("total_positives")
     n, p = F.max("total"), F.max("total_positives")
     wins = F.sum(F.col("positives") * (negatives_below + (F.col("count") - F.col("positives")) / 2))
-    return c.groupBy(*keys).agg(
+    out = c.groupBy(*keys).agg(
         n.alias("n_rows"), p.cast("long").alias("positives"), F.when(p > 0, precision).alias("average_precision"), F.when((p > 0) & (p < n), wins / (p * (n - p))).alias("roc_auc"), (F.max("total_squares") / n).alias("brier")
     )
+    if entity is None:
+        return out
+    return out.join(rows.where(F.col(score).isNotNull()).groupBy(*keys).agg(F.countDistinct(entity).alias("n_entities")), list(keys))
 
 
-def paired_bootstrap(predictions: DataFrame, weights: DataFrame, models: tuple[str, str], entity: str = "entity_id") -> DataFrame:
+def paired_bootstrap(predictions: DataFrame, weights: DataFrame, models: tuple[str, str], entity: str = "entity_id", keys: Sequence[str] = ()) -> DataFrame:
     """Interval of the gain in average precision and Brier score of one model over another, entities drawn anew.
 
-    Replicates without a positive are skipped. The predictions are those of two models on the same rows, and small.
+    ``keys`` (strata) are treated apart and share the draws. Replicates without a positive are skipped. Rows are reduced
+    to counts and sums per entity, model and score before the draws multiply them.
     """
-    rows = predictions.where(F.col("model").isin(*models)).join(weights, entity)
-    flat = rows.groupBy("replicate", "model", "score").agg(F.sum("weight").alias("n"), F.sum(F.col("weight") * F.col("target")).alias("p"), F.sum(F.col("weight") * (F.col("score") - F.col("target")) * (F.col("score") - F.col("target"))).alias("s"))
-    down = Window.partitionBy("replicate", "model").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    error = F.col("score") - F.col("target")
+    sums = predictions.where(F.col("model").isin(*models)).groupBy(*keys, entity, "model", "score").agg(F.count(F.lit(1)).alias("n"), F.sum("target").alias("p"), F.sum(error * error).alias("s"))
+    drawn = sums.join(weights, entity).groupBy(*keys, "replicate", "model", "score")
+    flat = drawn.agg(*[F.sum(F.col("weight") * F.col(c)).alias(c) for c in ("n", "p", "s")])
+    down = Window.partitionBy(*keys, "replicate", "model").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
     run = flat.select("*", F.sum("n").over(down).alias("cn"), F.sum("p").over(down).alias("cp"))
-    each = run.groupBy("replicate", "model").agg((F.sum(F.col("p") * F.col("cp") / F.col("cn")) / F.nullif(F.sum("p"), F.lit(0))).alias("ap"), (F.sum("s") / F.sum("n")).alias("brier"))
-    gain = each.groupBy("replicate").agg(*[(F.max(F.when(F.col("model") == models[1], F.col(m))) - F.max(F.when(F.col("model") == models[0], F.col(m)))).alias(m) for m in ("ap", "brier")])
-    long = gain.where("ap is not null").select("replicate", F.expr("stack(2, 'average_precision', ap, 'brier', brier) as (metric, gain)"))
-    out = long.groupBy("metric").agg(F.count(F.lit(1)).alias("replicates_valid"), F.avg("gain").alias("mean_gain"), F.percentile("gain", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
-    return out.select("metric", "replicates_valid", "mean_gain", F.col("q")[0].alias("ci_low"), F.col("q")[1].alias("ci_high"))
+    each = run.groupBy(*keys, "replicate", "model").agg((F.sum(F.col("p") * F.col("cp") / F.col("cn")) / F.nullif(F.sum("p"), F.lit(0))).alias("ap"), (F.sum("s") / F.sum("n")).alias("brier"))
+    gain = each.groupBy(*keys, "replicate").agg(*[(F.max(F.when(F.col("model") == models[1], F.col(m))) - F.max(F.when(F.col("model") == models[0], F.col(m)))).alias(m) for m in ("ap", "brier")])
+    long = gain.where("ap is not null").select(*keys, "replicate", F.expr("stack(2, 'average_precision', ap, 'brier', brier) as (metric, gain)"))
+    out = long.groupBy(*keys, "metric").agg(F.count(F.lit(1)).alias("replicates_valid"), F.avg("gain").alias("mean_gain"), F.percentile("gain", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
+    return out.select(*keys, "metric", "replicates_valid", "mean_gain", F.col("q")[0].alias("ci_low"), F.col("q")[1].alias("ci_high"))

@@ -23,6 +23,15 @@ def feature_summaries(df: DataFrame, keys: Sequence[str], features: Sequence[str
     return moments.join(quartiles, [*keys, "feature"]).withColumn("iqr", F.col("q75") - F.col("q25"))
 
 
+def wide_quantiles(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """Quartiles of several columns per group as <column>_q25 and so on; the columns are put under one another first, so that
+    the table is read and counted once for all of them."""
+    long = df.select(*keys, F.expr(f"stack({len(values)}, {', '.join(f'{chr(39)}{v}{chr(39)}, cast({v} as double)' for v in values)}) as (feature, value)"))
+    found = exact_quantiles(long, [*keys, "feature"], "value", QUARTILES)
+    each = [F.max(F.when(F.col("feature") == v, F.col(n))).alias(f"{v}_{n}") for v in values for n in QUARTILES]
+    return found.groupBy(*keys).agg(*each)
+
+
 def box_stats(df: DataFrame, keys: Sequence[str], value: str, reach: float = 1.5) -> DataFrame:
     """Quartiles and the whiskers: the extreme values within ``reach`` interquartile ranges of the box."""
     q = exact_quantiles(df, keys, value, QUARTILES)
@@ -141,22 +150,24 @@ def multinomial_weights(spark, entities: Sequence[str], entity: str, replicates:
     return spark.createDataFrame(rows, f"replicate long, {entity} string, weight long")
 
 
-def cluster_bootstrap(df: DataFrame, weights: DataFrame, *, entity: str, group: str, reference: str, contrast: str, features: Sequence[str], replicates: int) -> DataFrame:
+def cluster_bootstrap(df: DataFrame, weights: DataFrame, *, entity: str, group: str, contrasts: Sequence[tuple[str, str]], features: Sequence[str], replicates: int, keys: Sequence[str] = ()) -> DataFrame:
     """Difference of means of two groups per feature, with a cluster-bootstrap interval and its status.
 
-    Rows are reduced to sums and counts per entity, group and feature first; the draws meet only those. The same
-    draws serve all features. The ladder of statuses: too few rows or entities, too few valid replicates, sparse,
+    ``contrasts`` are pairs of reference and contrast; ``keys`` (samples) are treated apart. Rows are reduced to sums and
+    counts per entity, group and feature first; the draws meet only those, once for all contrasts, features and keys,
+    which therefore share them. The ladder of statuses: too few rows or entities, too few valid replicates, sparse,
     imbalanced, ok; the interval is given from 'sparse' on.
     """
-    long = df.where(F.col(group).isin(reference, contrast)).select(
-        entity, (F.col(group) == contrast).cast("int").alias("side"), F.expr(f"stack({len(features)}, {', '.join(f'{chr(39)}{f}{chr(39)}, cast({f} as double)' for f in features)}) as (feature, value)")
-    )
-    cells = long.where("value is not null and not isnan(value)").groupBy("feature", entity, "side").agg(F.sum("value").alias("s"), F.count(F.lit(1)).alias("n"))
+    long = df.select(*keys, entity, F.col(group).alias("__g"), F.expr(f"stack({len(features)}, {', '.join(f'{chr(39)}{f}{chr(39)}, cast({f} as double)' for f in features)}) as (feature, value)"))
+    sums = long.where("value is not null and not isnan(value)").groupBy(*keys, "feature", entity, "__g").agg(F.sum("value").alias("s"), F.count(F.lit(1)).alias("n"))
+    sides = F.array(*[F.struct(F.lit(r).alias("reference"), F.lit(c).alias("contrast"), F.lit(g).alias("own"), F.lit(i).alias("side")) for r, c in contrasts for i, g in enumerate((r, c))])
+    cells = sums.withColumn("__c", F.explode(F.filter(sides, lambda x: x["own"] == F.col("__g")))).select(*keys, "__c.reference", "__c.contrast", "feature", entity, "__c.side", "s", "n")
+    by = [*keys, "reference", "contrast", "feature"]
     one = lambda side, c: F.sum(F.when(F.col("side") == side, c))
-    drawn = cells.join(weights, entity).groupBy("feature", "replicate").agg(*[one(g, F.col("weight") * F.col(x)).alias(f"{x}{g}") for g in (0, 1) for x in ("s", "n")])
-    differences = drawn.where("n0 > 0 and n1 > 0").select("feature", (F.col("s1") / F.col("n1") - F.col("s0") / F.col("n0")).alias("d"))
-    interval = differences.groupBy("feature").agg(F.percentile("d", F.array(F.lit(0.025), F.lit(0.975))).alias("q"), F.count(F.lit(1)).alias("valid"))
-    observed = cells.groupBy("feature").agg(
+    drawn = cells.join(weights, entity).groupBy(*by, "replicate").agg(*[one(g, F.col("weight") * F.col(x)).alias(f"{x}{g}") for g in (0, 1) for x in ("s", "n")])
+    differences = drawn.where("n0 > 0 and n1 > 0").select(*by, (F.col("s1") / F.col("n1") - F.col("s0") / F.col("n0")).alias("d"))
+    interval = differences.groupBy(*by).agg(F.percentile("d", F.array(F.lit(0.025), F.lit(0.975))).alias("q"), F.count(F.lit(1)).alias("valid"))
+    observed = cells.groupBy(*by).agg(
         *[one(g, F.col("n")).alias(f"rows{g}") for g in (0, 1)], *[F.count(F.when(F.col("side") == g, 1)).alias(f"entities{g}") for g in (0, 1)], *[(one(g, F.col("s")) / one(g, F.col("n"))).alias(f"mean{g}") for g in (0, 1)]
     ).fillna(0, ["rows0", "rows1"])
     least_rows, most_rows, least_entities = F.least("rows0", "rows1"), F.greatest("rows0", "rows1"), F.least("entities0", "entities1")
@@ -170,14 +181,21 @@ def cluster_bootstrap(df: DataFrame, weights: DataFrame, *, entity: str, group:
         .when(least_rows / most_rows < IMBALANCE, "severe_row_imbalance_warning")
         .otherwise("ok")
     )
-    out = observed.join(interval, "feature", "left")
+    out = observed.join(interval, by, "left")
     shown = lambda i: F.when(enough & drawn_enough, F.col("q")[i])
     return out.select(
-        F.lit(reference).alias("reference_transition"), F.lit(contrast).alias("contrast_transition"), "feature", F.col("rows0").alias("n_rows_reference"), F.col("rows1").alias("n_rows_contrast"),
+        *keys, F.col("reference").alias("reference_transition"), F.col("contrast").alias("contrast_transition"), "feature", F.col("rows0").alias("n_rows_reference"), F.col("rows1").alias("n_rows_contrast"),
         F.col("entities0").alias("n_countries_reference"), F.col("entities1").alias("n_countries_contrast"), F.col("mean0").alias("mean_reference"), F.col("mean1").alias("mean_contrast"),
         (F.col("mean1") - F.col("mean0")).alias("mean_difference"), shown(0).alias("ci_low"), shown(1).alias("ci_high"), valid.cast("long").alias("replicates_valid"), status.alias("status"),
     )
 
 
+def resampled_bootstrap(df: DataFrame, *, entity: str, group: str, contrasts: Sequence[tuple[str, str]], features: Sequence[str], replicates: int, seed: str = "b") -> DataFrame:
+    """The variant that draws from the entities of the rows it compares, as if their rows were put together anew for each
+    replicate: a row counts as often as its entity is drawn."""
+    rows = df.where(F.col(group).isin(*{g for pair in contrasts for g in pair}))
+    return cluster_bootstrap(rows, hashed_weights(rows, entity, replicates, seed), entity=entity, group=group, contrasts=contrasts, features=features, replicates=replicates)
+
+
 def rate(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole)

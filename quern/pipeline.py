@@ -170,14 +170,10 @@ def explore(scored: DataFrame, *, replicates: int = stats.REPLICATES, seed: int
     if len(entities) > stats.MAX_CLUSTERS:
         raise ValueError(f"over {stats.MAX_CLUSTERS} clusters; draw coarser ones")
     weights = cut(stats.multinomial_weights(rows.sparkSession, entities, "entity_id", replicates, seed))
-    contrasts = None
-    for name, condition in samples.items():
-        for reference, contrast in (("continued_peace", "onset"), ("continued_conflict", "cessation")):
-            made = stats.cluster_bootstrap(rows.where(condition), weights, entity="entity_id", group="transition", reference=reference, contrast=contrast, features=FEATURES, replicates=replicates).withColumn("sample", F.lit(name))
-            contrasts = made if contrasts is None else contrasts.unionByName(made)
+    pairs = [("continued_peace", "onset"), ("continued_conflict", "cessation")]
+    contrasts = stats.cluster_bootstrap(sampled, weights, entity="entity_id", group="transition", contrasts=pairs, features=FEATURES, replicates=replicates, keys=["sample"])
     trends = rows.groupBy("year").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("entity_id").alias("n_countries"), *[F.avg(c).alias(f"{c}_mean") for c in FEATURES[:2]])
-    for c in FEATURES[:2]:
-        trends = trends.join(ordered.exact_quantiles(rows, ["year"], c, {f"{c}_{n}": p for n, p in stats.QUARTILES.items()}).drop("n"), "year", "left")
+    trends = trends.join(stats.wide_quantiles(rows, ["year"], FEATURES[:2]), "year", "left")
     return {
         "transition_counts": counts.join(total, "sample").withColumn("row_share", stats.rate(F.col("n_rows"), F.col("sample_rows"))),
         "feature_summaries": stats.feature_summaries(sampled, ["sample", "transition"], FEATURES, "entity_id"),
@@ -231,7 +227,7 @@ def predict(scored: DataFrame, conflicts: DataFrame) -> dict[str, DataFrame]:
     made = cut(made)
     keys = ["sample", "kind", "period", "model"]
     peaceful = model.metrics(made.where("conflict_active_t = 0"), keys).select(*keys, F.col("average_precision").alias("average_precision_peaceful"), F.col("positives").alias("onsets"))
-    scores = model.metrics(made, keys).join(peaceful, keys, "left")
+    scores = model.metrics(made, keys, entity="entity_id").join(peaceful, keys, "left")
     table = scores.where("kind = 'validation'").groupBy("sample", "model").pivot("period", [f.name for f in VALIDATION]).agg(F.first("average_precision"))
     table = table.withColumn("mean", F.expr(" + ".join(f"`{f.name}`" for f in VALIDATION)) / len(VALIDATION))
     listed = data.sparkSession.createDataFrame(coefficients, "sample string, model string, feature string, coefficient double").withColumn("odds_ratio", F.exp("coefficient"))

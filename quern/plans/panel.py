@@ -91,13 +91,10 @@ LEFT JOIN ucdp_country_crosswalk c ON c.source_name = x.label AND x.year BETWEEN
 def crosswalk_range_join(spark: SparkSession, folder: str) -> DataFrame:
     """Labels matched to crosswalk entries that are valid in the episode's year; more than one match is an ambiguity."""
     rows = reshape.labels(table(spark, folder, "ucdp_conflicts").select("episode_id", "location", "year").where("location is not null"), "location")
-    rows = rows.withColumn("__row", F.struct("episode_id", "label_pos"))
+    rows = rows.withColumn("row", F.struct("episode_id", "label_pos"))
     rules = table(spark, folder, "ucdp_country_crosswalk").where("exclusion_status = 'included'")
-    # entries of one name and range are counted before they meet the rows: a name typed often stays one row
-    rules = rules.groupBy("source_name", "valid_from", "valid_to").agg(F.count(F.lit(1)).alias("n"), F.min("entity_id").alias("low"), F.max("entity_id").alias("high"))
-    met = rows.join(rules, (rows["label"] == rules["source_name"]) & rows["year"].between(rules["valid_from"], rules["valid_to"]), "left")
-    out = met.groupBy("episode_id", "label_pos").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_matches"), F.min("low").alias("least_entity"), F.max("high").alias("greatest_entity"))
-    return out
+    found = relational.valid_in(rows, rules, name="label", year="year", rule_name="source_name", row_id="row")
+    return found.select("row.*", "n_matches", "least_entity", "greatest_entity")
 
 
 @query("""SELECT r.region, s.year, count(*) AS n_speeches FROM (SELECT entity_id, trim(region) AS region FROM region_income_snapshot) r JOIN speeches s USING (entity_id) GROUP BY 1, 2""")
@@ -215,13 +212,17 @@ def unpivot_without_nulls(spark: SparkSession, folder: str) -> DataFrame:
     return reshape.long_form(rows, ["entity_id", "year"], ["n_speeches", "tokens", "max_intensity_t"], "measure", "value", keep_null=False)
 
 
-@query("""SELECT cell, CASE WHEN is_number THEN 'observed' WHEN trim(cell) = 'xxx' THEN 'not_independent_or_nonexistent' WHEN trim(cell) IN ('...', '..', '. .') THEN 'unavailable' ELSE 'blank' END AS status, TRY_CAST(cell AS DOUBLE) AS value
-FROM (VALUES ('0.0', true), ('1.25', true), ('xxx', false), (' ... ', false), ('. .', false), ('..', false), ('', false), (NULL, false), ('3.5', false), ('n/a', false)) v(cell, is_number)""")
+_CELL = "CASE milex_status_t WHEN 'not_independent_or_nonexistent' THEN 'xxx' WHEN 'unavailable' THEN CASE row_id % 3 WHEN 0 THEN '...' WHEN 1 THEN ' ..' ELSE '. . ' END WHEN 'no_country_row' THEN CAST(row_id AS VARCHAR(20)) END"
+
+
+@query(f"""SELECT row_id, CASE WHEN is_number THEN 'observed' WHEN trim(cell) = 'xxx' THEN 'not_independent_or_nonexistent' WHEN trim(cell) IN ('...', '..', '. .') THEN 'unavailable' ELSE 'blank' END AS status, TRY_CAST(cell AS DOUBLE) AS value
+FROM (SELECT row_id, milex_share_gdp_t IS NOT NULL AS is_number, CASE WHEN milex_share_gdp_t IS NOT NULL THEN CAST(CAST(row_id AS DOUBLE) / 8 AS VARCHAR) ELSE {_CELL} END AS cell FROM modelling_rows)""")
 def status_value_parse(spark: SparkSession, folder: str) -> DataFrame:
-    """Status and value of spending cells: a number typed as text has a value but the status blank."""
-    rows = [("0.0", True), ("1.25", True), ("xxx", False), (" ... ", False), (". .", False), ("..", False), ("", False), (None, False), ("3.5", False), ("n/a", False)]
-    cells = spark.createDataFrame(rows, "cell string, is_number boolean")
-    return cells.select("cell", reshape.cell_status(F.col("cell"), F.col("is_number")).alias("status"), F.expr("try_cast(cell as double)").alias("value"))
+    """Status and value of the spending cells of all rows, numbers and markers as they are typed: a number typed as text has a value but the status blank."""
+    number = F.col("milex_share_gdp_t").isNotNull()
+    cell = F.when(number, (F.col("row_id").cast("double") / 8).cast("string")).otherwise(F.expr(_CELL))
+    cells = table(spark, folder, "modelling_rows").select("row_id", number.alias("is_number"), cell.alias("cell"))
+    return cells.select("row_id", reshape.cell_status(F.col("cell"), F.col("is_number")).alias("status"), F.expr("try_cast(cell as double)").alias("value"))
 
 
 @query(r"""SELECT episode_id, CAST(generate_subscripts(a, 1) - 1 AS INTEGER) AS label_pos, unnest(a) AS label FROM (SELECT episode_id, regexp_split_to_array(location, '\s*[,;|]\s*') AS a FROM ucdp_conflicts WHERE location IS NOT NULL)""")
@@ -362,8 +363,10 @@ def chunk_passages(spark: SparkSession, folder: str) -> DataFrame:
     keys = ["entity_id", "year", "speech_no"]
     scores = table(spark, folder, "scores").select("score_id", F.trim("entity_id").alias("entity_id"), "year", "speech_no", reshape.payload(F.col("payload")).alias("p"))
     speeches = table(spark, folder, "speeches").where("speech_clean is not null")
-    first = speeches.groupBy(*keys).agg(F.min_by("speech_clean", "speech_id").alias("speech_clean"))
-    joined = scores.where("p.chunks is not null").select("score_id", *keys, F.col("p.chunks").alias("chunks")).join(first, keys)
+    # ids are grouped and joined first; only the texts that are cut are moved
+    first = speeches.groupBy(*keys).agg(F.min("speech_id").alias("speech_id"))
+    wanted = scores.where("p.chunks is not null").select("score_id", *keys, F.col("p.chunks").alias("chunks")).join(first, keys).select("score_id", "speech_id", "chunks")
+    joined = wanted.join(speeches.select("speech_id", "speech_clean"), "speech_id")
     return reshape.passages(joined, "speech_clean", "chunks").select("score_id", "chunk_no", "passage")
 
 
@@ -376,12 +379,6 @@ def display_names(spark: SparkSession, folder: str) -> DataFrame:
     return display_name(codes, "entity_id", table(spark, folder, "region_income_snapshot")).select("entity_id", "display_name")
 
 
-@query("""SELECT speaker_row_id, CASE WHEN year = 1995 AND iso_code = 'EHR' THEN 'HRE' WHEN year = 1995 AND iso_code = 'HRE' THEN 'EHR' ELSE iso_code END AS iso_code FROM speakers_by_session WHERE year = 1995 AND session = 50""")
-def conditional_update(spark: SparkSession, folder: str) -> DataFrame:
-    """Two codes swapped, of one session's rows alone; the whole table: conditional_update_all."""
-    return _swapped(table(spark, folder, "speakers_by_session").where("year = 1995 and session = 50")).select("speaker_row_id", "iso_code")
-
-
 def _swapped(rows: DataFrame) -> DataFrame:
     """Both conditions look at the code as it came; rows outside the mask are unchanged."""
     swap = rows.sparkSession.createDataFrame([("EHR", 1995, "HRE"), ("HRE", 1995, "EHR")], "iso_code string, year int, corrected string")

@@ -126,7 +126,7 @@ def test_bootstrap_against_numpy(spark):
     data = [(f"e{i % 12}", "onset" if rng.random() < 0.3 else "continued_peace", float(rng.normal())) for i in range(300)]
     df = spark.createDataFrame(data, "entity_id string, transition string, x double")
     weights = stats.multinomial_weights(spark, {e for e, _, _ in data}, "entity_id", 200, 7)
-    out = stats.cluster_bootstrap(df, weights, entity="entity_id", group="transition", reference="continued_peace", contrast="onset", features=["x"], replicates=200).head()
+    out = stats.cluster_bootstrap(df, weights, entity="entity_id", group="transition", contrasts=[("continued_peace", "onset")], features=["x"], replicates=200).head()
     listed = sorted({e for e, _, _ in data})
     w = np.random.default_rng(7).multinomial(12, np.repeat(1 / 12, 12), size=200)
     s, n = np.zeros((12, 2)), np.zeros((12, 2))
@@ -140,7 +140,7 @@ def test_bootstrap_against_numpy(spark):
 def test_status_ladder(spark):
     weights = spark.createDataFrame([(i, "a", 1) for i in range(5)], "replicate long, entity_id string, weight long")
     df = spark.createDataFrame([("a", "onset", 1.0), ("a", "continued_peace", 1.0)], "entity_id string, transition string, x double")
-    out = stats.cluster_bootstrap(df, weights, entity="entity_id", group="transition", reference="continued_peace", contrast="onset", features=["x"], replicates=5).head()
+    out = stats.cluster_bootstrap(df, weights, entity="entity_id", group="transition", contrasts=[("continued_peace", "onset")], features=["x"], replicates=5).head()
     assert out.status == "insufficient_group_support" and out.ci_low is None
 
 
