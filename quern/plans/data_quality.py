@@ -71,10 +71,10 @@ WITH refs AS (
 )
 """
 
-#: Names in the test data that are not on the reference list; SQL looks for names, the operator for delimiters.
-_HISTORICAL = ("Hollow Marches", "Pre-Union Quellin", "Old Karsond Dominion", "Wystan Protectorate", "Greater Tolvane Compact")
-_P2 = f"""
-WITH names AS (SELECT country_name AS n FROM region_income_snapshot UNION SELECT unnest({list(_HISTORICAL)})), pattern AS (SELECT string_agg(regexp_escape(n), '|' ORDER BY length(n) DESC, n) AS p FROM names),
+#: SQL looks for names where the operator looks for delimiters: those of the list, and those that stand alone in a field.
+_P2 = r"""
+WITH names AS (SELECT country_name AS n FROM region_income_snapshot WHERE country_name IS NOT NULL UNION SELECT DISTINCT trim(location) FROM ucdp_conflicts WHERE regexp_matches(location, '^[^,;|/&"''、\[\]{}\n\t]*\p{L}[^,;|/&"''、\[\]{}\n\t]*$') AND NOT regexp_matches(location, '\band\b')),
+pattern AS (SELECT string_agg(regexp_escape(n), '|' ORDER BY length(n) DESC, n) AS p FROM names WHERE n <> ''),
 x AS (SELECT episode_id, regexp_extract_all(location, p) AS a FROM ucdp_conflicts, pattern WHERE location IS NOT NULL)
 SELECT episode_id, CAST(generate_subscripts(a, 1) AS INTEGER) AS pos, unnest(a) AS label FROM x WHERE len(a) >= 2
 """

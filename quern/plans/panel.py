@@ -262,7 +262,14 @@ def hash_sample_per_group(spark: SparkSession, folder: str) -> DataFrame:
     return windows.hash_sample(rows, ["speaker_post_group"], F.col("row_id").cast("string"), 4, "s1").select("speaker_post_group", "row_id", "pick")
 
 
-@query()
+@query(f"""WITH RECURSIVE {base.PASSAGES}, own AS (SELECT CASE WHEN year > 1989 AND year <= 2001 THEN '1990-2001' WHEN year > 2001 AND year <= 2013 THEN '2002-2013' WHEN year > 2013 AND year <= 2025 THEN '2014-2025' END AS era,
+CASE WHEN trust < 0.2 THEN 'low' WHEN trust < 0.4 THEN 'middle' ELSE 'high' END AS band, row_id, trim(g.region) AS region, md5('r1' || row_id) AS h FROM pass JOIN region_income_snapshot g USING (entity_id) WHERE trust IS NOT NULL AND g.region IS NOT NULL),
+cand AS (SELECT *, dense_rank() OVER (ORDER BY era, band) AS cell FROM own WHERE era IS NOT NULL),
+few AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cell, region ORDER BY h, row_id) AS k FROM cand) WHERE k <= 9),
+step(cell, units, regions, era, band, row_id, region) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST([] AS VARCHAR[]), '', '', CAST(0 AS BIGINT), '' UNION ALL
+SELECT n.cell, list_append(n.units, n.row_id), list_append(n.regions, n.region), n.era, n.band, n.row_id, n.region FROM (SELECT c.cell, s.units, s.regions, c.era, c.band, c.row_id, c.region,
+row_number() OVER (ORDER BY len(list_filter(s.regions, lambda x: x = c.region)), c.h, c.row_id) AS k FROM step s JOIN few c ON c.cell = s.cell + 1 AND NOT list_contains(s.units, c.row_id)) n WHERE k = 1)
+SELECT era, band, row_id, region FROM step WHERE cell > 0""")
 def balanced_sample(spark: SparkSession, folder: str) -> DataFrame:
     """One passage per theme, era and band: no speech twice, regions in turn."""
     ranked = base.passages(spark, folder).where("trust is not null").select("entity_id", "year", "row_id", "trust")
@@ -343,7 +350,11 @@ def weighted_mean_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 9) for c in ("trust", "threat")})
 
 
-@query()
+_MEANS = "score_id, round(sum(trust * tokens) / sum(tokens), 9) AS trust, round(sum(threat * tokens) / sum(tokens), 9) AS threat, min(tokens) AS chunk_tokens_min, quantile_cont(CAST(tokens AS DOUBLE), 0.5) AS chunk_tokens_median, max(tokens) AS chunk_tokens_max, CAST(sum(tokens) AS BIGINT) AS tokens_scored"
+
+
+@query(f"""WITH ch AS ({_CHUNKS}), per AS (SELECT score_id, count(*) AS n_chunks, count(*) FILTER (NOT coalesce(tokens > 0 AND trust BETWEEN 0 AND 1 AND threat BETWEEN 0 AND 1, false)) AS n_bad_chunks FROM ch GROUP BY 1),
+m AS (SELECT {_MEANS} FROM ch WHERE score_id IN (SELECT score_id FROM per WHERE n_bad_chunks = 0) GROUP BY 1) SELECT per.score_id, CASE WHEN n_bad_chunks > 0 THEN 'bad_chunk' ELSE 'scored' END AS status, n_chunks, n_bad_chunks, m.* EXCLUDE (score_id) FROM per LEFT JOIN m USING (score_id)""")
 def weighted_mean_payloads(spark: SparkSession, folder: str) -> DataFrame:
     """Payloads with chunks and their status; one chunk that breaks the rules or lacks a value leaves all means null."""
     from quern.streaming.scoring import weighted_scores
@@ -353,7 +364,8 @@ def weighted_mean_payloads(spark: SparkSession, folder: str) -> DataFrame:
     per = chunks.groupBy("score_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.count_if(~good).alias("n_bad_chunks"))
     out = weighted_scores(chunks.join(per.where("n_bad_chunks = 0"), "score_id", "left_semi"), ["score_id"], ["trust", "threat"])
     status = F.when(F.col("n_bad_chunks") > 0, "bad_chunk").otherwise("scored").alias("status")
-    return per.select("score_id", status, "n_chunks", "n_bad_chunks").join(out.drop("chunk_count"), "score_id", "left")
+    out = out.drop("chunk_count").withColumns({c: F.round(c, 9) for c in ("trust", "threat")})
+    return per.select("score_id", status, "n_chunks", "n_bad_chunks").join(out, "score_id", "left")
 
 
 @query(f"""SELECT c.score_id, c.chunk_no, substring(s.speech_clean, c.s + 1, c.e - c.s) AS passage FROM ({_CHUNKS}) c JOIN (SELECT entity_id, year, speech_no, min(speech_id) AS speech_id FROM speeches WHERE speech_clean IS NOT NULL GROUP BY 1, 2, 3) k
