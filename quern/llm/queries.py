@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -196,6 +198,32 @@ def p5_forms(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("speech_id", "consistent_text", F.hex("form").alias("form"), (F.col("form") != F.col("stored")).alias("changed"))
 
 
+def _printed_alike(column: str) -> str:
+    """SQL for the form of a text, from character categories and decompositions: blanks, hyphens, widths, joining forms and
+    look-alikes are translated, format characters dropped, and what is left is composed."""
+    alike = {x: latin for latin, others in lookalikes.LOOKALIKES.items() for x in others} | {"\u2010": "-", "\u2011": "-"}
+    several = []
+    for p in range(0x80, 0x10000):
+        ch, parts = chr(p), unicodedata.decomposition(chr(p))
+        if unicodedata.category(ch) == "Zs":
+            alike[ch] = " "
+        elif parts.split(" ")[0] in ("<wide>", "<narrow>", "<initial>", "<medial>", "<final>", "<isolated>"):
+            plain = unicodedata.normalize("NFKC", ch)
+            if len(plain) == 1:
+                alike[ch] = plain
+        elif 0xFB00 <= p <= 0xFB06:
+            several.append((p, unicodedata.normalize("NFKC", ch)))
+    listed = lambda chars: "'" + "".join("''" if c == "'" else c for c in chars) + "'"
+    out = f"translate(nfc_normalize({column}), {listed(alike)}, {listed(alike.values())})"
+    for p, plain in several:
+        out = f"replace({out}, chr({p}), '{plain}')"
+    return rf"nfc_normalize(regexp_replace({out}, '[\p{{Cf}}\x{{34f}}\x{{fe00}}-\x{{fe0f}}]', '', 'g'))"
+
+
+_P5 = f"""WITH f AS (SELECT speech_id, speech_clean AS t, {_printed_alike("speech_clean")} AS form FROM speeches WHERE speech_clean IS NOT NULL)
+SELECT a.speech_id AS speech_id_a, b.speech_id AS speech_id_b FROM f a JOIN f b ON a.form = b.form AND a.speech_id < b.speech_id AND a.t <> b.t"""
+
+
 # --- typed values ------------------------------------------------------------------------------------------
 
 #: Crosswalk, field, reference column that holds the exact values, and whether values are codes first.
@@ -315,4 +343,4 @@ def p9_sentences(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p3_percentiles": p3_percentiles, "p3_combined": p3_combined, "p5_found": p5_found, "p5_forms": p5_forms, "p6_found": p6_found, "p6_unmatched": p6_unmatched, "p7_contents": p7_contents, "p7_containers": p7_containers, "p7_summary": p7_summary, "p8_selection": p8_selection, "p8_shares": p8_shares, "p9_found": p9_found, "p9_sentences": p9_sentences}
-ORACLE = {"p1_found": _P1, "p3_found": _P3}
+ORACLE = {"p1_found": _P1, "p3_found": _P3, "p5_found": _P5}
