@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator, Sequence
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -28,16 +29,38 @@ LIST_BRACKETS = "[]{}"
 MAX_NAMES = 100_000
 
 _OPAQUE = re.compile(r"[,;|/\n\t&、\[\]{}]|\band\b")
+_LETTERS = frozenset(map(chr, [*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]))
 _WHOLE_QUOTED = r'^\s*"(?:[^"]|"")*""(?:[^"]|"")*"\s*$'
 
 
-def protected_pattern(names: Iterable[str]) -> re.Pattern[bytes] | None:
-    """A pattern for the names that hold a delimiter themselves, longest first; None if there are none."""
-    inner = sorted({n for n in names if n and _OPAQUE.search(n)}, key=lambda n: (-len(n), n))
-    if not inner:
-        return None
-    letter = rb"[A-Za-z0-9\x80-\xff]"
-    return re.compile(rb"(?<!" + letter + rb")(?:" + b"|".join(re.escape(n.encode()) for n in inner) + rb")(?!" + letter + rb")")
+class Protected:
+    """Names that hold a delimiter themselves, found in one pass over the bytes whatever their number."""
+
+    def __init__(self, names: Iterable[str]) -> None:
+        self.found = ahocorasick.Automaton()
+        for n in {n for n in names if n and _OPAQUE.search(n)}:
+            key = n.encode().decode("latin-1")  # a character for each byte
+            self.found.add_word(key, len(key))
+        self.empty = not len(self.found)
+        if not self.empty:
+            self.found.make_automaton()
+
+    def spans(self, data: bytes) -> Iterator[tuple[int, int]]:
+        """Start and end of the names that no letter or digit continues: from left to right, the longest, without overlap."""
+        text = data.decode("latin-1")
+        hits = ((end + 1 - length, end + 1) for end, length in self.found.iter(text))
+        whole = sorted((a, -b) for a, b in hits if not (a and text[a - 1] in _LETTERS) and not text[b : b + 1] in _LETTERS)
+        reach = 0
+        for a, b in whole:
+            if a >= reach:
+                yield a, -b
+                reach = -b
+
+
+def protected_pattern(names: Iterable[str]) -> Protected | None:
+    """The names that have to be protected; None if there are none."""
+    made = Protected(names)
+    return None if made.empty else made
 
 
 def _prepared(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -80,7 +103,7 @@ def _shifted(mask: np.ndarray, by: int) -> np.ndarray:
     return out
 
 
-def split_array(column: pa.Array, protect: re.Pattern[bytes] | None = None) -> pa.ListArray:
+def split_array(column: pa.Array, protect: Protected | None = None) -> pa.ListArray:
     """One list of values per row; null, blank and empty rows give empty lists."""
     rows = len(column)
     if not rows:
@@ -106,9 +129,9 @@ def split_array(column: pa.Array, protect: re.Pattern[bytes] | None = None) -> p
 
     kept = np.zeros(n + 1, dtype=np.int32)
     if protect is not None:
-        for m in protect.finditer(data.tobytes()):
-            kept[m.start()] += 1
-            kept[m.end()] -= 1
+        for a, b in protect.spans(data.tobytes()):
+            kept[a] += 1
+            kept[b] -= 1
     kept = np.cumsum(kept[:-1]) > 0
 
     delimiter = _IS_DELIMITER[data]

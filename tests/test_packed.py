@@ -58,3 +58,17 @@ def test_rows_with_other_and_clashing_columns(spark):
 def test_too_many_names(spark):
     with pytest.raises(ValueError):
         split_packed(spark.createDataFrame([("a",)], "f string"), "f", names=["x"] * (MAX_NAMES + 1))
+
+
+def test_many_names_by_brute_force():
+    """The longest name from left to right that no letter continues, as an alternation of all names finds it."""
+    import random
+    import re
+
+    r = random.Random(5)
+    names = sorted({f"{a}, {b}" for a in ("A", "AB", "B", "é") for b in ("B", "BC", "C of D, E", "é")})
+    pattern = re.compile(rb"(?<![A-Za-z0-9\x80-\xff])(?:" + b"|".join(re.escape(n.encode()) for n in sorted(names, key=lambda n: (-len(n), n))) + rb")(?![A-Za-z0-9\x80-\xff])")
+    found = protected_pattern(names)
+    for _ in range(400):
+        data = "".join(r.choice(["A", "B", "C", ", ", " ", "é", " of ", "D, E", ";"]) for _ in range(14)).encode()
+        assert list(found.spans(data)) == [m.span() for m in pattern.finditer(data)]
