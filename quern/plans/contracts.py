@@ -174,6 +174,9 @@ def source_sqlite(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.from_json("payload", "session int, session_year int, title string").alias("p")).select("p.*")
 
 
+_LEVELS = base.TRANSITIONS
+
+
 # -- sinks -------------------------------------------------------------------------------------------------------
 
 
@@ -229,6 +232,38 @@ def sink_markdown(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.text(str(path)).where(F.col("value").startswith("## ")).select(F.col("value").alias("heading"))
 
 
+_DRAWN = f"""WITH {base.PASSAGES}, y AS (SELECT year, avg(trust) AS m, avg(milex) AS x FROM pass GROUP BY 1), b AS (SELECT DISTINCT transition FROM pass WHERE transition IS NOT NULL AND threat IS NOT NULL)
+SELECT unnest(['trends', 'trends', 'trends', 'spending', 'transitions', 'distribution', 'correlations']) AS figure, unnest(['band', 'line', 'step', 'points', 'bars', 'boxes', 'heat']) AS layer,
+unnest([(SELECT count(*) FROM y WHERE m IS NOT NULL), (SELECT count(*) FROM y WHERE m IS NOT NULL), (SELECT count(*) FROM y WHERE m IS NOT NULL), (SELECT count(*) FROM y WHERE x IS NOT NULL), (SELECT count(DISTINCT transition) FROM pass), (SELECT count(*) FROM b), 9]) AS n_points"""
+
+
+@query(_DRAWN)
+def sink_figures(spark: SparkSession, folder: str) -> DataFrame:
+    """Figures of the descriptive tables, written and read back: what each layer shows."""
+    from quern.operators import stats
+    from quern.sources.figures import Figure, rows_of, symlog
+
+    rows = base.passages(spark, folder)
+    years = rows.groupBy("year").agg(F.avg("trust").alias("m"), F.stddev_samp("trust").alias("s"), F.avg("milex").alias("x"))
+    drawn = rows_of(years, "year", "m", "s", "x")
+    trends = Figure("Trust by year", "year", "mean").add("band", [(y, m and m - (s or 0), m and m + (s or 0)) for y, m, s, _ in drawn], "one deviation").add("line", [(y, m) for y, m, _, _ in drawn], "mean").add("step", [(y, m) for y, m, _, _ in drawn])
+    spending = Figure("Spending by year", "year", "share of product", symlog).add("points", [(y, x) for y, _, _, x in drawn])
+    levels = list(_LEVELS)
+    counts = rows_of(rows.groupBy("transition").agg(F.count(F.lit(1)).alias("n")), "transition", "n")
+    transitions = Figure("Transitions", labels=levels).add("bars", counts)
+    boxes = rows_of(stats.box_stats(rows.where("transition is not null"), ["transition"], "threat"), "transition", "whisker_low", "q25", "median", "q75", "whisker_high")
+    distribution = Figure("Threat by transition", labels=levels).add("boxes", boxes)
+    pairs = rows_of(stats.pearson(rows, base.FEATURES), "a", "b", "correlation")
+    names = list(base.FEATURES)
+    cells = [(a, b, c or 0.0) for a, b, c in pairs] + [(b, a, c or 0.0) for a, b, c in pairs] + [(n, n, 1.0) for n in names]
+    figures = {"trends": trends, "spending": spending, "transitions": transitions, "distribution": distribution, "correlations": Figure("Correlations", labels=names).add("heat", cells)}
+    folder_ = _local(scratch(spark, "figures") + "/trends.svg").parent
+    for name, figure in figures.items():
+        figure.write(folder_ / f"{name}.svg")
+    lines = spark.read.text(str(folder_)).select(F.regexp_extract(F.input_file_name(), r"/(\w+)\.svg$", 1).alias("figure"), F.regexp_extract("value", 'class="(\\w+)" data-points="(\\d+)"', 1).alias("layer"), F.regexp_extract("value", 'data-points="(\\d+)"', 1).alias("n"))
+    return lines.where("layer <> ''").groupBy("figure", "layer").agg(F.sum(F.col("n").cast("long")).alias("n_points"))
+
+
 # -- projections, checked joins ------------------------------------------------------------------------------------
 
 
@@ -284,9 +319,6 @@ def rule_lookup(spark: SparkSession, folder: str) -> DataFrame:
     return relational.exactly_one(rows.join(matches.select("row"), "row", "left_semi"), matches, "row").select("episode_id", "label_pos", "entity_id")
 
 
-_LEVELS = base.TRANSITIONS
-
-
 @query(f"""WITH {base.PASSAGES} SELECT transition, CAST(list_position({list(_LEVELS)}, transition) - 1 AS INTEGER) AS ordinal, count(*) AS n_rows FROM pass WHERE transition IS NOT NULL GROUP BY 1""")
 def ordered_levels(spark: SparkSession, folder: str) -> DataFrame:
     """Transitions in the order of a list, with their rows."""

@@ -173,3 +173,27 @@ def test_weighted_scores_refuse_bad_chunks(spark):
     for bad in ((1, 0, 0.5), (1, 1, 1.5), (1, 1, None)):
         with pytest.raises(Exception, match="not positive"):
             scoring.weighted_scores(spark.createDataFrame([bad], "k int, tokens int, trust double"), ["k"], ["trust"]).collect()
+
+
+def test_figures(tmp_path):
+    from xml.etree import ElementTree
+
+    from quern.sources.figures import Figure, symlog
+
+    assert symlog(0.5) == 0.5 and symlog(-1) == -1 and abs(symlog(np.e) - 2) < 1e-12 and symlog(-np.e) == -symlog(np.e)
+    figure = Figure("a < b", "x", "y", symlog).add("line", [(1, 2.0), (2, None), (3, float("nan")), (4, 900.0)], "one").add("band", [(1, 0.0, 2.0), (4, 1.0, 3.0)]).add("step", [(1, 1), (4, 2)]).add("points", [(2, 2)])
+    boxes = Figure("b", labels=["p", "q"]).add("boxes", [("q", 0, 1, 2, 3, 4)]).add("bars", [("p", -2)])
+    for i, f in enumerate((figure, boxes, Figure("h", labels=["p", "q"]).add("heat", [("p", "q", -0.5), ("q", "p", 1.0)]), Figure("empty").add("line", []))):
+        f.write(tmp_path / f"{i}.svg")
+        ElementTree.parse(tmp_path / f"{i}.svg")
+    assert (tmp_path / "0.svg").read_text().count('data-points="2"') == 3
+    with pytest.raises(ValueError):
+        figure.add("pie", [])
+
+
+def test_figures_of_large_tables_are_refused(spark):
+    from quern.sources import figures
+
+    assert figures.rows_of(spark.range(3).selectExpr("cast(2 - id as int) as a", "id as b"), "a", "b") == [(0, 2), (1, 1), (2, 0)]
+    with pytest.raises(ValueError):
+        figures.rows_of(spark.range(figures.MAX_ROWS + 1), "id")
