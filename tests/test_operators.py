@@ -205,7 +205,7 @@ def test_all_names_are_normalised(spark, tmp_path):
     sipri = ["\ufb01ji", "Türkiye\u2021", "Plain"]
     for name, values in (("ucdp", ucdp), ("sipri", sipri)):
         spark.createDataFrame([(v,) for v in values], "source_name string").write.parquet(f"{tmp_path}/{name}_country_crosswalk.parquet")
-    got = [tuple(r) for r in queries()["text_normalise_all_names"](spark, str(tmp_path)).collect()]
+    got = [tuple(r) for r in queries()["text_normalise_name"](spark, str(tmp_path)).collect()]
     plain = {v: None if v is None else re.sub("[^a-z0-9]+", " ", unicodedata.normalize("NFKD", v).encode("ascii", "ignore").decode().casefold()).strip() for v in ucdp + sipri}
     assert len(got) == len(plain) and dict(got) == plain
 
