@@ -9,18 +9,40 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.operators.ordered import average_ranks, exact_quantiles
+from quern.operators.ordered import average_ranks, exact_quantiles, ordered_counts
 
 QUARTILES = {"q25": 0.25, "median": 0.5, "q75": 0.75}
 
 
-def feature_summaries(df: DataFrame, keys: Sequence[str], features: Sequence[str], entity: str) -> DataFrame:
-    """Per group and feature: n_rows and n_countries with a value, mean, median, quartiles and their distance."""
-    long = df.select(*keys, F.col(entity).alias("__e"), F.expr(f"stack({len(features)}, {', '.join(f'{chr(39)}{f}{chr(39)}, cast({f} as double)' for f in features)}) as (feature, value)"))
+def feature_summaries(df: DataFrame, keys: Sequence[str], features: Sequence[str], entity: str, samples: dict[str, Column] | None = None) -> DataFrame:
+    """Per group and feature: n_rows and n_countries with a value, mean, median, quartiles and their distance.
+
+    ``samples`` (names and conditions, which may overlap) are told apart by ``sample``: values are counted once, with the
+    number of each sample beside it, so rows are never repeated for the samples that they belong to.
+    """
+    conditions = [F.lit(True)] if samples is None else list(samples.values())
+    flags = [f"__s{i}" for i in range(len(conditions))]
+    member = [F.coalesce(c, F.lit(False)).cast("int").alias(f) for f, c in zip(flags, conditions)]
+    long = df.select(*keys, F.col(entity).alias("__e"), *member, F.expr(f"stack({len(features)}, {', '.join(f'{chr(39)}{f}{chr(39)}, cast({f} as double)' for f in features)}) as (feature, value)"))
     long = long.where(F.col("value").isNotNull() & ~F.isnan("value"))
-    moments = long.groupBy(*keys, "feature").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("__e").alias("n_countries"), F.avg("value").alias("mean"))
-    quartiles = exact_quantiles(long, [*keys, "feature"], "value", QUARTILES).drop("n")
-    return moments.join(quartiles, [*keys, "feature"]).withColumn("iqr", F.col("q75") - F.col("q25"))
+    by = [*keys, "feature"]
+    entities = long.groupBy(*by, "__e").agg(*[F.max(f).alias(f) for f in flags]).groupBy(*by).agg(*[F.count_if((F.col(f) == 1) & F.col("__e").isNotNull()).alias(f"__c{i}") for i, f in enumerate(flags)])
+    counted = ordered_counts(long, by, "value", {f: F.col(f) for f in flags})
+    each = []
+    for i, f in enumerate(flags):
+        own, before, total = F.col(f), F.col(f"before_{f}"), F.col(f"total_{f}")
+        value_at = lambda k, own=own, before=before: F.max(F.when((before <= k) & (k < before + own), F.col("value")))
+        parts = [F.max(total).alias("n_rows"), (F.sum(F.col("value") * own) / F.nullif(F.max(total), F.lit(0))).alias("mean")]
+        for name, p in QUARTILES.items():
+            at = (total - 1) * F.lit(p)
+            low, high = F.floor(at), F.ceil(at)
+            parts.append((value_at(low) + (value_at(high) - value_at(low)) * F.max(at - low)).alias(name))
+        each.append(F.struct(*parts).alias(f"__r{i}"))
+    out = counted.groupBy(*by).agg(*each).join(entities, by)
+    listed = F.array(*[F.struct(F.lit(name).alias("sample"), F.col(f"__c{i}").alias("n_countries"), F.col(f"__r{i}").alias("r")) for i, name in enumerate(samples or {"": None})])
+    long_out = out.withColumn("__x", F.explode(listed)).where("__x.r.n_rows > 0")
+    first = ["__x.sample"] if samples is not None else []
+    return long_out.select(*first, *by, "__x.r.n_rows", "__x.n_countries", *[f"__x.r.{c}" for c in ("mean", "q25", "median", "q75")]).withColumn("iqr", F.col("q75") - F.col("q25"))
 
 
 def wide_quantiles(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:

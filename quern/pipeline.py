@@ -176,7 +176,7 @@ def explore(scored: DataFrame, *, replicates: int = stats.REPLICATES, seed: int
     trends = trends.join(stats.wide_quantiles(rows, ["year"], FEATURES[:2]), "year", "left")
     return {
         "transition_counts": counts.join(total, "sample").withColumn("row_share", stats.rate(F.col("n_rows"), F.col("sample_rows"))),
-        "feature_summaries": stats.feature_summaries(sampled, ["sample", "transition"], FEATURES, "entity_id"),
+        "feature_summaries": stats.feature_summaries(rows, ["transition"], FEATURES, "entity_id", samples),
         "bootstrap_differences": contrasts,
         "annual_trends": trends,
         "spending_distribution": ordered.ecdf(rows.where("milex_share_gdp_t is not null"), ["transition"], "milex_share_gdp_t"),

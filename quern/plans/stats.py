@@ -39,8 +39,7 @@ _LONG = "long AS (" + " UNION ALL ".join(f"SELECT sample, transition, entity_id,
 round(quantile_cont(value, 0.75), 6) AS q75, round(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 6) AS iqr FROM long GROUP BY 1, 2, 3""")
 def feature_summaries(spark: SparkSession, folder: str) -> DataFrame:
     """Mean, quartiles and counts of each feature by sample and transition."""
-    rows = relational.in_samples(_observed(spark, folder), _samples())
-    return _rounded(stats.feature_summaries(rows, ["sample", "transition"], base.FEATURES, "entity_id"))
+    return _rounded(stats.feature_summaries(_observed(spark, folder), ["transition"], base.FEATURES, "entity_id", _samples()))
 
 
 @query(f"""WITH {base.PASSAGES} SELECT year, count(*) AS n_rows, count(DISTINCT entity_id) AS n_countries, round(avg(trust), 6) AS trust_mean, round(quantile_cont(trust, 0.5), 6) AS trust_median, round(quantile_cont(trust, 0.25), 6) AS trust_q25,
