@@ -35,15 +35,15 @@ def closing_tokens(text: str, offsets: np.ndarray) -> np.ndarray:
     if not len(offsets):
         return np.zeros(0, dtype=bool)
     code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    known, which = np.unique(code, return_inverse=True)
-    space = np.array([chr(c).isspace() for c in known.tolist()])[which]
     start, end = offsets[:, 0], offsets[:, 1]
     last = code[end - 1]
-    open_ = np.append(space, True)[end]
     mark = np.isin(last, _TERMINAL)
     after_mark = np.zeros(len(code) + 1, dtype=bool)
     after_mark[end[mark]] = True
-    return open_ & (mark | np.isin(last, _CLOSING) & (end - start == 1) & after_mark[start])
+    out = mark | np.isin(last, _CLOSING) & (end - start == 1) & after_mark[start]
+    for k in np.flatnonzero(out).tolist():
+        out[k] = end[k] == len(text) or text[end[k]].isspace()
+    return out
 
 
 def chunks_of(text: str, spans: Sequence[tuple[int, int]], budget: int = BUDGET) -> np.ndarray:
@@ -76,18 +76,18 @@ class Pair:
     tokens: int
 
 
-def pair_of(premise: str, hypothesis: str, most: int = PAIR_BUDGET, cut: bool = False) -> Pair:
-    """[CLS] premise [SEP] hypothesis [SEP], of ``most`` tokens at most.
+def pair_of(premise: str, hypothesis: str, most: int = PAIR_BUDGET, cut: bool = False, sizes: tuple[int, int] | None = None) -> Pair:
+    """[CLS] premise [SEP] hypothesis [SEP], of ``most`` tokens at most; ``sizes`` are the tokens of both, if they are known.
 
     A longer pair raises, or (``cut``) loses the end of its premise, as a model does that is given whole texts.
     """
-    first, second = token_spans(premise), token_spans(hypothesis)
-    room = most - len(second) - 3
-    if len(first) > room:
+    first, second = sizes or (len(token_spans(premise)), len(token_spans(hypothesis)))
+    room = most - second - 3
+    if first > room:
         if not cut or room < 0:
-            raise ContractError(f"a pair of {len(first) + len(second) + 3} tokens, {most} allowed")
-        premise, first = (premise[: first[room - 1][1]] if room else ""), first[:room]
-    return Pair(f"[CLS] {premise} [SEP] {hypothesis} [SEP]", len(first) + len(second) + 3)
+            raise ContractError(f"a pair of {first + second + 3} tokens, {most} allowed")
+        premise, first = (premise[: token_spans(premise)[room - 1][1]] if room else ""), room
+    return Pair(f"[CLS] {premise} [SEP] {hypothesis} [SEP]", first + second + 3)
 
 
 #: Takes pairs and gives a row of logits for each, that of entailment first.
@@ -131,6 +131,7 @@ def score_chunks(
         if name not in _SCORERS:
             _SCORERS[name] = load()
         scorer = _SCORERS[name]
+        sizes = [len(token_spans(x)) for x in labels]
         for found in batches:
             of: list[int] = []
             places: list[tuple[int, ...]] = []
@@ -138,8 +139,8 @@ def score_chunks(
             for r, t in enumerate(found.column(len(keys)).to_pylist()):
                 spans = token_spans(t)
                 for i, (a, b, c, d) in enumerate(chunks_of(t, spans, max(1, len(spans)) if whole else budget).tolist()):
-                    made = [pair_of(t[c:d], x, cut=whole) for x in labels]
-                    held = min(b - a, *[p.tokens - 3 - len(token_spans(x)) for p, x in zip(made, labels)])
+                    made = [pair_of(t[c:d], x, cut=whole, sizes=(b - a, k)) for x, k in zip(labels, sizes)]
+                    held = min(b - a, *[p.tokens - 3 - k for p, k in zip(made, sizes)])
                     of.append(r)
                     places.append((i, a, b, c, d, held))
                     pairs += made
