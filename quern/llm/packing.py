@@ -29,6 +29,12 @@ ROUNDS_PER_LENGTH = 2
 #: rounds end, and the share of the best value by which a pattern may miss it where none reaches it.
 STEP = 0.05
 GAP = 0.01
+#: Exponent where a step function bounds better than the total length, so that the weights have far to go.
+FAR_STEP = 0.5
+#: Part of the best step function in the first weights, the rest being the lengths themselves; rounds without a smaller
+#: gap after which the rounds end.
+STEPPED = 0.9
+STALLED = 40
 NEAR = 0.005
 EXACT = 1e-9
 #: Gap and share of a second solution, which is made where the first one, rounded, takes more containers than best fit.
@@ -93,6 +99,21 @@ def _through(i: int, size: np.ndarray, value: np.ndarray, best: np.ndarray, upto
         c -= int(size[j])
 
 
+def step_bound(size: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
+    """The greatest lower bound of the number of containers by a step function, and its dual values.
+
+    For each e up to half the capacity: an item that leaves less than e beside it counts as a container, one under e as
+    nothing, any other by its length; no container holds more than one by that measure.
+    """
+    share = size / capacity
+    best, values = float((counts * share).sum()), share
+    for e in range(1, capacity // 2 + 1):
+        v = np.where(size > capacity - e, 1.0, np.where(size < e, 0.0, share))
+        if (found := float((counts * v).sum())) > best:
+            best, values = found, v
+    return best, values
+
+
 @dataclass
 class Fractions:
     """A fractional solution: patterns (places of lengths) with their number, the dual values, both sides' bounds."""
@@ -110,11 +131,13 @@ def fractions(size: np.ndarray, counts: np.ndarray, capacity: int, rounds: int,
     In each round the lengths that wait are served, those with least coverage first, by patterns whose value is near
     the greatest, which the bounded knapsack over all lengths gives; what is served more than others weighs less afterwards.
     """
-    start = size / capacity
+    least, stepped = step_bound(size, counts, capacity)
+    start = STEPPED * stepped + (1 - STEPPED) * size / capacity
+    step = STEP if least <= (1 + EXACT) * float((counts * size).sum() / capacity) else FAR_STEP
     value, covered = start.copy(), np.zeros(len(size))
     upto = np.searchsorted(size, np.arange(capacity + 1), "right")
     made: dict[tuple, float] = {}
-    total, lower, upper, kept, done = 0.0, 0.0, np.inf, value, 0
+    total, lower, upper, kept, done, smallest, since = 0.0, least, np.inf, value, 0, np.inf, 0
     for r in range(1, rounds + 1):
         done = r
         best = knapsack(size, value, counts, capacity)
@@ -141,7 +164,10 @@ def fractions(size: np.ndarray, counts: np.ndarray, capacity: int, rounds: int,
             upper = min(upper, total / float(covered.min()))
         if upper <= max(lower * (1 + gap), np.ceil(lower - 1e-9)):
             break
-        value = start * np.exp(-STEP / np.sqrt(r) * (covered - r))
+        smallest, since = (upper / lower, 0) if upper / lower < 1 + 0.99 * (smallest - 1) else (smallest, since + 1)
+        if since >= STALLED:
+            break
+        value = start * np.exp(-step / np.sqrt(r) * (covered - r))
     scale = 1 / float(covered.min()) if len(covered) and covered.min() > 0 else 1 / max(1, done)
     return Fractions({k: x * scale for k, x in made.items()}, kept, lower, upper, done)
 
@@ -243,8 +269,8 @@ def _rounded(found: Fractions, size: np.ndarray, histogram: dict[int, int], capa
 def solve(histogram: dict[int, int], capacity: int, rounds: int | None = None) -> tuple[list[Group], int]:
     """Groups of containers that hold all items of the histogram, and a lower bound of their number.
 
-    The bound is the greatest of the total length over the capacity, the value of the weights of a round as a solution
-    of the dual program, the number of items over half the capacity, and what each length would take by itself.
+    The bound is the greatest of the total length over the capacity, the value of a step function or of the weights of a
+    round as a solution of the dual program, the number of items over half the capacity, and what each length would take by itself.
     """
     made = solved(histogram, capacity, rounds)
     return made.groups, made.bound

@@ -403,6 +403,18 @@ def test_pack(spark):
     assert packing.pack(df.limit(0), "id", "n", [100])[0].count() == 0 and packing.pack(df, "id", "n", [])[0].count() == 0
 
 
+def test_a_length_that_hardly_anything_fits_beside():
+    """A third of the items leave room for few others: the total length bounds badly, a step function well."""
+    r = random.Random(7)
+    histogram = {300: 30_000}
+    for _ in range(60_000):
+        n = min(480, int(r.lognormvariate(5.4, 0.6)) + 1)
+        histogram[n] = histogram.get(n, 0) + 1
+    made = packing.solved(histogram, 480)
+    total = sum(n * k for n, k in histogram.items()) / 480
+    assert made.bound > 1.01 * total and sum(g.copies for g in made.groups) <= 1.01 * made.bound + 1 and made.rounds < 400
+
+
 def test_impossible_items():
     with pytest.raises(ValueError):
         packing.solve({11: 1}, 10)
