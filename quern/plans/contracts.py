@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterable
 from pathlib import Path
 from xml.sax.saxutils import escape
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text
@@ -283,10 +283,14 @@ def corrected_cells(spark: SparkSession, folder: str) -> DataFrame:
     return relational.corrected(rows, corrections, ["speaker_row_id"], "iso_code")
 
 
+#: Fixed value: a broken formula and what it stood for.
+BROKEN_CELLS = {"29+C70+A7+D71:E74": "Ethiopia"}
+
+
 @query("SELECT speaker_row_id, CASE WHEN trim(country) = '29+C70+A7+D71:E74' THEN 'Ethiopia' WHEN trim(country) = '' THEN NULL ELSE trim(country) END AS country FROM speakers_by_session")
 def repaired_cells(spark: SparkSession, folder: str) -> DataFrame:
     """Countries trimmed, a broken formula replaced by what it stood for, blank cells null."""
-    country = text.repaired(F.col("country"), {"29+C70+A7+D71:E74": "Ethiopia"})
+    country = text.repaired(F.col("country"), BROKEN_CELLS)
     return table(spark, folder, "speakers_by_session").select("speaker_row_id", F.nullif(country, F.lit("")).alias("country"))
 
 
@@ -387,9 +391,8 @@ def mapping_audit(spark: SparkSession, folder: str) -> DataFrame:
     n = F.col("n_matches")
     found = relational.valid_in(rows, rules, name="label", year="year", rule_name="source_name", row_id="row").groupBy(F.when(n == 0, "unmatched").when(n == 1, "one").otherwise("ambiguous").alias("outcome"))
     counts = found.agg(F.count(F.lit(1)).alias("labels"))
-    total = rows.agg(F.count(F.lit(1)).alias("all_rows"))
-    # one row on the right side
-    return counts.join(F.broadcast(total), F.lit(True)).select("outcome", "labels", (F.col("labels") == F.col("all_rows")).alias("all_labels"))
+    # three rows at most are left here
+    return counts.select("outcome", "labels", (F.col("labels") == F.sum("labels").over(Window.partitionBy())).alias("all_labels"))
 
 
 _RULED = """codes AS (SELECT trim(iso_code) AS k, count(*) AS n FROM speakers_by_session WHERE iso_code IS NOT NULL GROUP BY 1),
